@@ -40,17 +40,25 @@ def header_text(columns: list[str], limit: int = 200) -> str:
     return "| " + "".join(f"{short(c)} | " for c in columns) + "\n| " + "--- | " * len(columns) + "\n"
 
 
-def render(lines: DataFrame, header: str, caps: Caps = Caps()) -> DataFrame:
-    """One markdown text per result from ``(result_id, pos, line)``.
+def within_budget(lines: DataFrame, header_chars: int, caps: Caps = Caps()) -> DataFrame:
+    """Number the lines of each result as ``n`` and say which are ``shown``.
 
-    Every result is cut to the row cap before any window or list sees it, so no
-    group is larger than the cap. A line is shown if it is the first or if the text
-    before it is within the budget.
+    Every result is cut to the row cap first, per map task, so the running length is
+    taken over that many rows at most. A line is shown if it is the first or if the
+    text before it is within the budget.
     """
     capped = top_per_key(lines, ["result_id"], [F.col("pos")], caps.rows, "n")
     before = Window.partitionBy("result_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.lit(len(header)) + F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
-    shown = capped.withColumn("shown", (F.col("n") == 1) | (used <= caps.output_chars))
+    used = F.lit(header_chars) + F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
+    return capped.withColumn("shown", (F.col("n") == 1) | (used <= caps.output_chars))
+
+
+def render(lines: DataFrame, header: str, caps: Caps = Caps()) -> DataFrame:
+    """One markdown text per result from ``(result_id, pos, line)``.
+
+    See ``within_budget`` for which lines are shown; no group is larger than the cap.
+    """
+    shown = within_budget(lines, len(header), caps)
     grouped = shown.groupBy("result_id").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count_if("shown").alias("shown_count"),

@@ -1,6 +1,16 @@
 """Imports every module that registers named queries."""
 
-from guardedlake.plans import business_queries
+from guardedlake.plans import (
+    answer_queries,
+    business_queries,
+    corpus_queries,
+    guard_queries,
+    metric_queries,
+    retrieval_queries,
+    routing_queries,
+    session_queries,
+)
 from guardedlake.plans.registry import NAMED
 
-__all__ = ["NAMED", "business_queries"]
+__all__ = ["NAMED", "answer_queries", "business_queries", "corpus_queries", "guard_queries", "metric_queries",
+           "retrieval_queries", "routing_queries", "session_queries"]
