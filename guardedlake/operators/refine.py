@@ -57,37 +57,36 @@ def replay(log: DataFrame, threshold: float = 0.7, max_rounds: int = 5) -> DataF
     Gives ``(request_id, iterations, stopped_by, quality_score, agents_used)``. A
     round that plans COMPLETE counts but adds nothing; a round without any
     successful text so far scores 0; otherwise the logged score text is parsed.
-    Each step is an aggregate with a map-side part, so no request is gathered.
+
+    Calls are first reduced to one row per request, round and agent, map-side, so
+    the list a request then becomes is bounded by rounds and registered agents.
     """
-    log = log.where(F.col("iteration") <= max_rounds)
-    rounds = log.groupBy("request_id", "iteration").agg(
+    calls = log.where(F.col("iteration").between(1, max_rounds)).groupBy("request_id", "iteration", "agent").agg(
+        F.min(F.when(F.col("success"), F.col("pos"))).alias("pos"),
         F.bool_or(is_complete("plan")).alias("complete"),
-        F.max("score_text").alias("score_text"),
-        F.bool_or(F.col("success") & ~is_blank("response")).alias("has_text"))
-    firsts = rounds.groupBy("request_id").agg(
-        F.min(F.when(F.col("complete"), F.col("iteration"))).alias("first_complete"),
-        F.min(F.when(F.col("has_text"), F.col("iteration"))).alias("first_text"))
-    scored = rounds.join(firsts, "request_id").withColumn(
-        "score", F.when(F.coalesce(F.col("iteration") >= F.col("first_text"), F.lit(False)), quality_score("score_text")).otherwise(0.0))
-    ends = scored.groupBy("request_id").agg(
-        F.first("first_complete").alias("first_complete"),
-        F.min(F.when(~F.col("complete") & (F.col("score") >= threshold), F.col("iteration"))).alias("first_good"),
-        F.max("iteration").alias("last"))
-    stop = F.least("first_complete", "first_good", "last")
-    ends = ends.select("request_id", stop.alias("iterations"),
-                       F.when(F.col("first_good") == stop, "threshold").when(F.col("first_complete") == stop, "complete")
-                       .otherwise("max").alias("stopped_by"))
-    # Rounds that ran an agent: up to the stop, without the one that only planned.
-    ran = (F.col("iteration") <= F.col("iterations")) & ~((F.col("stopped_by") == "complete") & (F.col("iteration") == F.col("iterations")))
-    final = (scored.join(ends, "request_id").where(ran).groupBy("request_id")
-             .agg(F.max_by("score", "iteration").alias("quality_score")))
-    used = (log.join(ends, "request_id").where(ran & F.col("success"))
-            .groupBy("request_id", "agent").agg(F.min(F.struct("iteration", "pos")).alias("seen"))
-            .groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("seen", "agent"))).alias("a"))
-            .select("request_id", F.col("a.agent").alias("agents_used")))
-    return (ends.join(final, "request_id", "left").join(used, "request_id", "left")
-            .select("request_id", "iterations", "stopped_by", F.coalesce("quality_score", F.lit(0.0)).alias("quality_score"),
-                    F.coalesce("agents_used", F.array().cast("array<string>")).alias("agents_used")))
+        F.bool_or(F.col("success") & ~is_blank("response")).alias("text"),
+        F.max("score_text").alias("score_text"))
+    lists = calls.groupBy("request_id").agg(F.collect_list(F.struct("iteration", "pos", "agent", "complete", "text", "score_text")).alias("c"))
+
+    def of_round(n: Column) -> Column:
+        mine = F.filter("c", lambda x: x["iteration"] == n)
+        said = F.exists("c", lambda x: (x["iteration"] <= n) & x["text"])
+        score = F.when(said, quality_score(F.array_max(F.transform(mine, lambda x: x["score_text"])))).otherwise(0.0)
+        return F.struct(n.alias("n"), F.exists(mine, lambda x: x["complete"]).alias("complete"), score.alias("score"))
+
+    numbers = F.array_sort(F.array_distinct(F.transform("c", lambda x: x["iteration"])))
+    rounds = lists.withColumn("r", F.transform(numbers, of_round))
+    ended = F.filter("r", lambda x: x["complete"] | (x["score"] >= threshold))
+    stop = F.coalesce(F.get(ended, F.lit(0)), F.get("r", F.size("r") - 1))
+    by = F.when(F.col("stop.complete"), "complete").when(F.col("stop.score") >= threshold, "threshold").otherwise("max")
+    # Rounds that ran an agent: up to the stop, without one that only planned.
+    ran = F.filter("r", lambda x: (x["n"] <= F.col("stop.n")) & ~x["complete"])
+    used = F.filter("c", lambda x: (x["iteration"] <= F.col("stop.n")) & ~(F.col("stop.complete") & (x["iteration"] == F.col("stop.n"))) & x["pos"].isNotNull())
+    seen = F.array_sort(F.transform(used, lambda x: F.struct(x["iteration"].alias("i"), x["pos"].alias("p"), x["agent"].alias("a"))))
+    return rounds.withColumn("stop", stop).select(
+        "request_id", F.col("stop.n").alias("iterations"), by.alias("stopped_by"),
+        F.when(F.size(ran) > 0, F.get(ran, F.size(ran) - 1)["score"]).otherwise(0.0).alias("quality_score"),
+        F.array_distinct(F.transform(seen, lambda x: x["a"])).alias("agents_used"))
 
 
 def single_shot(routed: DataFrame, responses: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from guardedlake.plans import (
     retrieval_queries,
     routing_queries,
     session_queries,
+    stream_queries,
 )
 from guardedlake.plans.registry import NAMED
 
 __all__ = ["NAMED", "answer_queries", "business_queries", "corpus_queries", "guard_queries", "metric_queries",
-           "retrieval_queries", "routing_queries", "session_queries"]
+           "retrieval_queries", "routing_queries", "session_queries", "stream_queries"]

@@ -91,11 +91,11 @@ def e04(spark, folder):
 
 
 @named("e05_consolidation", log_sql(3) + """,
-sums AS (SELECT request_id, count(*) FILTER (success) AS good, any_value(response) FILTER (success) AS only,
+sums AS (SELECT request_id, count(*) FILTER (success) AS good, any_value(response) FILTER (success) AS single,
   string_agg('**' || agent || ':**' || chr(10) || response, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY iteration, pos) FILTER (success) AS texts,
   string_agg('- ' || agent || ': ' || error, chr(10) ORDER BY iteration, pos) FILTER (NOT success) AS errors FROM log GROUP BY 1)
 SELECT e.event_id AS request_id, CASE WHEN good IS NULL THEN 'No responses were generated for your query.'
-  WHEN good = 0 THEN 'All agents failed to process your query:' || chr(10) || errors WHEN good = 1 THEN only
+  WHEN good = 0 THEN 'All agents failed to process your query:' || chr(10) || errors WHEN good = 1 THEN single
   WHEN e.event_id % 5 = 0 THEN 'merged ' || e.event_id ELSE texts END AS response
 FROM events e LEFT JOIN sums s ON s.request_id = e.event_id""")
 def e05(spark, folder):

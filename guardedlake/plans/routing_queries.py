@@ -191,8 +191,13 @@ def d09_rejected(spark, folder):
     return policy.rejected_results(policy.check_scope(requests(spark, folder), [policy.ScopeRule("sch", False, "Not in scope.")]))
 
 
-_REDACT_SQL = (f"regexp_replace(regexp_replace(regexp_replace({{0}}, '{policy.EMAIL}', '[EMAIL]', 'g'), '{policy.CARD}', '[CARD]', 'g'), "
-               f"'{policy.PHONE}', '[PHONE]', 'g')")
+def _redact_sql(col):
+    out = col
+    for pattern, tag in ((policy.EMAIL, "EMAIL"), (policy.CARD, "CARD"), (policy.PHONE, "PHONE")):
+        out = f"regexp_replace({out}, '{pattern}', '[{tag}]', 'g')"
+    return out
+
+
 FILTERS = [
     policy.ResponseFilter(5, rewrite=lambda c: F.replace(c, F.lit("the"), F.lit("THE"))),
     policy.ResponseFilter(1, block_if=lambda c: c.rlike("[0-9]{16}"), reason="card number"),
@@ -202,7 +207,7 @@ FILTERS = [
 
 
 @named("d10_response_filters", f"""
-WITH r AS (SELECT doc_id, text, {_REDACT_SQL.format('text')} AS clean FROM documents),
+WITH r AS (SELECT doc_id, text, {_redact_sql('text')} AS clean FROM documents),
 s AS (SELECT doc_id, clean, CASE WHEN regexp_matches(text, '[0-9]{{16}}') THEN 'card number' WHEN contains(clean, '[EMAIL]') THEN 'contact data' END AS reason FROM r)
 SELECT doc_id, reason IS NOT NULL AS blocked, md5(CASE WHEN reason IS NULL THEN replace(clean, 'the', 'THE') ELSE 'Response blocked: ' || reason END) AS digest FROM s""")
 def d10(spark, folder):
@@ -211,8 +216,8 @@ def d10(spark, folder):
 
 
 @named("d11_redaction", f"""
-SELECT 'd-' || doc_id AS id, length({_REDACT_SQL.format('text')}) AS n_chars, md5({_REDACT_SQL.format('text')}) AS digest FROM documents
-UNION ALL SELECT 'c-' || conv_id || '-' || turn, length({_REDACT_SQL.format('text')}), md5({_REDACT_SQL.format('text')}) FROM conversations""")
+SELECT 'd-' || doc_id AS id, length({_redact_sql('text')}) AS n_chars, md5({_redact_sql('text')}) AS digest FROM documents
+UNION ALL SELECT 'c-' || conv_id || '-' || turn, length({_redact_sql('text')}), md5({_redact_sql('text')}) FROM conversations""")
 def d11(spark, folder):
     t = Tables(spark, folder)
     texts = (t.documents.select(F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("id"), "text")
