@@ -8,9 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+WHITE_SPACE = " \t\n\r\f\x0b"
+
+
 def strip(col: Column | str) -> Column:
-    """Trim every kind of white space; Spark's own ``trim`` drops blanks only."""
-    return F.regexp_replace(col, r"\A\s+|\s+\z", "")
+    """Trim every kind of white space; ``trim`` without a set drops blanks only."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def is_blank(col: Column | str) -> Column:
@@ -58,10 +61,14 @@ def label(col: Column | str, limit: int = 40) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("…"))).otherwise(c)
 
 
+def words(col: Column | str) -> Column:
+    """Every occurrence of a lower-case ASCII word longer than one character."""
+    return F.regexp_extract_all(F.lower(col), F.lit(r"\w{2,}"), 0)
+
+
 def tokens(col: Column | str) -> Column:
     """Distinct lower-case ASCII words longer than one character."""
-    words = F.split(F.lower(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))), r"[^A-Za-z0-9_]+")
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) > 1))
+    return F.array_distinct(words(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))))
 
 
 def quality_score(col: Column | str, default: float = 0.5) -> Column:
@@ -103,9 +110,9 @@ def account_class(code: Column | str) -> Column:
 
 
 def ascii_word(alternatives: list[str]) -> str:
-    """A pattern for whole words that treats ASCII letters, digits and ``_`` as word characters.
+    """A pattern for whole words in any case, of ASCII letters, digits and ``_``.
 
-    ``\\b`` changed its meaning between Java releases; look-arounds did not.
+    ``\\b`` changed its meaning between Java releases; ``\\w`` did not.
     """
     body = "|".join(re.sub(r" +", r"\\s+", a) for a in alternatives)
-    return rf"(?<![A-Za-z0-9_])(?:{body})(?![A-Za-z0-9_])"
+    return rf"(?<!\w)(?i:{body})(?!\w)"

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardedlake.functions.text import ascii_word, is_blank
+from guardedlake.functions.text import WHITE_SPACE, ascii_word, is_blank
 
 # Words that make a statement unsafe, and the texts it is refused with.
 UNSAFE_WORDS = ["INSERT", "UPDATE", "DELETE", "TRUNCATE", "DROP", "ALTER", "CREATE", "MERGE", "REPLACE", "GRANT",
@@ -22,24 +22,28 @@ READ_WORDS = ["SELECT", "WITH", "VALUES", "TABLE", "FROM", "EXPLAIN", "DESCRIBE"
 COMMAND_WORDS = ["ADD", "LOAD", "CACHE", "UNCACHE", "REFRESH", "MSCK", "ANALYZE", "USE", "RESET", "CLEAR", "IMPORT",
                  "EXPORT", "KILL", "REPAIR", "SET"]
 
-_UNSAFE = "(?i)(" + ascii_word(UNSAFE_WORDS) + ")"
-_SET = "(?i)" + ascii_word(["SET"]) + r"(?!\s+search_path(?![A-Za-z0-9_]))"
+# Both start with a character that ends a word before them, so the text is searched with a blank
+# in front; the look-ahead for a first letter is cheaper than trying every word.
+_FIRST = "".join(sorted({c for w in UNSAFE_WORDS for c in (w[0], w[0].lower())}))
+_UNSAFE = rf"\W(?=[{_FIRST}])((?i:{'|'.join(UNSAFE_WORDS)}))(?!\w)"
+_SET = r"\W(?i:SET)(?!\w)(?!\s+(?i:search_path)(?!\w))"
 _LITERAL = "'[^']*'"
 # Spark's own literals: either quote, with backslash escapes.
 _SPARK_LITERAL = r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+\""""
 _COMMENT = r"(?s)/\*.*?\*/|--[^\n]*"
-_JVM_CALL = "(?i)" + ascii_word(["reflect", "try_reflect", "java_method"]) + r"\s*\("
+_JVM_CALL = ascii_word(["reflect", "try_reflect", "java_method"]) + r"\s*\("
 _FILE_SCAN = r"(?i)(?<![A-Za-z0-9_])(parquet|orc|csv|json|text|xml|avro|binaryfile|jdbc)\s*\.\s*`"
 
 
 def sanitise(sql: Column | str) -> Column:
     """Without trailing blanks and semicolons."""
-    return F.regexp_replace(sql, r"[\s;]+\z", "")
+    return F.rtrim(sql, F.lit(WHITE_SPACE + ";"))
 
 
 def screen_keyword(sanitised: Column) -> Column:
     """The first unsafe word outside literals, in upper case; empty if none."""
-    bare = F.regexp_replace(sanitised, _LITERAL, "")
+    text = F.when(sanitised.contains("'"), F.regexp_replace(sanitised, _LITERAL, "")).otherwise(sanitised)
+    bare = F.concat(F.lit(" "), text)
     word = F.upper(F.regexp_extract(bare, _UNSAFE, 1))
     return F.when(word != "", word).when(bare.rlike(_SET), "SET").otherwise("")
 
@@ -65,7 +69,7 @@ def spark_reason(sql: Column | str) -> Column:
     on the text without Spark's literals and comments; and the word list once more
     there, because Spark ends a literal at other places than the screen does.
     """
-    bare = F.regexp_replace(F.regexp_replace(sanitise(sql), _SPARK_LITERAL, "''"), _COMMENT, " ")
+    bare = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(sanitise(sql), _SPARK_LITERAL, "''"), _COMMENT, " "))
     first = F.upper(F.regexp_extract(bare, r"\A[\s(]*([A-Za-z]+)", 1))
     word = F.upper(F.regexp_extract(bare, _UNSAFE, 1))
     inner = F.regexp_extract(bare, r"(?i)\A\s*EXPLAIN(?:\s+(?:EXTENDED|CODEGEN|COST|FORMATTED))?\s+([A-Za-z]+)", 1)
@@ -102,8 +106,8 @@ def guarded_sql(spark: SparkSession, sql: str | None) -> Guarded:
 PROFILE_WORDS = ["SELECT", "FROM", "WHERE", "JOIN", "LEFT", "RIGHT", "INNER", "GROUP BY", "ORDER BY", "HAVING", "LIMIT",
                  "AS", "ON", "AND", "OR", "NOT", "IN", "BETWEEN", "LIKE", "COUNT", "SUM", "AVG", "MAX", "MIN",
                  "DISTINCT", "WITH", "CASE", "WHEN", "THEN", "ELSE", "END", "NULL", "IS", "DESC", "ASC", "UNION"]
-_TOKEN = (r"""(?i)'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|""" + ascii_word(sorted(PROFILE_WORDS, key=lambda w: (-len(w), w)))
-          + r"|(?<![A-Za-z0-9_])[0-9]+(?:\.[0-9]+)?(?![A-Za-z0-9_])")
+_TOKEN = (r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|""" + ascii_word(sorted(PROFILE_WORDS, key=lambda w: (-len(w), w)))
+          + r"|(?<!\w)[0-9]+(?:\.[0-9]+)?(?!\w)")
 
 
 def sql_tokens(sql: Column | str) -> Column:
@@ -129,5 +133,6 @@ def statement_profile(statements: DataFrame, sql: str = "sql") -> DataFrame:
 
 def keyword_frequency(statements: DataFrame, sql: str = "sql") -> DataFrame:
     """How often each keyword occurs over the whole log."""
-    words = statements.select(F.explode(F.filter(sql_tokens(sql), lambda t: t.rlike(r"\A[A-Z]"))).alias("keyword"))
-    return words.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
+    # The outer form keeps Spark from testing the array's size first, which would scan each text twice.
+    words = statements.select(F.explode_outer(F.filter(sql_tokens(sql), lambda t: t.rlike(r"\A[A-Z]"))).alias("keyword"))
+    return words.where("keyword IS NOT NULL").groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardedlake.functions.text import strip
+
 
 class RowRule(NamedTuple):
     """A condition each row has to meet; a null result counts as met, as in SQL checks."""
@@ -73,7 +75,7 @@ def text_profile(table: str, df: DataFrame, limit: int = 40) -> DataFrame:
     All columns are profiled in one pass of partial aggregates.
     """
     cols = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    trimmed = {c: F.regexp_replace(c, r"\A\s+|\s+\z", "") for c in cols}
+    trimmed = {c: strip(c) for c in cols}
     stats = df.agg(F.count(F.lit(1)).alias("n_rows"), *[e for i, c in enumerate(cols) for e in (
         F.count_if(F.col(c).isNull()).alias(f"{i}_null"),
         F.count_if(trimmed[c].rlike(NUMERIC_TEXT)).alias(f"{i}_num"),

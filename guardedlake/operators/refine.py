@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from guardedlake.functions.ordered import ordered_text, top_per_key
-from guardedlake.functions.text import is_blank, quality_score
+from guardedlake.functions.text import is_blank, quality_score, strip
 from guardedlake.session import materialise
 
 Step = Callable[[DataFrame, int], DataFrame]
@@ -25,19 +25,21 @@ def refine(requests: DataFrame, step: Step, score: Callable[[DataFrame], DataFra
 
     ``step`` adds ``response`` to the open requests, ``score`` adds ``quality_score``.
     All open requests of a round are one job; its rows are written to the shared
-    folder, so a later round starts from files instead of from all earlier ones, and
+    folder and counted while they are, so a later round starts from files instead of from all earlier ones, and
     a lost executor loses at most its own tasks.
     """
     kept = [c for c in requests.columns]
     open_rows, done = requests, None
     for n in range(1, max_rounds + 1):
         scored = score(step(open_rows, n)).withColumn("iterations", F.lit(n))
-        scored = materialise(scored.select(*kept, "response", "quality_score", "iterations"), "refine-round")
         good = F.coalesce(F.col("quality_score") >= threshold, F.lit(False))
+        still_open = Observation()
+        scored = scored.select(*kept, "response", "quality_score", "iterations").observe(still_open, F.count_if(~good).alias("n"))
+        scored = materialise(scored, "refine-round")
         closed = scored if n == max_rounds else scored.where(good)
         done = closed if done is None else done.unionByName(closed)
         open_rows = scored.where(~good).select(*kept)
-        if n < max_rounds and open_rows.isEmpty():
+        if not still_open.get["n"]:
             break
     return done
 
@@ -48,7 +50,7 @@ def is_complete(plan: Column | str) -> Column:
     The first round never asks the planner, so it is not complete whatever it holds.
     """
     c = F.col(plan) if isinstance(plan, str) else plan
-    return (F.col("iteration") > 1) & F.coalesce(F.upper(F.regexp_replace(c, r"\A\s+|\s+\z", "")) == "COMPLETE", F.lit(True))
+    return (F.col("iteration") > 1) & F.coalesce(F.upper(strip(c)) == "COMPLETE", F.lit(True))
 
 
 def replay(log: DataFrame, threshold: float = 0.7, max_rounds: int = 5) -> DataFrame:

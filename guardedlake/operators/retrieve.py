@@ -162,7 +162,7 @@ def _signatures(df: DataFrame, dim: int, tables: int, bits: int, seed: int) -> D
         side = (np.stack(vectors.to_numpy()).astype(np.float64) @ planes) > 0
         return pd.Series(list((side.reshape(len(vectors), tables, bits) @ weights).astype(np.int32)))
 
-    return df.select("*", F.posexplode(signature("embedding")).alias("__table", "__sig"))
+    return df.select("*", F.posexplode(signature.asNondeterministic()("embedding")).alias("__table", "__sig"))
 
 
 def approximate_topk(queries: DataFrame, chunks: DataFrame, dim: int, k: int = 8, tables: int = 8, bits: int = 6,

@@ -36,7 +36,7 @@ def keyword_scores(requests: DataFrame, agents: list[Agent], text: str = "query"
     if len(agents) > MAX_COLUMN_AGENTS:
         return _joined_scores(requests, agents_frame(requests.sparkSession, agents), text)
     return (requests.select("request_id", tokens(text).alias("w"))
-            .select("request_id", F.explode(_scores(agents)).alias("s"))
+            .select("request_id", F.explode_outer(_scores(agents)).alias("s"))
             .select("request_id", "s.agent", "s.score").where("score > 0"))
 
 
@@ -53,7 +53,7 @@ def _scores(agents: list[Agent]) -> Column:
 
 def _joined_scores(requests: DataFrame, agents: DataFrame, text: str) -> DataFrame:
     words = requests.select("request_id", tokens(text).alias("w"))
-    words = words.select("request_id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    words = words.select("request_id", F.size("w").alias("n"), F.explode_outer("w").alias("word"))
     keys = agents.select("agent", F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("word"))
     return (words.join(keys, "word").groupBy("request_id", "agent")
             .agg((F.count(F.lit(1)) / F.first("n")).alias("score")))
@@ -207,7 +207,7 @@ def _joined_bank(asked: DataFrame, bank: list[BankEntry], gram: int = 3) -> Data
     lengths = sorted({min(gram, len(p)) for _, p in rows})
     starts = F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1)))
     grams = F.array_distinct(F.flatten(F.array(*[F.transform(starts, lambda i: F.substring(F.col("q"), i, F.lit(n))) for n in lengths])))
-    hits = (asked.select("request_id", "q", F.explode(grams).alias("g")).join(phrases, "g")
+    hits = (asked.select("request_id", "q", F.explode_outer(grams).alias("g")).join(phrases, "g")
             .where(F.contains("q", "phrase")).select("request_id", "entry", "phrase"))
     per_entry = hits.groupBy("request_id", "entry").agg(F.count(F.lit(1)).cast("int").alias("score"))
     return per_entry.groupBy("request_id").agg(F.max(F.struct("score", (-F.col("entry")).alias("neg"))).alias("b"))

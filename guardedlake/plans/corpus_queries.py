@@ -84,7 +84,7 @@ def part_documents(spark, folder):
         F.lit("\n\n# Example Queries\n\n<example>\n<question>What does "), name, F.lit(" No. "), key,
         F.lit(" cost?</question>\n<thought_process>Look it up.</thought_process>\n<sql>\nSELECT p_retailprice FROM part WHERE p_partkey = "),
         key, F.lit(";\n</sql>\n</example>\n"))
-    return Tables(spark, folder).part.select(key.alias("doc_id"), text.alias("text"))
+    return Tables(spark, folder).spread("part").select(key.alias("doc_id"), text.alias("text"))
 
 
 @named("a07_chunk_split", """
@@ -106,7 +106,7 @@ def a07(spark, folder):
 def framed_documents(spark, folder):
     """Each document's whole text between a title and one table section."""
     text = F.concat(F.lit("# Document "), F.col("doc_id").cast("string"), F.lit("\n\n"), "text", F.lit("\n\n## "), "source", F.lit("\n\nLanguage "), "lang")
-    return Tables(spark, folder).documents.select(F.col("doc_id"), text.alias("text"))
+    return Tables(spark, folder).spread("documents").select(F.col("doc_id"), text.alias("text"), F.concat_ws("/", "lang", "source").alias("ns"))
 
 
 @named("a07_chunk_split_documents", r"""
@@ -122,7 +122,7 @@ def a07_documents(spark, folder):
 @named("a08_slug_ids", """
 SELECT doc_id, rtrim(substring(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), '-') AS slug FROM documents""")
 def a08(spark, folder):
-    return Tables(spark, folder).documents.select("doc_id", slug("text").alias("slug"))
+    return Tables(spark, folder).spread("documents").select("doc_id", slug("text").alias("slug"))
 
 
 _SAMPLED = {
@@ -171,7 +171,7 @@ counts AS (SELECT doc_id, CAST(('0x' || substring(md5(w), 1, 8)) AS BIGINT) % {_
 norms AS (SELECT doc_id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM counts GROUP BY 1)
 SELECT doc_id, bucket, CAST(CAST(n / norm AS FLOAT) AS DOUBLE) AS weight FROM counts JOIN norms USING (doc_id)""")
 def a10(spark, folder):
-    vectors = corpus.embed_by_hash(Tables(spark, folder).documents.select("doc_id", "text"), "text", _DIM)
+    vectors = corpus.embed_by_hash(Tables(spark, folder).spread("documents").select("doc_id", "text"), "text", _DIM, bucket=corpus.portable_bucket)
     return (vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")).where("weight > 0")
             .select("doc_id", "bucket", F.col("weight").cast("double").alias("weight")))
 
@@ -217,8 +217,7 @@ SELECT lang || '/' || source AS namespace, 'OVERVIEW' AS kind, 1 AS n_chunks, ar
   2 AS n_total FROM documents GROUP BY 1
 UNION ALL SELECT DISTINCT lang || '/' || source, 'TABLE', 1, '## ' || source || chr(10) || chr(10) || 'Language ' || lang, 2 FROM documents""")
 def a14(spark, folder):
-    t = Tables(spark, folder)
-    docs = framed_documents(spark, folder).join(t.documents.select("doc_id", F.concat_ws("/", "lang", "source").alias("ns")), "doc_id")
+    docs = framed_documents(spark, folder)
     chunks = ingest(docs, spark.createDataFrame([], STORED_SCHEMA), F.col("ns"), F.timestamp_seconds(F.lit(0)), dim=_DIM)
     content = chunks.where("embedding IS NOT NULL").select("namespace", "kind", "content")
     return corpus.ingest_summary(chunks).join(content, ["namespace", "kind"])

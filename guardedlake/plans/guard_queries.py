@@ -19,8 +19,8 @@ def statements(spark, folder):
            .when(p == "3-MEDIUM", F.concat(F.lit("SELECT 'DELETE failed' AS note, count(*) FROM orders GROUP BY o_custkey HAVING COUNT(*) > "), k))
            .when(p == "5-LOW", F.concat(F.when(F.col("o_orderstatus") == "F", "SET search_path TO s_").otherwise("set role admin_"), k))
            .otherwise(F.concat(F.lit("WITH x AS (update orders set o_totalprice = 9.99 where o_orderkey = "), k, F.lit(") SELECT * FROM x"))))
-    return (t.orders.select(F.concat(F.lit("o-"), k).alias("statement_id"), sql.alias("sql"))
-            .unionByName(t.documents.select(F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("statement_id"), F.col("text").alias("sql"))))
+    return (t.spread("orders").select(F.concat(F.lit("o-"), k).alias("statement_id"), sql.alias("sql"))
+            .unionByName(t.spread("documents").select(F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("statement_id"), F.col("text").alias("sql"))))
 
 
 _STATEMENTS_SQL = """

@@ -20,7 +20,7 @@ THRESHOLD = 0.12
 
 
 def requests(spark, folder):
-    return Tables(spark, folder).conversations.select(
+    return Tables(spark, folder).spread("conversations").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"), F.col("text").alias("query"),
         F.concat(F.lit("tenant-"), (F.col("conv_id") % 3).cast("string")).alias("tenant_id"), "conv_id", "turn", "role")
 
@@ -164,7 +164,7 @@ def d08(spark, folder):
     text = (F.when(p == "1-URGENT", F.concat(F.lit("Quality: 0."), (F.col("o_orderkey") % 10).cast("string"), F.lit(" of 1.0")))
             .when(p == "2-HIGH", (F.col("o_custkey") % 12).cast("string"))
             .when(p == "3-MEDIUM", F.concat(F.lit("rated "), F.col("o_totalprice").cast("string"))).otherwise("no score"))
-    texts = (t.documents.select(F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("id"), "text")
+    texts = (t.spread("documents").select(F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("id"), "text")
              .unionByName(t.orders.select(F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("id"), text.alias("text"))))
     return texts.select("id", quality_score("text").alias("score"))
 
@@ -211,7 +211,7 @@ WITH r AS (SELECT doc_id, text, {_redact_sql('text')} AS clean FROM documents),
 s AS (SELECT doc_id, clean, CASE WHEN regexp_matches(text, '[0-9]{{16}}') THEN 'card number' WHEN contains(clean, '[EMAIL]') THEN 'contact data' END AS reason FROM r)
 SELECT doc_id, reason IS NOT NULL AS blocked, md5(CASE WHEN reason IS NULL THEN replace(clean, 'the', 'THE') ELSE 'Response blocked: ' || reason END) AS digest FROM s""")
 def d10(spark, folder):
-    out = policy.apply_filters(Tables(spark, folder).documents.select("doc_id", F.col("text").alias("response")), FILTERS)
+    out = policy.apply_filters(Tables(spark, folder).spread("documents").select("doc_id", F.col("text").alias("response")), FILTERS)
     return out.select("doc_id", "blocked", F.md5(F.col("response").cast("binary")).alias("digest"))
 
 
@@ -220,7 +220,7 @@ SELECT 'd-' || doc_id AS id, length({_redact_sql('text')}) AS n_chars, md5({_red
 UNION ALL SELECT 'c-' || conv_id || '-' || turn, length({_redact_sql('text')}), md5({_redact_sql('text')}) FROM conversations""")
 def d11(spark, folder):
     t = Tables(spark, folder)
-    texts = (t.documents.select(F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("id"), "text")
+    texts = (t.spread("documents").select(F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("id"), "text")
              .unionByName(t.conversations.select(F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")))
     clean = texts.select("id", policy.redact("text").alias("text"))
     return clean.select("id", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))

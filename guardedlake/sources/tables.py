@@ -32,6 +32,14 @@ class Tables:
             raise AttributeError(name)
         return self.scan(name)
 
+    def spread(self, name: str) -> DataFrame:
+        """A scan dealt over the cores, for costly work per row on a table of few files.
+
+        A table with more splits than cores, as any large one has, is left as it is.
+        """
+        df, cores = self.scan(name), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def register(self, names: Iterable[str] = STAR_TABLES) -> None:
         """Make each table a temporary view, for SQL text."""
         for name in names:
