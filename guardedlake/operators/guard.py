@@ -30,7 +30,8 @@ _SET = r"\W(?i:SET)(?!\w)(?!\s+(?i:search_path)(?!\w))"
 _LITERAL = "'[^']*'"
 # Spark's own literals: either quote, with backslash escapes.
 _SPARK_LITERAL = r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+\""""
-_COMMENT = r"(?s)/\*.*?\*/|--[^\n]*"
+# Names, literals and comments in one pattern, because each can hold the start of another.
+_NOT_CODE = rf"(?s)(`[^`]*`)|{_SPARK_LITERAL}|/\*.*?\*/|--[^\n]*"
 _JVM_CALL = ascii_word(["reflect", "try_reflect", "java_method"]) + r"\s*\("
 _FILE_SCAN = r"(?i)(?<![A-Za-z0-9_])(parquet|orc|csv|json|text|xml|avro|binaryfile|jdbc)\s*\.\s*`"
 
@@ -69,7 +70,7 @@ def spark_reason(sql: Column | str) -> Column:
     on the text without Spark's literals and comments; and the word list once more
     there, because Spark ends a literal at other places than the screen does.
     """
-    bare = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(sanitise(sql), _SPARK_LITERAL, "''"), _COMMENT, " "))
+    bare = F.concat(F.lit(" "), F.regexp_replace(sanitise(sql), _NOT_CODE, "$1 "))
     first = F.upper(F.regexp_extract(bare, r"\A[\s(]*([A-Za-z]+)", 1))
     word = F.upper(F.regexp_extract(bare, _UNSAFE, 1))
     inner = F.regexp_extract(bare, r"(?i)\A\s*EXPLAIN(?:\s+(?:EXTENDED|CODEGEN|COST|FORMATTED))?\s+([A-Za-z]+)", 1)

@@ -6,6 +6,7 @@ from guardedlake.plans import (
     corpus_queries,
     guard_queries,
     metric_queries,
+    question_queries,
     retrieval_queries,
     routing_queries,
     session_queries,
@@ -13,5 +14,5 @@ from guardedlake.plans import (
 )
 from guardedlake.plans.registry import NAMED
 
-__all__ = ["NAMED", "answer_queries", "business_queries", "corpus_queries", "guard_queries", "metric_queries",
+__all__ = ["NAMED", "answer_queries", "business_queries", "corpus_queries", "guard_queries", "metric_queries", "question_queries",
            "retrieval_queries", "routing_queries", "session_queries", "stream_queries"]
