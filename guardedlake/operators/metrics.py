@@ -55,6 +55,6 @@ def health(agents: DataFrame, active: DataFrame) -> DataFrame:
     ``active`` is the one-row result of ``sessions.active_count``.
     """
     counts = agents.agg(F.count_if("healthy").alias("healthy_agents"), F.count(F.lit(1)).alias("agents"))
-    return (counts.withColumn("one", F.lit(1)).join(active.withColumn("one", F.lit(1)), "one")
-            .select(F.when(F.col("healthy_agents") > 0, "UP").otherwise("DOWN").alias("status"),
+    both = counts.unionByName(active, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("agents", "healthy_agents", "active_sessions")])
+    return (both.select(F.when(F.col("healthy_agents") > 0, "UP").otherwise("DOWN").alias("status"),
                     "agents", "healthy_agents", "active_sessions"))
