@@ -114,9 +114,6 @@ class StarRental:
     def __init__(self, spark: SparkSession, folder: str):
         self.t = Tables(spark, folder)
 
-    _copy = staticmethod(lambda: F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")))
-    _rental = staticmethod(lambda: F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]))
-
     @cached_property
     def films(self) -> DataFrame:
         return self.t.part.select(
@@ -134,19 +131,16 @@ class StarRental:
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return self.t.lineitem.select(self._copy().alias("inventory_id"), F.col("l_partkey").alias("film_id")).distinct()
+        return self.t.customer.select(F.col("c_custkey").alias("inventory_id"), F.col("c_custkey").alias("film_id"))
 
     @cached_property
     def rentals(self) -> DataFrame:
-        lines = self.t.lineitem.select(self._rental().alias("rental_id"), self._copy().alias("inventory_id"), "l_orderkey",
-                                       F.col("l_shipdate").alias("return_date"))
-        orders = self.t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer_id"),
-                                      F.col("o_orderdate").alias("rental_date"))
-        return lines.join(orders, "l_orderkey").select("rental_id", "inventory_id", "customer_id", "rental_date", "return_date")
+        return self.t.orders.select(F.col("o_orderkey").alias("rental_id"), F.col("o_custkey").alias("inventory_id"), F.col("o_custkey").alias("customer_id"),
+                                    F.col("o_orderdate").alias("rental_date"), F.date_add(F.col("o_orderdate").cast("date"), 7).alias("return_date"))
 
     @cached_property
     def payments(self) -> DataFrame:
-        return self.t.lineitem.select(self._rental().alias("rental_id"), F.col("l_suppkey").alias("staff_id"), F.col("l_extendedprice").alias("amount"))
+        return self.t.lineitem.select(F.col("l_orderkey").alias("rental_id"), F.col("l_suppkey").alias("staff_id"), F.col("l_extendedprice").alias("amount"))
 
     @cached_property
     def customers(self) -> DataFrame:
