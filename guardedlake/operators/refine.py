@@ -126,18 +126,29 @@ def consolidate(requests: DataFrame, log: DataFrame, merged: DataFrame | None =
 
     One success passes through; several give the text of a model if ``merged
     (request_id, merged)`` has one, else the answers under their agents' names;
-    none gives the list of errors. Texts are joined in two steps, by order range.
+    none gives the list of errors. Texts are joined in two steps, first by round,
+    and the counts come from the same two steps.
     """
-    calls = log.select("request_id", _call_order(), "success",
-                       F.when(F.col("success"), F.concat(F.lit("**"), "agent", F.lit(":**\n"), "response")).alias("good"),
-                       F.when(F.col("success"), F.col("response")).alias("plain"),
-                       F.when(~F.col("success"), F.concat(F.lit("- "), "agent", F.lit(": "), F.coalesce("error", F.lit("null")))).alias("bad"))
-    counts = calls.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("success").alias("n_good"),
-                                             F.min_by("plain", F.when(F.col("success"), F.col("o"))).alias("only"))
-    good = ordered_text(calls.where("success"), ["request_id"], "o", "good", "good_text", "\n\n---\n\n")
-    bad = ordered_text(calls.where("not success"), ["request_id"], "o", "bad", "bad_text", "\n")
-    out = (requests.select("request_id").join(counts, "request_id", "left")
-           .join(good, "request_id", "left").join(bad, "request_id", "left"))
+    ok = F.col("success")
+    good = F.concat(F.lit("**"), "agent", F.lit(":**\n"), "response")
+    bad = F.concat(F.lit("- "), "agent", F.lit(": "), F.coalesce("error", F.lit("null")))
+
+    def joined(entries: Column, sep: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(entries), lambda e: e["t"]), sep)
+
+    def listed(order: Column, text: Column) -> Column:
+        return F.collect_list(F.when(text.isNotNull(), F.struct(order.alias("o"), text.alias("t"))))
+
+    between = "\n\n---\n\n"
+    per_round = log.groupBy("request_id", "iteration").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("success").alias("n_good"), F.min_by("response", F.when(ok, F.col("pos"))).alias("only"),
+        joined(listed(F.col("pos"), F.when(ok, good)), between).alias("good"), joined(listed(F.col("pos"), F.when(~ok, bad)), "\n").alias("bad"))
+    some = F.col("n_good") > 0
+    counts = per_round.groupBy("request_id").agg(
+        F.sum("n").alias("n"), F.sum("n_good").alias("n_good"), F.min_by("only", F.when(some, F.col("iteration"))).alias("only"),
+        joined(listed(F.col("iteration"), F.when(some, F.col("good"))), between).alias("good_text"),
+        joined(listed(F.col("iteration"), F.when(F.col("n_good") < F.col("n"), F.col("bad"))), "\n").alias("bad_text"))
+    out = requests.select("request_id").join(counts, "request_id", "left")
     text = F.col("good_text")
     if merged is not None:
         out = out.join(merged.select("request_id", "merged"), "request_id", "left")

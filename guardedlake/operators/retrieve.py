@@ -37,8 +37,8 @@ class SearchSize(NamedTuple):
     """Bounds of what one task holds at a time."""
 
     broadcast_values: int = 4_000_000  # query numbers that may be sent to every task (32 MB)
-    query_block: int = 2_048
-    chunk_block: int = 16_384
+    query_block: int = 1_024  # with chunk_block, a distance matrix of 64 MB
+    chunk_block: int = 8_192
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array | pd.Series) -> np.ndarray:
@@ -92,7 +92,7 @@ def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 8, size: SearchS
 
     A query set whose measured size is small goes to every task, and the chunks are
     read where they lie. A larger one meets the chunks in blocks (``_block_topk``).
-    Either way a task emits ``k`` hits per query and block of chunks, not pairs.
+    Either way only the ``k`` best per query leave a task or a block, never the pairs.
     """
     q = queries.select("query_id", "namespace", "embedding").where("embedding IS NOT NULL")
     c = chunks.select("chunk_id", "namespace", "embedding").where("embedding IS NOT NULL")
@@ -107,15 +107,32 @@ def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 8, size: SearchS
     schema = _hit_schema(q, c)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Best hits so far of each query block; a task gives them out once, at its end.
+        best: dict[tuple, pd.DataFrame] = {}
         for batch in batches:
             for ns, rows in batch.groupby("namespace", sort=False):
-                if ns in sent.value:
-                    qids, qm = sent.value[ns]
-                    yield _hits(qids, qm, rows["chunk_id"].to_numpy(), _matrix(rows["embedding"]), k)
+                if ns not in sent.value:
+                    continue
+                qids, qm = sent.value[ns]
+                for cut in range(0, len(rows), size.chunk_block):
+                    part = rows.iloc[cut:cut + size.chunk_block]
+                    cids, cm = part["chunk_id"].to_numpy(), _matrix(part["embedding"])
+                    for start in range(0, len(qids), size.query_block):
+                        to = start + size.query_block
+                        new = _hits(qids[start:to], qm[start:to], cids, cm, k)
+                        best[ns, start] = _keep_best(best.get((ns, start)), new, k)
+        yield from best.values()
 
     return _rank(c.mapInPandas(search, schema), k)
 
 
+def _keep_best(held: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd.DataFrame:
+    if held is None:
+        return new
+    both = pd.concat([held, new]).sort_values(["query_id", "distance", "chunk_id"])
+    return both[both.groupby("query_id").cumcount() < k]
+
+
 def _hits(qids: np.ndarray, qm: np.ndarray, cids: np.ndarray, cm: np.ndarray, k: int) -> pd.DataFrame:
     rows, cols, d = _nearest(qm, cm, cids, k)
     return pd.DataFrame({"query_id": qids[rows], "chunk_id": cids[cols], "distance": d})
@@ -179,7 +196,10 @@ def approximate_topk(queries: DataFrame, chunks: DataFrame, dim: int, k: int = 8
     c = chunks.select("chunk_id", "namespace", "embedding").where("embedding IS NOT NULL")
     hits = _block_topk(_signatures(q, dim, tables, bits, seed), _signatures(c, dim, tables, bits, seed),
                        ["namespace", "__table", "__sig"], k, size)
-    return _rank(hits.dropDuplicates(["query_id", "chunk_id"]), k)
+    # A chunk is found once per hash table at most, so its k best are among the first k * tables;
+    # cut there first, which also leaves the rows where the next two steps need them.
+    near = top_per_key(hits, ["query_id"], [F.col("distance"), F.col("chunk_id")], k * tables, "__n").drop("__n")
+    return _rank(near.dropDuplicates(["query_id", "chunk_id"]), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -200,7 +220,9 @@ def assemble(hits: DataFrame, chunks: DataFrame, queries: DataFrame, kinds: list
     head = ordered_text(fixed.withColumn("o", F.row_number().over(by_name)), ["namespace"], "o", "content", "head", SEPARATOR)
     extra = hits.join(chunks.select("chunk_id", "kind", "content"), "chunk_id")
     extra = extra.where(~F.lower("kind").isin([k.lower() for k in kinds]))
-    tail = ordered_text(extra, ["query_id"], "rank", "content", "tail", SEPARATOR)
+    # A query has k hits, so one list per query is bounded.
+    listed = F.array_sort(F.collect_list(F.struct("rank", "content")))
+    tail = extra.groupBy("query_id").agg(F.array_join(F.transform(listed, lambda e: e["content"]), SEPARATOR).alias("tail"))
     text = F.concat_ws(SEPARATOR, F.col("head"), F.col("tail"))
     return (queries.select("query_id", "namespace").join(head, "namespace", "left").join(tail, "query_id", "left")
             .select("query_id", F.nullif(text, F.lit("")).alias("context")))

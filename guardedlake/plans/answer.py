@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from guardedlake.functions.text import quality_score
+from guardedlake.functions.text import is_blank, quality_score
 from guardedlake.operators import policy, refine, retrieve, route, sessions
 from guardedlake.session import materialise
 
@@ -49,7 +49,7 @@ def rounds(open_rows: DataFrame, calls: DataFrame, user: Round, threshold: float
     adds to either is written to the shared folder before the next one reads it.
     """
     log, ended = [], []
-    state = open_rows.withColumn("quality_score", F.lit(0.0))
+    state = open_rows.withColumn("quality_score", F.lit(0.0)).withColumn("has_text", F.lit(False))
     kept = state.columns
     for n in range(1, max_rounds + 1):
         if n > 1 and user.plan is not None:
@@ -61,8 +61,9 @@ def rounds(open_rows: DataFrame, calls: DataFrame, user: Round, threshold: float
         acted = user.act(state.join(calls, "request_id"), n).withColumn("iteration", F.lit(n))
         acted = refine.apply_timeout(acted, timeout_s).select("request_id", "iteration", "pos", "agent", "success", "response", "error")
         log.append(materialise(acted, "run-log"))
-        seen = reduce(DataFrame.unionByName, log).where("success AND response RLIKE '\\\\S'").select("request_id").distinct()
-        scored = user.score(state, n).join(seen.withColumn("has_text", F.lit(True)), "request_id", "left")
+        said = log[-1].where("success").where(~is_blank("response")).select("request_id").distinct().withColumn("__said", F.lit(True))
+        scored = user.score(state, n).join(said, "request_id", "left")
+        scored = scored.withColumn("has_text", F.col("has_text") | F.coalesce("__said", F.lit(False)))
         score = F.when(F.col("has_text"), quality_score("score_text")).otherwise(0.0)
         good, still_open = F.col("quality_score") >= threshold, Observation()
         scored = scored.withColumn("quality_score", score).select(*kept).observe(still_open, F.count_if(~good).alias("n"))

@@ -64,6 +64,16 @@ def s03(spark, folder):
     return done.withColumn("started", F.date_format("started", _STAMP)).withColumn("last_access", F.date_format("last_access", _STAMP))
 
 
+@named("s03_history_stream", NAMED["f03_trimmed_history"].sql)
+def s03_history(spark, folder):
+    c = _arriving(spark, folder, "conversations")
+    messages = c.select(F.concat(F.lit("default:"), F.col("conv_id").cast("string")).alias("session_key"), F.col("turn").alias("seq"),
+                        F.upper("role").alias("role"), F.col("text").alias("content"))
+    out = fresh_path(spark, "history")
+    _finish(streams.history_stream(messages, out, fresh_path(spark, "state"), 5))
+    return streams.current_history(spark, out, 5)
+
+
 @named("s04_ingest_stream", NAMED["a14_ingest_job"].sql)
 def s04(spark, folder):
     docs = _arriving(spark, folder, "documents")

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from guardedlake.operators.guard import screen
+from guardedlake.operators.sessions import trimmed_history
 from guardedlake.plans.ingest import STORED_SCHEMA, prepared_chunks
 
 
@@ -85,8 +86,8 @@ def windowed_agent_calls(calls: DataFrame, ts: str = "ts", width: str = "1 hour"
 def live_sessions(accesses: DataFrame, key: str = "session_key", ts: str = "ts", idle: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Accesses per session, closed by an idle gap.
 
-    Accesses are first counted per second, which makes the rows a session merges
-    depend on its length and not on how often it is used.
+    With the session settings of ``get_spark``, the accesses of a key are merged to
+    sessions in each task before the shuffle, so a busy key sends few rows.
     """
     rows = accesses.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     return (rows.groupBy(F.session_window(ts, idle), key).agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("last_access"))
@@ -126,6 +127,24 @@ def live_history(messages: DataFrame, keep: int = 20, idle_ms: int = 30 * 60 * 1
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
+_MESSAGES = "session_key string, seq bigint, role string, content string"
+
+
+def history_stream(messages: DataFrame, path: str, checkpoint: str, keep: int = 20, once: bool = True) -> StreamingQuery:
+    """Keep session histories in files: a batch adds the last ``keep`` messages of each session it saw.
+
+    The batch is trimmed map-side, so this is the form for keys too busy for the one
+    task that ``live_history`` folds a key in.
+    """
+    sink = batch_sink(path, history=lambda d: trimmed_history(d.select("session_key", "seq", "role", "content"), keep))
+    return start(messages, sink, checkpoint, once=once)
+
+
+def current_history(spark: SparkSession, path: str, keep: int = 20) -> DataFrame:
+    """The trimmed history after all batches."""
+    return trimmed_history(read_sink(spark, path, "history", _MESSAGES), keep)
+
+
 CHUNK_LOG_SCHEMA = STORED_SCHEMA + ", doc_id string, pos int, batch int"
 
 

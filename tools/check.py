@@ -1,4 +1,4 @@
-"""Run named queries beside their SQL and compare the rows: ``python tools/check.py [sf] [prefix ...]``."""
+"""Run named queries beside their SQL and compare the rows: ``python tools/check.py [sf or folder] [prefix ...]``."""
 
 from __future__ import annotations
 
@@ -68,7 +68,7 @@ def compare(spark, con, name, folder):
 
 def main(argv):
     sf, prefixes = (argv[0] if argv else "0.01"), argv[1:]
-    folder = f"/root/testdata/sf{sf}"
+    folder = sf if "/" in sf else f"/root/testdata/sf{sf}"
     spark = get_spark("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = oracle(folder), 0
