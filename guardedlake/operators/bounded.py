@@ -12,6 +12,8 @@ from guardedlake.functions.text import cell_text, markdown_line
 
 
 class Caps(NamedTuple):
+    """The caps a result is shown under unless others are given."""
+
     rows: int = 50
     columns: int = 20
     cell_chars: int = 200

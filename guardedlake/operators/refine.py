@@ -16,6 +16,14 @@ from guardedlake.functions.ordered import ordered_text, top_per_key
 from guardedlake.functions.text import is_blank, quality_score, strip
 from guardedlake.session import materialise
 
+# Texts of failed calls and of answers that are put together.
+TIMED_OUT = "Agent timed out after {}s"
+FAILED = "Agent execution failed: "
+NOT_CALLED = "No response from agent"
+NO_RESPONSES = "No responses were generated for your query."
+ALL_FAILED = "All agents failed to process your query:\n"
+BETWEEN_ANSWERS = "\n\n---\n\n"
+
 Step = Callable[[DataFrame, int], DataFrame]
 
 
@@ -101,7 +109,7 @@ def single_shot(routed: DataFrame, responses: DataFrame) -> DataFrame:
     joined = first.join(responses, ["request_id", "agent"], "left")
     ok = F.coalesce("success", F.lit(False))
     return joined.select(
-        "request_id", F.when(ok, F.col("response")).otherwise(F.coalesce("error", F.lit("No response from agent"))).alias("response"),
+        "request_id", F.when(ok, F.col("response")).otherwise(F.coalesce("error", F.lit(NOT_CALLED))).alias("response"),
         F.when(ok, F.col("agent")).otherwise("").alias("agents_used"), F.lit(1).alias("iterations"), F.lit(1.0).alias("quality_score"))
 
 
@@ -109,8 +117,8 @@ def apply_timeout(log: DataFrame, limit_s: int = 30) -> DataFrame:
     """Calls slower than the limit become failures; other failures get their prefix."""
     late = F.col("elapsed_ms") > limit_s * 1000
     failed = ~F.col("success") & ~late
-    return (log.withColumn("error", F.when(late, f"Agent timed out after {limit_s}s")
-                           .when(failed, F.concat(F.lit("Agent execution failed: "), F.coalesce("error", F.lit("null"))))
+    return (log.withColumn("error", F.when(late, TIMED_OUT.format(limit_s))
+                           .when(failed, F.concat(F.lit(FAILED), F.coalesce("error", F.lit("null"))))
                            .otherwise(F.col("error")))
             .withColumn("response", F.when(late, None).otherwise(F.col("response")))
             .withColumn("success", F.col("success") & ~late))
@@ -139,22 +147,21 @@ def consolidate(requests: DataFrame, log: DataFrame, merged: DataFrame | None =
     def listed(order: Column, text: Column) -> Column:
         return F.collect_list(F.when(text.isNotNull(), F.struct(order.alias("o"), text.alias("t"))))
 
-    between = "\n\n---\n\n"
     per_round = log.groupBy("request_id", "iteration").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("success").alias("n_good"), F.min_by("response", F.when(ok, F.col("pos"))).alias("only"),
-        joined(listed(F.col("pos"), F.when(ok, good)), between).alias("good"), joined(listed(F.col("pos"), F.when(~ok, bad)), "\n").alias("bad"))
+        joined(listed(F.col("pos"), F.when(ok, good)), BETWEEN_ANSWERS).alias("good"), joined(listed(F.col("pos"), F.when(~ok, bad)), "\n").alias("bad"))
     some = F.col("n_good") > 0
     counts = per_round.groupBy("request_id").agg(
         F.sum("n").alias("n"), F.sum("n_good").alias("n_good"), F.min_by("only", F.when(some, F.col("iteration"))).alias("only"),
-        joined(listed(F.col("iteration"), F.when(some, F.col("good"))), between).alias("good_text"),
+        joined(listed(F.col("iteration"), F.when(some, F.col("good"))), BETWEEN_ANSWERS).alias("good_text"),
         joined(listed(F.col("iteration"), F.when(F.col("n_good") < F.col("n"), F.col("bad"))), "\n").alias("bad_text"))
     out = requests.select("request_id").join(counts, "request_id", "left")
     text = F.col("good_text")
     if merged is not None:
         out = out.join(merged.select("request_id", "merged"), "request_id", "left")
         text = F.coalesce("merged", "good_text")
-    return out.select("request_id", F.when(F.col("n").isNull(), "No responses were generated for your query.")
-                      .when(F.col("n_good") == 0, F.concat(F.lit("All agents failed to process your query:\n"), "bad_text"))
+    return out.select("request_id", F.when(F.col("n").isNull(), NO_RESPONSES)
+                      .when(F.col("n_good") == 0, F.concat(F.lit(ALL_FAILED), "bad_text"))
                       .when(F.col("n_good") == 1, F.col("only")).otherwise(text).alias("response"))
 
 

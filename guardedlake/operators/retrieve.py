@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from guardedlake.functions.ordered import ordered_text, top_per_key
 
+# What stands between chunks, and the kinds that go into every context.
 SEPARATOR = "\n\n---\n\n"
 ALWAYS_KINDS = ["overview", "enum"]
 

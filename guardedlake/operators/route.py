@@ -11,6 +11,18 @@ from guardedlake.functions.ordered import latest
 from guardedlake.functions.text import tokens
 
 
+# Reasons a route is given, the confidence of a model's choice, and the error without an agent.
+NO_AGENTS = "No agents available"
+KEYWORD_MATCH = "Keyword match"
+BELOW_THRESHOLD = "Best keyword match (below threshold, no LLM available)"
+NO_MATCH = "No matching agents found and no LLM available"
+MODEL_CHOICE = "LLM classification"
+MODEL_FAILED = "LLM routing failed: no reply"
+MODEL_CONFIDENCE = 0.8
+NO_TARGET_CODE = "ORCHESTRATION_ERROR"
+NO_TARGET = "Routing found no suitable agents for query"
+
+
 class Agent(NamedTuple):
     name: str
     keywords: list[str]
@@ -71,7 +83,7 @@ def route(requests: DataFrame, agents: list[Agent], replies: DataFrame | None =
     if not usable:
         none = F.array().cast("array<string>")
         return requests.select("request_id", none.alias("targets"), F.lit(0.0).alias("confidence"),
-                               F.lit("No agents available").alias("reasoning"), F.lit(False).alias("fallback"))
+                               F.lit(NO_AGENTS).alias("reasoning"), F.lit(False).alias("fallback"))
     if len(usable) > MAX_COLUMN_AGENTS:
         scored = keyword_scores(requests, usable, text)
         grouped = scored.groupBy("request_id").agg(F.collect_list(F.struct("agent", "score")).alias("s"))
@@ -95,14 +107,14 @@ def route(requests: DataFrame, agents: list[Agent], replies: DataFrame | None =
         return joined.select(
             "request_id", F.when(matched, F.col("sure")).otherwise(F.coalesce("agents", none)).alias("targets"),
             F.when(matched, F.col("score")).otherwise(F.coalesce("confidence", F.lit(0.0))).alias("confidence"),
-            F.when(matched, "Keyword match").otherwise(F.coalesce("reasoning", F.lit("LLM routing failed: no reply"))).alias("reasoning"),
+            F.when(matched, KEYWORD_MATCH).otherwise(F.coalesce("reasoning", F.lit(MODEL_FAILED))).alias("reasoning"),
             (~matched & F.coalesce("failed", F.lit(True))).alias("fallback"))
     some = F.col("best").isNotNull()
     return base.select(
         "request_id", F.when(matched, F.col("sure")).when(some, F.array("best")).otherwise(F.array().cast("array<string>")).alias("targets"),
         F.col("score").alias("confidence"),
-        F.when(matched, "Keyword match").when(some, "Best keyword match (below threshold, no LLM available)")
-        .otherwise("No matching agents found and no LLM available").alias("reasoning"),
+        F.when(matched, KEYWORD_MATCH).when(some, BELOW_THRESHOLD)
+        .otherwise(NO_MATCH).alias("reasoning"),
         (~matched).alias("fallback"))
 
 
@@ -119,8 +131,8 @@ def parse_replies(replies: DataFrame, known: list[str]) -> DataFrame:
             .select("request_id", F.filter(names, lambda n: n.isin(known)).alias("agents"), why.alias("why"),
                     F.col("reply").isNull().alias("failed"))
             .select("request_id", "agents",
-                    F.when(F.size("agents") > 0, 0.8).otherwise(0.0).alias("confidence"),
-                    F.when(F.col("failed"), "LLM routing failed: no reply").when(F.col("why") == "", "LLM classification")
+                    F.when(F.size("agents") > 0, MODEL_CONFIDENCE).otherwise(0.0).alias("confidence"),
+                    F.when(F.col("failed"), MODEL_FAILED).when(F.col("why") == "", MODEL_CHOICE)
                     .otherwise(F.col("why")).alias("reasoning"), "failed"))
 
 
@@ -133,8 +145,8 @@ def resolve_agents(routes: DataFrame, agents: DataFrame) -> tuple[DataFrame, Dat
     wanted = routes.select("request_id", F.posexplode("targets").alias("pos", "agent"))
     found = wanted.join(agents.where("healthy").select("agent").distinct(), "agent").select("request_id", "pos", "agent")
     lost = (routes.select("request_id").join(found.select("request_id"), "request_id", "left_anti")
-            .withColumn("error_code", F.lit("ORCHESTRATION_ERROR"))
-            .withColumn("error_message", F.lit("Routing found no suitable agents for query")))
+            .withColumn("error_code", F.lit(NO_TARGET_CODE))
+            .withColumn("error_message", F.lit(NO_TARGET)))
     return found, lost
 
 

@@ -1,11 +1,14 @@
+from types import SimpleNamespace
+
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from guardedlake.operators import sessions
 from guardedlake.plans.ingest import STORED_SCHEMA, ingest
-from guardedlake.session import fresh_path
+from guardedlake.session import fresh_path, shared_dir
 from guardedlake.streaming import streams
 from tests.conftest import rows
 
@@ -98,5 +101,42 @@ def test_ingest_stream_equals_batch_and_replay_is_harmless(spark, tmp_path):
 
 
 def test_shared_folder_is_the_session_setting(spark):
-    folder = spark.conf.get("spark.checkpoint.dir")
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or shared_dir(spark)
     assert fresh_path(spark, "x").startswith(folder.rstrip("/") + "/x-") and fresh_path(spark, "x") != fresh_path(spark, "x")
+
+
+class Context:
+    """A context without the setting."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+
+    def getConf(self):
+        return {}
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder + "/id"
+
+
+def test_only_a_local_session_may_lack_a_shared_folder():
+    local = SimpleNamespace(sparkContext=Context("local[2]"))
+    assert shared_dir(local) == shared_dir(local) == local.sparkContext.folder
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=Context("spark://host:7077")))
+
+
+def test_sliding_windows(spark):
+    df = spark.createDataFrame([(m.to_pydatetime(), "v", 10) for m in at(5, 25, 65)], "ts timestamp, event_type string, latency_ms int")
+    out = streams.windowed_metrics(df, ["event_type"], width="1 hour", slide="30 minutes")
+    assert sorted((r["window_start"].hour * 60 + r["window_start"].minute, r["query_count"]) for r in out.collect()) == [(0, 2), (30, 1), (60, 1), (1410, 2)]
+
+
+def test_history_stream_equals_batch_trim(spark, tmp_path):
+    for i, seqs in enumerate(([0, 3, 1], [2, 5], [4])):
+        put(tmp_path / "in", f"f{i}", session_key=["s"] * len(seqs), seq=seqs, role=["USER"] * len(seqs), content=[str(x) for x in seqs])
+    stream = streams.stream_table(spark, str(tmp_path / "in"), files_per_batch=1)
+    streams.history_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), keep=2).awaitTermination()
+    assert sorted(r["seq"] for r in streams.current_history(spark, str(tmp_path / "out"), 2).collect()) == [4, 5]
