@@ -24,4 +24,4 @@ def test_entry_points(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     shown = e.entry(spark).collect()
     assert len(shown) == 1 and shown[0]["markdown"].startswith("| business_unit | total_revenue | \n| --- | --- | \n")
-    assert shown[0]["markdown"].endswith("_25 row(s) returned_")
+    assert shown[0]["markdown"].endswith("_10 row(s) returned_") and "| 11483405.93 | " in shown[0]["markdown"]
