@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardedlake.llm import quality_rules, secret_scan
-from guardedlake.llm.sql import SQL
+from guardedlake.llm import bpe, language, pii, quality_rules, secret_scan, superminhash
 from guardedlake.llm.texts import documents
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary() -> bpe.Vocabulary:
+    return bpe.Vocabulary.read(public_tokenizers.path(VOCABULARY))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(documents(spark, sf_dir))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(documents(spark, sf_dir), vocabulary())
+
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digest(documents(spark, sf_dir))
 
 
+def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", *[F.col(f"quality.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
-QUERIES = {f.__name__: f for f in (op7_secret_scan, op9_quality_rules)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op5_pii, op6_bpe, op7_secret_scan, op8_superminhash, op9_quality_rules, op10_language)}
