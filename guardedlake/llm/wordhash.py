@@ -30,15 +30,15 @@ def _powers(base: int) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of the words of a text; ``fold`` takes A to Z as a to z, ``keep`` says which bytes may be in a word."""
+    """Hashes of the words of a text; ``fold`` takes A to Z as a to z, ``plain`` cuts words at ASCII signs too."""
 
-    def __init__(self, fold: bool = True):
+    def __init__(self, fold: bool = True, plain: bool = False):
         codes = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
         if fold:
             codes[65:91] = codes[97:123]
         self.codes, self.up, self.down = codes, _powers(BASE), _powers(INVERSE)
         self.blank = np.zeros(256, dtype=bool)
-        self.blank[BLANK_BYTES] = True
+        self.blank[[b for b in range(128) if not chr(b).isalnum()] if plain else BLANK_BYTES] = True
 
     def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and hash of every word of one text, as bytes."""
