@@ -20,6 +20,7 @@ from guardedlake.session import materialise
 TIMED_OUT = "Agent timed out after {}s"
 FAILED = "Agent execution failed: "
 NOT_CALLED = "No response from agent"
+NO_TEXT = "(no text)"
 NO_RESPONSES = "No responses were generated for your query."
 ALL_FAILED = "All agents failed to process your query:\n"
 BETWEEN_ANSWERS = "\n\n---\n\n"
@@ -124,11 +125,6 @@ def apply_timeout(log: DataFrame, limit_s: int = 30) -> DataFrame:
             .withColumn("success", F.col("success") & ~late))
 
 
-def _call_order() -> Column:
-    """One integer that orders the calls of a request by round and place."""
-    return (F.col("iteration").cast("long") * 10_000 + F.col("pos")).alias("o")
-
-
 def consolidate(requests: DataFrame, log: DataFrame, merged: DataFrame | None = None) -> DataFrame:
     """``(request_id, response)``: one text from all answers of a request.
 
@@ -138,6 +134,8 @@ def consolidate(requests: DataFrame, log: DataFrame, merged: DataFrame | None =
     and the counts come from the same two steps.
     """
     ok = F.col("success")
+    # An answer without text is still an answer, and is shown as such.
+    log = log.withColumn("response", F.when(ok, F.coalesce("response", F.lit(NO_TEXT))).otherwise(F.col("response")))
     good = F.concat(F.lit("**"), "agent", F.lit(":**\n"), "response")
     bad = F.concat(F.lit("- "), "agent", F.lit(": "), F.coalesce("error", F.lit("null")))
 
@@ -166,7 +164,8 @@ def consolidate(requests: DataFrame, log: DataFrame, merged: DataFrame | None =
 
 
 def observation_summary(log: DataFrame) -> DataFrame:
-    """``(request_id, summary)``: ``[agent]: response`` lines of the successes."""
-    calls = log.where("success").select("request_id", _call_order(),
-                                        F.concat(F.lit("["), "agent", F.lit("]: "), "response").alias("line"))
-    return ordered_text(calls, ["request_id"], "o", "line", "summary", "\n")
+    """``(request_id, summary)``: ``[agent]: response`` lines of the successes, by round and place."""
+    line = F.concat(F.lit("["), "agent", F.lit("]: "), "response").alias("line")
+    calls = log.where("success").select("request_id", F.col("iteration").cast("long").alias("iteration"), F.col("pos").cast("long").alias("pos"), line)
+    rounds = ordered_text(calls, ["request_id", "iteration"], "pos", "line", "lines", "\n")
+    return ordered_text(rounds, ["request_id"], "iteration", "lines", "summary", "\n")

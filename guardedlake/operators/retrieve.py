@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardedlake.functions.ordered import ordered_text, top_per_key
+from guardedlake.session import materialise
 
 # What stands between chunks, and the kinds that go into every context.
 SEPARATOR = "\n\n---\n\n"
@@ -35,17 +34,17 @@ def without_kinds(chunks: DataFrame, kinds: list[str] = ALWAYS_KINDS) -> DataFra
 
 
 class SearchSize(NamedTuple):
-    """Bounds of what one task holds at a time."""
+    """Rows that one task holds at a time, and the tile of them that is multiplied at once."""
 
-    broadcast_values: int = 4_000_000  # query numbers that may be sent to every task (32 MB)
-    query_block: int = 1_024  # with chunk_block, a distance matrix of 64 MB
-    chunk_block: int = 8_192
+    query_block: int = 8_192
+    chunk_block: int = 32_768
+    query_tile: int = 1_024
+    chunk_tile: int = 8_192  # with query_tile, a distance matrix of 64 MB
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array | pd.Series) -> np.ndarray:
+def _matrix(column: pd.Series) -> np.ndarray:
     """Rows of float lists as one matrix at unit length; zero rows stay zero."""
-    m = np.stack(column.to_numpy()) if isinstance(column, pd.Series) else np.stack(column.to_numpy(zero_copy_only=False))
-    m = m.astype(np.float64)
+    m = np.stack(column.to_numpy()).astype(np.float64)
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
@@ -74,13 +73,14 @@ def _nearest(q: np.ndarray, c: np.ndarray, cids: np.ndarray, k: int) -> tuple[np
 def _hit_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
     return T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
+        T.StructField("namespace", chunks.schema["namespace"].dataType),
         T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
         T.StructField("distance", T.DoubleType())])
 
 
 def _rank(hits: DataFrame, k: int) -> DataFrame:
     d = F.col("distance")
-    ranked = top_per_key(hits, ["query_id"], [d.asc(), F.col("chunk_id").asc()], k)
+    ranked = top_per_key(hits, ["query_id", "namespace"], [d.asc(), F.col("chunk_id").asc()], k)
     return ranked.withColumn("distance", F.when(d == float("inf"), None).otherwise(d))
 
 
@@ -88,43 +88,14 @@ def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 8, size: SearchS
     """The ``k`` chunks of a query's namespace that are nearest by cosine distance.
 
     ``queries(query_id, namespace, embedding)``, ``chunks(chunk_id, namespace,
-    embedding)``; gives ``(query_id, chunk_id, distance, rank)``, ties by id. Rows
-    without a vector take no part.
-
-    A query set whose measured size is small goes to every task, and the chunks are
-    read where they lie. A larger one meets the chunks in blocks (``_block_topk``).
-    Either way only the ``k`` best per query leave a task or a block, never the pairs.
+    embedding)``; gives ``(query_id, namespace, chunk_id, distance, rank)``, ties by id.
+    A chunk is known by its namespace and id together. Rows without a vector take no
+    part. Queries and chunks meet in blocks, whatever their number (``_block_topk``);
+    only the ``k`` best per query leave a block, never the pairs.
     """
     q = queries.select("query_id", "namespace", "embedding").where("embedding IS NOT NULL")
     c = chunks.select("chunk_id", "namespace", "embedding").where("embedding IS NOT NULL")
-    width = F.coalesce(F.sum(F.size("embedding")), F.lit(0))
-    values = q.agg(width.alias("n")).first()["n"]
-    if values > size.broadcast_values:
-        return _rank(_block_topk(q, c, ["namespace"], k, size), k)
-    held = q.toPandas()
-    groups = {ns: (rows["query_id"].to_numpy(), _matrix(rows["embedding"]))
-              for ns, rows in held.groupby("namespace", sort=False)}
-    sent = q.sparkSession.sparkContext.broadcast(groups)
-    schema = _hit_schema(q, c)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Best hits so far of each query block; a task gives them out once, at its end.
-        best: dict[tuple, pd.DataFrame] = {}
-        for batch in batches:
-            for ns, rows in batch.groupby("namespace", sort=False):
-                if ns not in sent.value:
-                    continue
-                qids, qm = sent.value[ns]
-                for cut in range(0, len(rows), size.chunk_block):
-                    part = rows.iloc[cut:cut + size.chunk_block]
-                    cids, cm = part["chunk_id"].to_numpy(), _matrix(part["embedding"])
-                    for start in range(0, len(qids), size.query_block):
-                        to = start + size.query_block
-                        new = _hits(qids[start:to], qm[start:to], cids, cm, k)
-                        best[ns, start] = _keep_best(best.get((ns, start)), new, k)
-        yield from best.values()
-
-    return _rank(c.mapInPandas(search, schema), k)
+    return _rank(_block_topk(q, c, ["namespace"], k, size), k)
 
 
 def _keep_best(held: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -143,8 +114,9 @@ def _block_topk(q: DataFrame, c: DataFrame, keys: list[str], k: int, size: Searc
     """Top-k hits of queries and chunks that share ``keys``, by a grid of blocks.
 
     Each key is given as many query and chunk blocks as its counts ask for, rows are
-    dealt to them by a hash of their id, and each pair of blocks is one small group.
-    A key that holds a third of all rows becomes many groups instead of a large one.
+    dealt to them by a hash of their id, and each pair of blocks is one group of bounded
+    size, multiplied tile by tile. A key that holds a third of all rows becomes many
+    groups instead of a large one. ``keys`` begin with the namespace.
     """
     nq = q.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size.query_block).cast("int").alias("__qn"))
     nc = c.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size.chunk_block).cast("int").alias("__cn"))
@@ -163,9 +135,16 @@ def _block_topk(q: DataFrame, c: DataFrame, keys: list[str], k: int, size: Searc
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "distance": []})
-        return _hits(a["query_id"].to_numpy(), _matrix(a["embedding"]),
-                     b["chunk_id"].to_numpy(), _matrix(b["embedding"]), k)
+            return pd.DataFrame(columns=["query_id", "namespace", "chunk_id", "distance"], dtype=object)
+        qids, qm, cids, cm = a["query_id"].to_numpy(), _matrix(a["embedding"]), b["chunk_id"].to_numpy(), _matrix(b["embedding"])
+        out = []
+        for i in range(0, len(qids), size.query_tile):
+            best = None
+            for j in range(0, len(cids), size.chunk_tile):
+                new = _hits(qids[i:i + size.query_tile], qm[i:i + size.query_tile], cids[j:j + size.chunk_tile], cm[j:j + size.chunk_tile], k)
+                best = _keep_best(best, new, k)
+            out.append(best)
+        return pd.concat(out).assign(namespace=a["namespace"].iloc[0])[["query_id", "namespace", "chunk_id", "distance"]]
 
     return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(pair, schema)
 
@@ -183,29 +162,31 @@ def _signatures(df: DataFrame, dim: int, tables: int, bits: int, seed: int) -> D
     return df.select("*", F.posexplode(signature.asNondeterministic()("embedding")).alias("__table", "__sig"))
 
 
-def approximate_topk(queries: DataFrame, chunks: DataFrame, dim: int, k: int = 8, tables: int = 8, bits: int = 6,
+def approximate_topk(queries: DataFrame, chunks: DataFrame, dim: int, bits: int, k: int = 8, tables: int = 8,
                      seed: int = 7, size: SearchSize = SearchSize()) -> DataFrame:
     """Approximate ``cosine_topk``: only chunks that share a signature are compared.
 
     Vectors on the same side of the random planes of a hash table meet; their exact
-    distance is then computed, so an answer can miss a neighbour but never holds a
-    wrong distance. Buckets are joined in the same block grid, so a full bucket is
-    split and gives ``k`` hits per query and block. More tables raise the recall,
-    more bits shrink the buckets.
+    distance is then computed, so an answer can miss a neighbour, and hold fewer than
+    ``k``, but never holds a wrong distance. Buckets are joined in the same block grid,
+    so a full bucket is split and gives ``k`` hits per query and block. ``bits`` has no
+    default: a table of n chunks has 2^bits buckets of about n / 2^bits, so it should
+    grow with log2(n). More tables raise the recall. Signatures are computed once and
+    written.
     """
     q = queries.select("query_id", "namespace", "embedding").where("embedding IS NOT NULL")
     c = chunks.select("chunk_id", "namespace", "embedding").where("embedding IS NOT NULL")
-    hits = _block_topk(_signatures(q, dim, tables, bits, seed), _signatures(c, dim, tables, bits, seed),
-                       ["namespace", "__table", "__sig"], k, size)
+    signed = [materialise(_signatures(df, dim, tables, bits, seed), "signatures") for df in (q, c)]
+    hits = _block_topk(*signed, ["namespace", "__table", "__sig"], k, size)
     # A chunk is found once per hash table at most, so its k best are among the first k * tables;
     # cut there first, which also leaves the rows where the next two steps need them.
-    near = top_per_key(hits, ["query_id"], [F.col("distance"), F.col("chunk_id")], k * tables, "__n").drop("__n")
-    return _rank(near.dropDuplicates(["query_id", "chunk_id"]), k)
+    near = top_per_key(hits, ["query_id", "namespace"], [F.col("distance"), F.col("chunk_id")], k * tables, "__n").drop("__n")
+    return _rank(near.dropDuplicates(["query_id", "namespace", "chunk_id"]), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits that were found."""
-    both = exact.join(found, ["query_id", "chunk_id"], "left_semi").agg(F.count(F.lit(1)).alias("n_found"))
+    both = exact.join(found, ["query_id", "namespace", "chunk_id"], "left_semi").agg(F.count(F.lit(1)).alias("n_found"))
     return (both.join(exact.agg(F.count(F.lit(1)).alias("n_exact")))
             .select("n_found", "n_exact", F.try_divide("n_found", "n_exact").alias("recall")))
 
@@ -219,13 +200,13 @@ def assemble(hits: DataFrame, chunks: DataFrame, queries: DataFrame, kinds: list
     fixed = chunks.where(F.lower("kind").isin([k.lower() for k in kinds]))
     by_name = Window.partitionBy("namespace").orderBy("kind", "title", "chunk_id")
     head = ordered_text(fixed.withColumn("o", F.row_number().over(by_name)), ["namespace"], "o", "content", "head", SEPARATOR)
-    extra = hits.join(chunks.select("chunk_id", "kind", "content"), "chunk_id")
+    extra = hits.join(chunks.select("namespace", "chunk_id", "kind", "content"), ["namespace", "chunk_id"])
     extra = extra.where(~F.lower("kind").isin([k.lower() for k in kinds]))
     # A query has k hits, so one list per query is bounded.
     listed = F.array_sort(F.collect_list(F.struct("rank", "content")))
-    tail = extra.groupBy("query_id").agg(F.array_join(F.transform(listed, lambda e: e["content"]), SEPARATOR).alias("tail"))
+    tail = extra.groupBy("query_id", "namespace").agg(F.array_join(F.transform(listed, lambda e: e["content"]), SEPARATOR).alias("tail"))
     text = F.concat_ws(SEPARATOR, F.col("head"), F.col("tail"))
-    return (queries.select("query_id", "namespace").join(head, "namespace", "left").join(tail, "query_id", "left")
+    return (queries.select("query_id", "namespace").join(head, "namespace", "left").join(tail, ["query_id", "namespace"], "left")
             .select("query_id", F.nullif(text, F.lit("")).alias("context")))
 
 

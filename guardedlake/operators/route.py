@@ -29,46 +29,25 @@ class Agent(NamedTuple):
     healthy: bool = True
 
 
-# Agents beyond this number are scored by a join instead of by columns of the plan.
-MAX_COLUMN_AGENTS = 200
-
-
 def agents_frame(spark, agents: list[Agent]) -> DataFrame:
-    rows = [(i, a.name, list(a.keywords), a.healthy) for i, a in enumerate(agents)]
+    """The registrations; of a name that is registered twice the last one holds."""
+    last = {a.name: i for i, a in enumerate(agents)}
+    rows = [(i, agents[i].name, list(agents[i].keywords), agents[i].healthy) for i in sorted(last.values())]
     return spark.createDataFrame(rows, "pos int, agent string, keywords array<string>, healthy boolean")
 
 
-def keyword_scores(requests: DataFrame, agents: list[Agent], text: str = "query") -> DataFrame:
+def keyword_scores(requests: DataFrame, agents: list[Agent] | DataFrame, text: str = "query") -> DataFrame:
     """``(request_id, agent, score)`` for scores above 0.
 
-    The score is the share of a request's distinct words that are keywords. With
-    the registered agents as plan constants it is one projection of the requests:
-    no join and no shuffle. A longer list is joined on the word.
+    The score is the share of a request's distinct words that are keywords. Words are
+    joined with keywords, so that any number of agents may be registered; hits are
+    counted in each task before they are shuffled.
     """
-    if len(agents) > MAX_COLUMN_AGENTS:
-        return _joined_scores(requests, agents_frame(requests.sparkSession, agents), text)
-    return (requests.select("request_id", tokens(text).alias("w"))
-            .select("request_id", F.explode_outer(_scores(agents)).alias("s"))
-            .select("request_id", "s.agent", "s.score").where("score > 0"))
-
-
-def _scores(agents: list[Agent]) -> Column:
-    """Array of ``(score, agent)`` structs over the word column ``w``."""
-    def score(agent: Agent) -> Column:
-        words = F.array(*[F.lit(k.lower()) for k in agent.keywords]) if agent.keywords else F.array().cast("array<string>")
-        hit = F.size(F.array_intersect("w", words))
-        return F.struct(F.lit(agent.name).alias("agent"),
-                        F.when(F.size("w") > 0, hit / F.size("w")).otherwise(0.0).alias("score"))
-
-    return F.array(*[score(a) for a in agents])
-
-
-def _joined_scores(requests: DataFrame, agents: DataFrame, text: str) -> DataFrame:
+    known = agents if isinstance(agents, DataFrame) else agents_frame(requests.sparkSession, agents)
     words = requests.select("request_id", tokens(text).alias("w"))
-    words = words.select("request_id", F.size("w").alias("n"), F.explode_outer("w").alias("word"))
-    keys = agents.select("agent", F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("word"))
-    return (words.join(keys, "word").groupBy("request_id", "agent")
-            .agg((F.count(F.lit(1)) / F.first("n")).alias("score")))
+    words = words.select("request_id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    keys = known.select("agent", F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("word"))
+    return words.join(keys, "word").groupBy("request_id", "agent").agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
 
 
 def route(requests: DataFrame, agents: list[Agent], replies: DataFrame | None = None, text: str = "query",
@@ -79,19 +58,15 @@ def route(requests: DataFrame, agents: list[Agent], replies: DataFrame | None =
     names, if replies ``(request_id, reply)`` are given; else the best agent below
     the threshold, marked as a fallback; else none. Only healthy agents count.
     """
-    usable = [a for a in agents if a.healthy]
+    usable = [a for a in {a.name: a for a in agents}.values() if a.healthy]
     if not usable:
         none = F.array().cast("array<string>")
         return requests.select("request_id", none.alias("targets"), F.lit(0.0).alias("confidence"),
                                F.lit(NO_AGENTS).alias("reasoning"), F.lit(False).alias("fallback"))
-    if len(usable) > MAX_COLUMN_AGENTS:
-        scored = keyword_scores(requests, usable, text)
-        grouped = scored.groupBy("request_id").agg(F.collect_list(F.struct("agent", "score")).alias("s"))
-        base = requests.select("request_id").join(grouped, "request_id", "left").withColumn(
-            "s", F.coalesce("s", F.array().cast("array<struct<agent:string,score:double>>")))
-    else:
-        base = requests.select("request_id", tokens(text).alias("w")).withColumn(
-            "s", F.filter(_scores(usable), lambda x: x["score"] > 0)).drop("w")
+    scored = keyword_scores(requests, usable, text)
+    grouped = scored.groupBy("request_id").agg(F.collect_list(F.struct("agent", "score")).alias("s"))
+    base = requests.select("request_id").join(grouped, "request_id", "left").withColumn(
+        "s", F.coalesce("s", F.array().cast("array<struct<agent:string,score:double>>")))
     # Best first, equal scores by name.
     best_first = F.array_sort(F.transform("s", lambda x: F.struct((-x["score"]).alias("neg"), x["agent"].alias("agent"))))
     base = base.select("request_id", best_first.alias("s"))
@@ -118,22 +93,29 @@ def route(requests: DataFrame, agents: list[Agent], replies: DataFrame | None =
         (~matched).alias("fallback"))
 
 
-def parse_replies(replies: DataFrame, known: list[str]) -> DataFrame:
-    """Names and reasoning out of ``(request_id, reply)``; unknown names are dropped.
+# How a reply names agents and gives its reason.
+REPLY_AGENTS = r'"agents"\s*:\s*\[([^\]]*)\]'
+REPLY_REASON = r'"reasoning"\s*:\s*"([^"]+)"'
+
 
-    A null reply stands for a failed call.
+def parse_replies(replies: DataFrame, known: list[str] | DataFrame) -> DataFrame:
+    """Names and reasoning out of ``(request_id, reply)``, one row per request; unknown names are dropped.
+
+    A null reply stands for a failed call. Of several replies to one request the one
+    with the highest ``seq`` counts, where there is such a column; else the greatest text.
     """
-    reply = F.coalesce("reply", F.lit(""))
-    inside = F.regexp_extract(reply, r'"agents"\s*:\s*\[([^\]]*)\]', 1)
-    names = F.regexp_extract_all(inside, F.lit('"([^"]+)"'), 1)
-    why = F.regexp_extract(reply, r'"reasoning"\s*:\s*"([^"]+)"', 1)
-    return (replies
-            .select("request_id", F.filter(names, lambda n: n.isin(known)).alias("agents"), why.alias("why"),
-                    F.col("reply").isNull().alias("failed"))
-            .select("request_id", "agents",
-                    F.when(F.size("agents") > 0, MODEL_CONFIDENCE).otherwise(0.0).alias("confidence"),
-                    F.when(F.col("failed"), MODEL_FAILED).when(F.col("why") == "", MODEL_CHOICE)
-                    .otherwise(F.col("why")).alias("reasoning"), "failed"))
+    names = known.select("agent").distinct() if isinstance(known, DataFrame) else replies.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(known)], "agent string")
+    order = [c for c in ("seq",) if c in replies.columns]
+    one = replies.groupBy("request_id").agg(F.max(F.struct(*order, F.col("reply").isNotNull().alias("given"), "reply"))["reply"].alias("reply"))
+    text = F.coalesce("reply", F.lit(""))
+    said = one.select("request_id", "reply", F.regexp_extract_all(F.regexp_extract(text, REPLY_AGENTS, 1), F.lit('"([^"]+)"'), 1).alias("said"),
+                      F.regexp_extract(text, REPLY_REASON, 1).alias("why"))
+    found = said.select("request_id", F.posexplode("said").alias("pos", "agent")).join(names, "agent")
+    found = found.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("pos", "agent")))["agent"].alias("agents"))
+    failed = F.col("reply").isNull()
+    return said.join(found, "request_id", "left").withColumn("agents", F.coalesce("agents", F.array().cast("array<string>"))).select(
+        "request_id", "agents", F.when(F.size("agents") > 0, MODEL_CONFIDENCE).otherwise(0.0).alias("confidence"),
+        F.when(failed, MODEL_FAILED).when(F.col("why") == "", MODEL_CHOICE).otherwise(F.col("why")).alias("reasoning"), failed.alias("failed"))
 
 
 def resolve_agents(routes: DataFrame, agents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -182,44 +164,31 @@ class BankEntry(NamedTuple):
     response: str
 
 
-# Phrases beyond this number are matched by a join instead of by columns of the plan.
-MAX_COLUMN_PHRASES = 2_000
-
-
-def bank_lookup(requests: DataFrame, bank: list[BankEntry], refusal: str, text: str = "query", least: int = 2) -> DataFrame:
+def bank_lookup(requests: DataFrame, bank: list[BankEntry], refusal: str, text: str = "query", least: int = 2, gram: int = 3) -> DataFrame:
     """``(request_id, entry, score, success, response)`` from recorded answers.
 
     An entry scores one for each of its phrases the question contains; the highest
     score wins, the earlier entry on ties, and a score below ``least`` is refused.
-    """
-    asked = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
-    if sum(len(set(e.phrases)) for e in bank) > MAX_COLUMN_PHRASES:
-        found = _joined_bank(requests.select("request_id", asked.alias("q")), bank)
-        base = requests.select("request_id").join(found, "request_id", "left")
-    else:
-        scores = [F.struct(sum((F.when(F.col("q").contains(p), 1).otherwise(0) for p in sorted(set(e.phrases))), F.lit(0)).alias("score"),
-                           F.lit(-i).alias("neg")) for i, e in enumerate(bank)]
-        base = requests.select("request_id", asked.alias("q")).select("request_id", F.array_max(F.array(*scores)).alias("b"))
-    base = base.select("request_id", F.coalesce("b.score", F.lit(0)).alias("score"), (-F.col("b.neg")).alias("entry"))
-    good = F.col("score") >= least
-    answers = F.array(*[F.lit(e.response) for e in bank])
-    return base.select("request_id", F.when(good, F.col("entry")).otherwise(-1).alias("entry"), "score", good.alias("success"),
-                       F.when(good, F.get(answers, "entry")).otherwise(F.lit(refusal)).alias("response"))
-
-
-def _joined_bank(asked: DataFrame, bank: list[BankEntry], gram: int = 3) -> DataFrame:
-    """The same scores for a bank too large for plan constants.
 
     A question that contains a phrase contains the phrase's first letters, so both
     sides are joined on those (an equality, which Spark can shuffle or broadcast as
-    their sizes ask), and the whole phrase is compared afterwards.
+    their sizes ask), and the whole phrase is compared afterwards. Answers are joined
+    to the entries that won.
     """
+    spark = requests.sparkSession
+    clean = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+    asked = requests.select("request_id", clean.alias("q"))
     rows = [(i, p) for i, e in enumerate(bank) for p in sorted(set(e.phrases))]
-    phrases = asked.sparkSession.createDataFrame(rows, "entry int, phrase string").withColumn("g", F.substring("phrase", 1, gram))
+    phrases = spark.createDataFrame(rows, "entry int, phrase string").withColumn("g", F.substring("phrase", 1, gram))
     lengths = sorted({min(gram, len(p)) for _, p in rows})
     starts = F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1)))
     grams = F.array_distinct(F.flatten(F.array(*[F.transform(starts, lambda i: F.substring(F.col("q"), i, F.lit(n))) for n in lengths])))
     hits = (asked.select("request_id", "q", F.explode_outer(grams).alias("g")).join(phrases, "g")
             .where(F.contains("q", "phrase")).select("request_id", "entry", "phrase"))
     per_entry = hits.groupBy("request_id", "entry").agg(F.count(F.lit(1)).cast("int").alias("score"))
-    return per_entry.groupBy("request_id").agg(F.max(F.struct("score", (-F.col("entry")).alias("neg"))).alias("b"))
+    best = per_entry.groupBy("request_id").agg(F.max(F.struct("score", (-F.col("entry")).alias("neg"))).alias("b"))
+    answers = spark.createDataFrame([(i, e.response) for i, e in enumerate(bank)], "entry int, answer string")
+    base = requests.select("request_id").join(best, "request_id", "left").select("request_id", F.coalesce("b.score", F.lit(0)).alias("score"), (-F.col("b.neg")).alias("entry"))
+    good = F.col("score") >= least
+    return base.join(answers, "entry", "left").select("request_id", F.when(good, F.col("entry")).otherwise(-1).alias("entry"), "score", good.alias("success"),
+                                                      F.when(good, F.col("answer")).otherwise(F.lit(refusal)).alias("response"))

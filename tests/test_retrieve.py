@@ -55,7 +55,7 @@ def test_topk_equals_brute_force(search):
 @pytest.mark.parametrize("qb,cb", [(1, 1), (4, 16), (100, 1000)])
 def test_block_topk_equals_brute_force(search, qb, cb):
     q, c, want = search
-    same(ordered(retrieve.cosine_topk(q, c, 12, retrieve.SearchSize(0, qb, cb))), want)
+    same(ordered(retrieve.cosine_topk(q, c, 12, retrieve.SearchSize(qb, cb, 3, 7))), want)
 
 
 def test_topk_is_a_prefix(search):
@@ -72,10 +72,17 @@ def test_approximate_recall(spark):
     centres = RNG.standard_normal((12, 32)) * 3
     v = centres[RNG.integers(0, 12, 600)] + RNG.standard_normal((600, 32)) * 0.4
     q, c = frame(spark, "query_id", v[:100], ["n"] * 100), frame(spark, "chunk_id", v, ["n"] * 600)
-    exact, found = retrieve.cosine_topk(q, c, 5), retrieve.approximate_topk(q, c, 32, 5, tables=8, bits=6)
+    exact, found = retrieve.cosine_topk(q, c, 5), retrieve.approximate_topk(q, c, 32, bits=6, k=5, tables=8)
     assert retrieve.recall(found, exact).first()["recall"] > 0.9
-    distances = {r[:2]: r[2] for r in rows(retrieve.cosine_topk(q, c, 600))}
-    assert all(abs(distances[r[:2]] - r[2]) < 1e-6 for r in rows(found))
+    distances = {r[:3]: r[3] for r in rows(retrieve.cosine_topk(q, c, 600))}
+    assert all(abs(distances[r[:3]] - r[3]) < 1e-6 for r in rows(found))
+
+
+def test_namespaces_stay_apart(spark):
+    chunks = spark.createDataFrame([("t", "a", "TABLE", "x", "A", [1.0, 0.0]), ("t", "b", "TABLE", "x", "SECRET", [1.0, 0.0])],
+                                   "chunk_id string, namespace string, kind string, title string, content string, embedding array<float>")
+    q = spark.createDataFrame([(1, "a", [0.1, 1.0])], "query_id int, namespace string, embedding array<float>")
+    assert rows(retrieve.assemble(retrieve.cosine_topk(q, chunks), chunks, q)) == [(1, "A")]
 
 
 def test_context_and_fallback(spark):

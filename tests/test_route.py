@@ -20,11 +20,21 @@ def test_scores(spark):
     assert got == [(0, "docs", 1 / 3), (0, "off", 1 / 3), (0, "sql", 1.0)]
 
 
-def test_scores_by_join_are_the_same(spark, data):
-    asked = spark.read.parquet(f"{data}/conversations.parquet").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.col("text").alias("query"))
-    agents = [route.Agent("a", ["the", "of", "and"]), route.Agent("b", ["le", "la", "OU"]), route.Agent("c", [])]
-    joined = route._joined_scores(asked, route.agents_frame(spark, agents), "query")
-    assert sorted(rows(joined)) == sorted(rows(route.keyword_scores(asked, agents)))
+def test_the_last_registration_holds(spark):
+    twice = [route.Agent("x", ["alpha"]), route.Agent("x", ["alpha", "beta"])]
+    assert rows(route.keyword_scores(requests(spark, "alpha beta"), twice)) == [(0, "x", 1.0)]
+    assert routed(route.route(requests(spark, "alpha beta"), twice))[0][0] == ["x"]
+
+
+def test_many_agents(spark):
+    many = [route.Agent(f"a{i:03}", ["common", f"word{i}"]) for i in range(450)]
+    got = dict(((r, a), s) for r, a, s in rows(route.keyword_scores(requests(spark, "common word7"), many)))
+    assert len(got) == 450 and got[0, "a007"] == 1.0 and got[0, "a008"] == 0.5
+
+
+def test_one_reply_counts(spark):
+    said = spark.createDataFrame([(0, 1, '{"agents": ["docs"]}'), (0, 2, '{"agents": ["sql"]}')], "request_id int, seq int, reply string")
+    assert routed(route.route(requests(spark, "maybe"), AGENTS, said)) == {0: (["sql"], 0.8, "LLM classification", False)}
 
 
 def test_route_ladder(spark):
@@ -66,29 +76,31 @@ def test_agent_catalog(spark):
     assert route.agents_document(reg.where("false")).first()["document"] == "No agents registered."
 
 
-BANK = [route.BankEntry(["how many", "count", "films", "database", "total films"], "1,000 films"),
-        route.BankEntry(["top", "highest", "grossing", "revenue", "films", "earning"], "Telegraph Voyage"),
-        route.BankEntry(["categories", "most films", "genre", "category"], "Sports"),
-        route.BankEntry(["staff", "members", "employees", "who are"], "Mike Hillyer")]
-ASKED = {"How many films are in the database?": 0, "HOW MANY FILMS ARE IN THE DATABASE?": 0, "total number of films in the database": 0,
-         "Show me the top 5 highest-grossing films": 1, "top highest grossing films": 1, "What categories have the most films?": 2, "Who are the staff members?": 3,
-         "": -1, "   ": -1, "x": -1, "hello world": -1, "Tell me a joke": -1, "films": -1, "staff members count films": 0}
+BANK = [route.BankEntry(["orders", "open", "how large", "per region"], "12 open orders"),
+        route.BankEntry(["supplier", "best", "balance", "orders"], "Supplier 7"),
+        route.BankEntry(["part size", "brands"], "Brand 23"),
+        route.BankEntry(["late lines", "shipped", "by month"], "March")]
+ASKED = {"How large are open orders?": 0, "HOW LARGE ARE OPEN ORDERS?": 0, "open orders per region": 0, "  the supplier with the best balance ": 1, "best supplier": 1,
+         "part size of all brands": 2, "shipped late lines by month": 3, "": -1, "   ": -1, "q": -1, "good morning": -1, "orders": -1,
+         "best orders of a supplier, open": 1, "brands shipped": -1}
+TIED = {"orders open, the best": 0}  # two phrases each: the earlier entry
 
 
-@pytest.mark.parametrize("limit", [2_000, 0])
-def test_answer_bank(spark, monkeypatch, limit):
-    monkeypatch.setattr(route, "MAX_COLUMN_PHRASES", limit)
-    out = route.bank_lookup(requests(spark, *ASKED), BANK, "Only films.").orderBy("request_id").collect()
-    assert [r["entry"] for r in out] == list(ASKED.values())
-    assert [r["response"] for r in out] == [BANK[e].response if e >= 0 else "Only films." for e in ASKED.values()]
+def test_answer_bank(spark):
+    asked = {**ASKED, **TIED}
+    out = route.bank_lookup(requests(spark, *asked), BANK, "Only sales.").orderBy("request_id").collect()
+    assert [r["entry"] for r in out] == list(asked.values())
+    assert [r["response"] for r in out] == [BANK[e].response if e >= 0 else "Only sales." for e in asked.values()]
 
 
-def test_bank_join_equals_columns_on_whole_texts(spark, data, monkeypatch):
+def test_bank_on_whole_texts(spark, data):
     asked = spark.read.parquet(f"{data}/documents.parquet").select(F.col("doc_id").alias("request_id"), F.col("text").alias("query"))
     bank = [route.BankEntry(["the", "an", "x"], "a"), route.BankEntry(["ou", "tion", "que les"], "b"), route.BankEntry(["sch", "und "], "c")]
-    direct = sorted(rows(route.bank_lookup(asked, bank, "no")))
-    monkeypatch.setattr(route, "MAX_COLUMN_PHRASES", 0)
-    assert sorted(rows(route.bank_lookup(asked, bank, "no"))) == direct
+    got = {r["request_id"]: (r["entry"], r["score"]) for r in route.bank_lookup(asked, bank, "no").collect()}
+    for r in asked.collect():
+        scores = [sum(p in r["query"].lower().strip() for p in e.phrases) for e in bank]
+        best = max(range(3), key=lambda i: (scores[i], -i))
+        assert got[r["request_id"]] == ((best if scores[best] >= 2 else -1), scores[best]), r["request_id"]
 
 
 def test_scope(spark):
