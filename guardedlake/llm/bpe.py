@@ -62,12 +62,30 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Trie:
-    """Encodings of words by their states; ``words`` are encoded together."""
+    """Encodings of words by their states; ``words`` are encoded together.
+
+    Whether token b may follow token a is read off their merges. Until something is
+    merged across their border, each side grows as it would alone: at the border stand
+    in turn the tokens on the right edge of a's merge tree and on the left edge of b's.
+    So a merge across comes first if some pair of these has a rank below that of the
+    merges that take its two members away; of equal ranks the one further left wins.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.ids, self.ranks = vocabulary.tokens, vocabulary.ranks
-        self.endings = {t[i:] for t in self.ids for i in range(len(t))}
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.size = 1 + max(self.ids.values())
+        self.bytes_of = {i: t for t, i in self.ids.items()}
+        made = {a + b: (a, b, r) for (a, b), r in reversed(list(self.ranks.items()))}
+        self.made = {self.ids[t]: (self.ids[a], self.ids[b], r) for t, (a, b, r) in made.items()}
+        self.one_way = len(made) == len(self.ranks)  # no token is the result of two merges
+        self.pair_rank = {self.ids[a] * self.size + self.ids[b]: r for (a, b), r in self.ranks.items()}
+        self.endings: dict[bytes, int] = {}  # every ending of a token, and its id if it is a token itself
+        for t in self.ids:
+            for i in range(len(t)):
+                self.endings[t[i:]] = -1
+        self.endings.update(self.ids)
+        self.fits: dict[int, bool] = {}
+        self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
     def _merged(self, parts: list[bytes]) -> list[bytes]:
         """Plain merging, the lowest rank first."""
@@ -78,48 +96,71 @@ class Trie:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def may_follow(self, last: bytes, token: bytes) -> bool:
-        known = self.fits.get((last, token))
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens on one edge of a merge tree, each with the rank of the merge that takes it away."""
+        found = self.edges.get((token, side))
+        if found is None:
+            found, until, here = [], 1 << 60, token
+            while True:
+                found.append((here, until))
+                if here not in self.made:
+                    break
+                until, here = self.made[here][2], self.made[here][side]
+            self.edges[token, side] = found
+        return found
+
+    def _plain(self, *tokens: int) -> bool:
+        text = b"".join(self.bytes_of[t] for t in tokens)
+        return self._merged([text[i:i + 1] for i in range(len(text))]) == [self.bytes_of[t] for t in tokens]
+
+    def may_follow(self, last: int, token: int) -> bool:
+        """``last`` is -1 at the beginning of a word."""
+        key = last * self.size + token
+        known = self.fits.get(key)
         if known is None:
             if len(self.fits) > 4 * REMEMBERED:
                 self.fits.clear()
-            both = last + token
-            known = self.fits[last, token] = self._merged([both[i:i + 1] for i in range(len(both))]) == ([last, token] if last else [token])
+            if last < 0:
+                known = self._plain(token)
+            elif not self.one_way:
+                known = self._plain(last, token)
+            else:
+                rank, size, left = self.pair_rank, self.size, self._edge(token, 0)
+                known = self.may_follow(-1, token) and not any((r := rank.get(x * size + y)) is not None and r < gone_x and r <= gone_y for x, gone_x in self._edge(last, 1) for y, gone_y in left)
+            self.fits[key] = known
         return known
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word of a sorted list."""
-        states: list[bytes] = [b""]
+        endings, fits, size, lengths = self.endings, self.fits, self.size, {i: len(t) for t, i in self.ids.items()}
+        states: list[int] = [-1]
         out, before = [], b""
         for word in words:
-            shared, most = 0, min(len(word), len(before))
-            if word[:most] == before[:most]:
-                shared = most
-            else:
-                while word[shared] == before[shared]:
-                    shared += 1
+            most = min(len(word), len(before))
+            shared = most if word[:most] == before[:most] else next(i for i in range(most) if word[i] != before[i])
             del states[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
-                states.append(self._state(word, end, states))
+                start, found = end - 1, []
+                while start >= 0 and (token := endings.get(word[start:end])) is not None:
+                    if token >= 0:
+                        found.append((token, start))
+                    start -= 1
+                for token, start in reversed(found):  # the longest first
+                    last = states[start]
+                    fit = fits.get(last * size + token)
+                    if self.may_follow(last, token) if fit is None else fit:
+                        states.append(token)
+                        break
+                else:
+                    raise ValueError(f"no token ends after {word[:end][-20:]!r}")
             ids, end = [], len(word)
             while end:
-                ids.append(self.ids[states[end]])
-                end -= len(states[end])
+                ids.append(states[end])
+                end -= lengths[states[end]]
             out.append(ids[::-1])
             before = word
         return out
 
-    def _state(self, word: bytes, end: int, states: list[bytes]) -> bytes:
-        start, found = end - 1, []
-        while start >= 0 and (piece := word[start:end]) in self.endings:
-            if piece in self.ids:
-                found.append(piece)
-            start -= 1
-        for token in reversed(found):
-            if self.may_follow(states[end - len(token)], token):
-                return token
-        raise ValueError(f"no token ends after {word[:end][-20:]!r}")
-
 
 class Encoder:
     """Ids of whole texts, with a bounded memory of words."""
@@ -151,7 +192,7 @@ class Encoder:
         if len(self.place) > REMEMBERED:
             self.forget()
         cut = [self.words(t) for t in texts]
-        new = sorted({w.encode() for ws in cut for w in set(ws) - self.place.keys()})
+        new = sorted({w.encode() for ws in cut for w in set(ws) if w not in self.place})
         if new:
             self._add(self.trie.encode(new), [w.decode() for w in new])
         return [self._ids(ws) for ws in cut]
