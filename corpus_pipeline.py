@@ -1,10 +1,19 @@
-"""The corpus pipeline: documents in, token ids out, one written stage after another."""
+"""The corpus pipeline: documents in, token ids out, one written stage after another.
+
+Every stage works on all that the one before it kept, and hands on the columns of
+``documents``; the last gives ids and the text that they stand for. Nulls, empty texts
+and repeated rows are handled as each operator says. SQL can't express the near-duplicate
+groups, the alignment, the scored patterns or the merges, so there is no SQL for the
+rows of ``run``; tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from guardedlake.llm import quality_rules
+from guardedlake.llm import bpe, decontaminate, pii, quality_rules, superminhash
+from guardedlake.llm.queries import vocabulary
 from guardedlake.session import materialise
 
 
@@ -13,7 +22,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.kept_documents(docs)
 
 
-STAGES = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, 0.8."""
+    return superminhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a mark in place of personal data."""
+    return pii.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the text as decoded from the ids."""
+    words = vocabulary()
+    both = bpe.decode(bpe.encode(docs, words), words)
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("tokens", tokens)]
 ORACLE_SQL = None
 
 

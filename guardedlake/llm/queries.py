@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardedlake.llm import bpe, chat, decontaminate, language, pii, quality_rules, secret_scan, superminhash, warc
+from guardedlake.llm import bpe, chat, decontaminate, language, pii, quality_rules, secret_scan, suffix_dedup, superminhash, warc
 from guardedlake.llm.texts import documents
 from guardedlake.session import fresh_path
 
@@ -35,6 +35,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns.unionByName(tricky)))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return superminhash.near_duplicates(documents(spark, sf_dir))
+    return superminhash.near_duplicates(documents(spark, sf_dir), size=2)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +64,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_chat, op5_pii, op6_bpe, op7_secret_scan, op8_superminhash, op9_quality_rules, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_chat, op4_suffix_dedup, op5_pii, op6_bpe, op7_secret_scan, op8_superminhash, op9_quality_rules, op10_language)}

@@ -1,16 +1,18 @@
 """Near-duplicate groups by SuperMinHash signatures, banding, verification and union-find.
 
-A document is the set of its distinct 2-word shingles (lower-cased A to Z); with fewer
-words it is the one sequence of them. Each element of a set gives one value to each
+A document is the set of its distinct shingles of some words (five, if nothing else is
+said; A to Z lower-cased); with fewer words it is the one sequence of them. Each element of a set gives one value to each
 slot of the signature, in an order of its own, with ranks that only grow; a document
 is done when no slot can fall any more, which for long texts is after a rank or two.
 
 Documents with equal sets are one class from the start and stand behind their smallest
 id, so a group of copies, however large, is one node. Classes that share a band are
-candidates: each is compared with the smallest of its bucket, and after these links are
-grouped, what a bucket holds outside its largest component is compared with the rest
-of the bucket. Thus every two candidates end in one component or have been compared,
-without all pairs of a group. Links are confirmed on whole sets.
+candidates: each is compared with the smallest of its bucket. Where a bucket then holds
+several components, those of its documents that have no link to the smallest are
+compared with each other, and with the linked ones only where both differ from the
+smallest in the same elements to a degree without which no link can be (``_rest``).
+Thus every two candidates end in one component or are shown to have no link, without
+all pairs of a group. Links are confirmed on whole sets.
 
 Banding alone is not certain: a pair at the limit of 0.8 shares none of 32 bands of
 four with a chance of 5 in 100 million. Set elements are 64-bit hashes.
@@ -23,11 +25,11 @@ with nothing; it is kept. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardedlake.llm.components import components
@@ -35,14 +37,15 @@ from guardedlake.llm.wordhash import U, Hasher, grams, mix, texts_of, whole
 from guardedlake.session import materialise
 
 SLOTS, ROWS = 128, 4
-SHINGLE = 2
+SHINGLE = 5
 PERCENT = 80
 BLOCK = 1 << 17
 
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 SKETCH = "doc_id long, n long, set_a long, set_b long, bands array<long>"
 
 
-def shingles(hasher: Hasher, text: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+def shingles(hasher: Hasher, text: np.ndarray, size: int) -> np.ndarray:
     """The distinct shingles of a text, sorted."""
     hashes = hasher.words(text)[2]
     return np.unique(grams(hashes, size) if len(hashes) >= size else whole(hashes))
@@ -89,16 +92,21 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Ids and sets of some documents at a time."""
     hasher = Hasher()
     for batch in batches:
-        ids, block, size, first = batch.column(0), [], 0, 0
+        ids, block, held, first = batch.column(0), [], 0, 0
         for i, text in enumerate(texts_of(batch.column(1))):
-            block.append(shingles(hasher, text))
-            size += len(block[-1])
-            if size >= BLOCK or i + 1 == batch.num_rows:
-                yield _rows(ids.slice(first, len(block)), block)
-                block, size, first = [], 0, i + 1
+            block.append(shingles(hasher, text, size))
+            held += len(block[-1])
+            if held >= BLOCK or i + 1 == batch.num_rows:
+                yield ids.slice(first, len(block)), block
+                block, held, first = [], 0, i + 1
+
+
+def _sketch(size: int) -> Task:
+    return lambda batches: (_rows(ids, block) for ids, block in _blocks(batches, size))
 
 
 def _rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -112,34 +120,33 @@ def _rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n), pa.array(whole_a.view(np.int64)), pa.array(whole_b.view(np.int64)), bands], ["doc_id", "n", "set_a", "set_b", "bands"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher()
-    for batch in batches:
-        ids, block, size, first = batch.column(0), [], 0, 0
-        for i, text in enumerate(texts_of(batch.column(1))):
-            block.append(shingles(hasher, text).view(np.int64))
-            size += len(block[-1])
-            if size >= BLOCK or i + 1 == batch.num_rows:
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in block]))), pa.int32()), pa.array(np.concatenate(block)))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(block)).cast(pa.int64()), lists], ["doc_id", "items"])
-                block, size, first = [], 0, i + 1
-
-
-def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets are similar enough; ``texts`` has one row for each id."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialise(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items array<long>"), "minhash-sets")
+def _sets(size: int) -> Task:
+    def rows(ids: pa.Array, block: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.concatenate(([0], np.cumsum([len(s) for s in block])))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(block).view(np.int64)))
+        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), lists], ["doc_id", "items"])
+
+    return lambda batches: (rows(ids, block) for ids, block in _blocks(batches, size))
+
+
+def _joined(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with the whole sets of both."""
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("of_b")), "b")
-    both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("of_a")), "a")
+    return with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("of_a")), "a")
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets are similar enough."""
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.withColumn("common", common).where(100 * F.col("common") >= PERCENT * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b")
+    both = _joined(sets, pairs).withColumn("common", common)
+    return both.where(100 * F.col("common") >= PERCENT * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketch = materialise(source.mapInArrow(_sketch, SKETCH), "minhash-sketch")
+    sketch = materialise(source.mapInArrow(_sketch(size), SKETCH), "minhash-sketch")
     full = sketch.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     sets = ["n", "set_a", "set_b"]
     classes = materialise(full.groupBy(*sets).agg(F.min("doc_id").alias("head"), F.count("*").alias("members")), "minhash-classes")
@@ -147,17 +154,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     keyed = heads.select("doc_id", "n", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("pivot"), F.count("*").alias("held")).where("held > 1").select("key", F.col("pivot.doc_id").alias("a"), F.col("pivot.n").alias("n_a"))
     members = materialise(keyed.join(buckets, "key"), "minhash-members")
-    similar_size = (100 * F.least("n", "n_a") >= PERCENT * F.greatest("n", "n_a"))
-    first = materialise(members.where((F.col("doc_id") != F.col("a")) & similar_size).select("a", F.col("doc_id").alias("b")).distinct(), "minhash-pairs")
-    texts = source.where(F.col("doc_id").isNotNull()).join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-    links = materialise(confirmed(texts, first), "minhash-links")
+    pairs = members.where((F.col("doc_id") != F.col("a")) & _similar_size("n", "n_a")).select("a", F.col("doc_id").alias("b")).distinct()
+    wanted = members.select("doc_id").distinct()
+    sets_of = materialise(source.where(F.col("doc_id").isNotNull()).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, items array<long>"), "minhash-sets")
+    links = materialise(confirmed(sets_of, pairs), "minhash-links")
     # Ids that several sets share tie those sets together.
     own = full.join(classes, sets).where(F.col("doc_id") != F.col("head")).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     split_ids = full.groupBy("doc_id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).where("x <> y").select("doc_id")
     ties = own.join(split_ids, own["b"] == split_ids["doc_id"], "left_semi")
     grouped = components(spark, links.unionByName(ties))
-    rest = _rest(members, grouped, first)
-    late = materialise(confirmed(texts, rest), "minhash-late")
+    late = materialise(confirmed(sets_of, _rest(sets_of, members, grouped, links)), "minhash-late")
     if not late.isEmpty():
         grouped = components(spark, links.unionByName(ties).unionByName(late))
     by_class = classes.join(grouped.withColumnRenamed("node", "head"), "head", "left").select(*sets, F.least(F.coalesce("component", "head"), "head").alias("component_id"))
@@ -167,15 +173,42 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                          F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _rest(members: DataFrame, grouped: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of a bucket in different components that have not been compared yet: all that is outside the bucket's largest component, with the rest."""
-    placed = members.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("held"))
-    largest = parts.groupBy("key").agg(F.max(F.struct("held", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.component").alias("top"))
-    mixed = materialise(placed.join(largest, "key"), "minhash-mixed")
-    outside = mixed.where(F.col("component") != F.col("top")).select("key", F.col("doc_id").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    pairs = outside.join(mixed, "key").where((F.col("component") != F.col("c_x")) & (100 * F.least("n", "n_x") >= PERCENT * F.greatest("n", "n_x")))
-    return pairs.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct().join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+def _similar_size(a: str, b: str):
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
+def _rest(sets: DataFrame, members: DataFrame, grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs in different components, of buckets that hold several, which may be links and have not been compared.
+
+    Two documents without a link to the bucket's smallest, p, are a pair as they are. A
+    linked x and an unlinked y are one only if they share what sets them apart from p.
+    With x = p - F + E: for J(x, y) to reach 0.8 where J(y, p) does not, more than
+    (0.8 |E| + |F|) / 1.8 of the differences of x have to be differences of y too. So
+    of so many of x's differences, the rarest first, that fewer are left, y has one.
+    """
+    placed = members.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    linked = links.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    rows = placed.where(F.col("doc_id") != F.col("a")).join(several, "key", "left_semi")
+    rows = materialise(rows.join(linked, (F.col("a") == F.col("_a")) & (F.col("doc_id") == F.col("_b")), "left").select("key", "a", "doc_id", "n", "component", F.col("_b").isNotNull().alias("linked")), "minhash-mixed")
+    loose = rows.where("NOT linked").select("key", "doc_id", "n", "component")
+    other = loose.select("key", F.col("doc_id").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
+    among = loose.join(other, "key").where((F.col("doc_id") < F.col("x")) & (F.col("component") != F.col("c_x")) & _similar_size("n", "n_x")).select(F.col("doc_id").alias("a"), F.col("x").alias("b"))
+
+    stars = rows.select("a", F.col("doc_id").alias("b"), "component", "linked").distinct()
+    both_kinds = stars.groupBy("a").agg(F.max(F.col("linked").cast("int")).alias("high"), F.min(F.col("linked").cast("int")).alias("low")).where("low < high").select("a")
+    apart = _joined(sets, stars.join(both_kinds, "a", "left_semi")).select("a", "b", "component", "linked", F.array_except("of_b", "of_a").alias("more"), F.array_except("of_a", "of_b").alias("less"))
+    tagged = F.concat(F.transform("more", lambda t: F.struct(F.lit(True).alias("more"), t.alias("t"))), F.transform("less", lambda t: F.struct(F.lit(False).alias("more"), t.alias("t"))))
+    shared = F.floor((F.lit(PERCENT) * F.size("more") + 100 * F.size("less")) / (100 + PERCENT)) + 1
+    each = apart.select("a", "b", "component", "linked", (F.size("more") + F.size("less") - shared + 1).alias("prefix"), F.explode(tagged).alias("d")).select("a", "b", "component", "linked", "prefix", "d.more", "d.t")
+    each = materialise(each, "minhash-apart")
+    token = ["a", "more", "t"]
+    usual = each.where("linked").groupBy(*token).agg(F.count("*").alias("usual"))
+    wanted = each.where("NOT linked").select(*token).distinct()
+    ranked = each.where("linked").join(usual, token).withColumn("place", F.row_number().over(Window.partitionBy("a", "b").orderBy("usual", "more", "t")))
+    first = ranked.where("place <= prefix").join(wanted, token, "left_semi").select(*token, F.col("b").alias("x"), F.col("component").alias("c_x"))
+    far = each.where("NOT linked").join(first, token).where(F.col("component") != F.col("c_x")).select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b"))
+    return among.union(far).distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
