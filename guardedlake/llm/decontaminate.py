@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from guardedlake.llm.texts import carried, unpacked
 from guardedlake.llm.wordhash import U, Hasher, grams, texts_of
 from guardedlake.session import materialise
 
@@ -186,5 +187,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a test item, in the columns of ``docs``."""
     leaked = contaminated(docs, benchmark).select("_id", "_hash").distinct()
-    keyed = docs.withColumns({"_key": F.col("doc_id").cast("bigint"), "_text_hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    return keyed.join(leaked, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(carried(docs), F.col("doc_id").cast("bigint").alias("_key"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text_hash"))
+    return keyed.join(leaked, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti").select(*unpacked(docs, {}))

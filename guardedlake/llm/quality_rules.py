@@ -10,8 +10,8 @@ Failing lines are removed. A document that loses more than a given share of its
 characters, or fails the base rules, is rejected.
 
 Defined results: a null text counts as empty; an empty text has no words and fails the
-base rules; equal rows give equal results; columns other than the text are not read, so
-that extra ones pass through. Windows of words are told apart by a 64-bit hash within
+base rules; equal rows give equal results; columns other than the text are not read and
+pass through, but for one named ``quality``, which is replaced. Windows of words are told apart by a 64-bit hash within
 their own text. One row comes out for each row that goes in, and nothing is shuffled.
 """
 
@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardedlake.llm.texts import BLANKS, WORD, let, total, words
+from guardedlake.llm.texts import BLANKS, WORD, carried, let, total, unpacked, words
 
 # Ends of sentences, symbols, separators, and stock phrases.
 TRAILING = " \t\n\x0b\f\r"
@@ -129,6 +129,5 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with the lines that passed, in the columns of ``docs``."""
-    judged = quality_rules(docs).where(F.col("quality.kept"))
-    new = {"text": F.col("quality.clean_text"), "n_chars": F.length("quality.clean_text").cast("bigint")}
-    return judged.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    judged = quality_rules(docs.select(carried(docs), F.col("text"))).where(F.col("quality.kept"))
+    return judged.select(*unpacked(docs, {"text": F.col("quality.clean_text"), "n_chars": F.length("quality.clean_text").cast("bigint")}))

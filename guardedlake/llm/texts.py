@@ -22,6 +22,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def carried(docs: DataFrame) -> Column:
+    """All columns of a row as one, so that none of their names can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
+def unpacked(docs: DataFrame, new: dict[str, Column]) -> list[Column]:
+    """The columns of ``docs`` out of a carried row, some of them replaced."""
+    return [new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once for a row, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
