@@ -19,8 +19,9 @@ ERROR_CODE = "SQL_EXECUTION_ERROR"
 # Spark runs commands as soon as they are parsed, so beyond the word list only
 # statements that begin like a read are let through.
 READ_WORDS = ["SELECT", "WITH", "VALUES", "TABLE", "FROM", "EXPLAIN", "DESCRIBE", "DESC", "SHOW"]
-COMMAND_WORDS = ["ADD", "LOAD", "CACHE", "UNCACHE", "REFRESH", "MSCK", "ANALYZE", "USE", "RESET", "CLEAR", "IMPORT",
-                 "EXPORT", "KILL", "REPAIR", "SET"]
+# Commands that only tell something; all other commands are refused by their place in the parsed plan.
+READ_COMMANDS = ("Show", "Describe", "Explain")
+CATALYST = "org.apache.spark.sql.catalyst"
 
 # Both start with a character that ends a word before them, so the text is searched with a blank
 # in front; the look-ahead for a first letter is cheaper than trying every word.
@@ -82,6 +83,40 @@ def spark_reason(sql: Column | str) -> Column:
             .when(bare.rlike(_FILE_SCAN), "FILE SCAN"))
 
 
+def plan_reason(spark: SparkSession, sql: str) -> str | None:
+    """Why Spark should not run a statement, by its parsed plan; null if it may.
+
+    Refused are commands, writes and scripts, wherever they stand in the statement, in
+    its sub-queries or under an EXPLAIN. A statement that can't be parsed has no plan
+    to refuse, and fails when it is run.
+    """
+    classes = {name: spark._jvm.java.lang.Class.forName(f"{CATALYST}.{name}") for name in (
+        "plans.logical.Command", "plans.logical.ParsedStatement", "plans.logical.ScriptTransformation", "expressions.PlanExpression")}
+    is_a = {name.rsplit(".", 1)[-1]: c.isInstance for name, c in classes.items()}
+    waiting = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+
+    def children(seq) -> list:
+        return [seq.apply(i) for i in range(seq.size())]
+
+    while waiting:
+        node = waiting.pop()
+        name = node.nodeName()
+        if name.startswith("Explain"):
+            waiting.append(node.logicalPlan())
+        elif is_a["ScriptTransformation"](node):
+            return "SCRIPT"
+        elif (is_a["Command"](node) or is_a["ParsedStatement"](node)) and not name.startswith(READ_COMMANDS):
+            return name.upper()
+        waiting += children(node.children()) + [p for p in children(node.innerChildren()) if hasattr(p, "expressions")]
+        inside = children(node.expressions())
+        while inside:
+            e = inside.pop()
+            if is_a["PlanExpression"](e):
+                waiting.append(e.plan())
+            inside += children(e.children())
+    return None
+
+
 class Guarded(NamedTuple):
     """A lazy result, or none and the text of the refusal."""
 
@@ -90,17 +125,26 @@ class Guarded(NamedTuple):
 
 
 def guarded_sql(spark: SparkSession, sql: str | None) -> Guarded:
-    """Screen one statement and, if it is a read, hand it to Spark unexecuted."""
+    """Screen one statement and, if it is a read, hand it to Spark unexecuted.
+
+    The word list and the text come first, then the parsed plan. Names are resolved
+    with files as tables switched off, so no path can be read.
+    """
     one = spark.createDataFrame([(sql,)], "sql string")
     row = screen(one).withColumn("reason", spark_reason("sql")).first()
     if not row["allowed"]:
         return Guarded(None, f"[sql error] {row['message']}")
-    if row["reason"]:
-        return Guarded(None, f"[sql error] {UNSAFE_MESSAGE.format(row['reason'])}")
+    by_path = spark.conf.get("spark.sql.runSQLOnFiles")
     try:
+        reason = row["reason"] or plan_reason(spark, row["sanitized"])
+        if reason:
+            return Guarded(None, f"[sql error] {UNSAFE_MESSAGE.format(reason)}")
+        spark.conf.set("spark.sql.runSQLOnFiles", "false")
         return Guarded(spark.sql(row["sanitized"]), None)
     except Exception as failure:  # parse and analysis errors become the answer text
         return Guarded(None, f"[sql error] {str(failure).splitlines()[0]}")
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", by_path)
 
 
 # Words counted as keywords in a query log.
