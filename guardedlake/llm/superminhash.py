@@ -182,9 +182,11 @@ def _rest(sets: DataFrame, members: DataFrame, grouped: DataFrame, links: DataFr
 
     Two documents without a link to the bucket's smallest, p, are a pair as they are. A
     linked x and an unlinked y are one only if they share what sets them apart from p.
-    With x = p - F + E: for J(x, y) to reach 0.8 where J(y, p) does not, more than
-    (0.8 |E| + |F|) / 1.8 of the differences of x have to be differences of y too. So
-    of so many of x's differences, the rarest first, that fewer are left, y has one.
+    With x = p - F + E and y = p - F' + E', J(x, y) reaches 0.8 only if they share
+    (0.8 |E| + 0.8 |E'| + |F| + |F'| - 0.2 |p|) / 1.8 of these differences. For y
+    without a link to p that is more than (0.8 |E| + |F|) / 1.8, and it can't be more
+    than x has. So x and y meet in so many of their differences, the rarest first, that
+    fewer than they have to share are left over.
     """
     placed = members.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
@@ -197,17 +199,21 @@ def _rest(sets: DataFrame, members: DataFrame, grouped: DataFrame, links: DataFr
 
     stars = rows.select("a", F.col("doc_id").alias("b"), "component", "linked").distinct()
     both_kinds = stars.groupBy("a").agg(F.max(F.col("linked").cast("int")).alias("high"), F.min(F.col("linked").cast("int")).alias("low")).where("low < high").select("a")
-    apart = _joined(sets, stars.join(both_kinds, "a", "left_semi")).select("a", "b", "component", "linked", F.array_except("of_b", "of_a").alias("more"), F.array_except("of_a", "of_b").alias("less"))
+    sizes = [F.size("more").alias("e"), F.size("less").alias("f"), F.size("of_a").alias("p")]
+    apart = _joined(sets, stars.join(both_kinds, "a", "left_semi")).select("a", "b", "component", "linked", "of_a", F.array_except("of_b", "of_a").alias("more"), F.array_except("of_a", "of_b").alias("less"))
     tagged = F.concat(F.transform("more", lambda t: F.struct(F.lit(True).alias("more"), t.alias("t"))), F.transform("less", lambda t: F.struct(F.lit(False).alias("more"), t.alias("t"))))
-    shared = F.floor((F.lit(PERCENT) * F.size("more") + 100 * F.size("less")) / (100 + PERCENT)) + 1
-    each = apart.select("a", "b", "component", "linked", (F.size("more") + F.size("less") - shared + 1).alias("prefix"), F.explode(tagged).alias("d")).select("a", "b", "component", "linked", "prefix", "d.more", "d.t")
+    each = apart.select("a", "b", "component", "linked", *sizes, F.explode(tagged).alias("d")).select("a", "b", "component", "linked", "e", "f", "p", "d.more", "d.t")
     each = materialise(each, "minhash-apart")
     token = ["a", "more", "t"]
     usual = each.where("linked").groupBy(*token).agg(F.count("*").alias("usual"))
-    wanted = each.where("NOT linked").select(*token).distinct()
-    ranked = each.where("linked").join(usual, token).withColumn("place", F.row_number().over(Window.partitionBy("a", "b").orderBy("usual", "more", "t")))
-    first = ranked.where("place <= prefix").join(wanted, token, "left_semi").select(*token, F.col("b").alias("x"), F.col("component").alias("c_x"))
-    far = each.where("NOT linked").join(first, token).where(F.col("component") != F.col("c_x")).select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b"))
+    order = Window.partitionBy("a", "b").orderBy(F.coalesce("usual", F.lit(0)), "more", "t")
+    ranked = each.join(usual, token, "left").withColumn("place", F.row_number().over(order))
+    q = PERCENT
+    least_x = F.floor((q * F.col("e") + 100 * F.col("f")) / (100 + q)) + 1
+    least_y = F.greatest(F.ceil((q * F.col("e") + 100 * F.col("f") - (100 - q) * F.col("p")) / (100 + q)), F.lit(1))
+    x = ranked.where(F.col("linked") & (F.col("place") <= F.col("e") + F.col("f") - least_x + 1)).select(*token, F.col("b").alias("x"), F.col("component").alias("c_x"), (100 * F.col("e") + q * F.col("f")).alias("can"))
+    y = ranked.where(~F.col("linked") & (F.col("place") <= F.col("e") + F.col("f") - least_y + 1)).select(*token, "b", "component", (q * F.col("e") + 100 * F.col("f") - (100 - q) * F.col("p")).alias("must"))
+    far = y.join(x, token).where((F.col("component") != F.col("c_x")) & (F.col("can") >= F.col("must"))).select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b"))
     return among.union(far).distinct()
 
 
