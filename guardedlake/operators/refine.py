@@ -32,13 +32,15 @@ def refine(requests: DataFrame, step: Step, score: Callable[[DataFrame], DataFra
            max_rounds: int = 5) -> DataFrame:
     """Answer open requests round by round until each is good enough.
 
-    ``step`` adds ``response`` to the open requests, ``score`` adds ``quality_score``.
+    ``step`` adds ``response`` to the open requests, which hold the ``last_response``
+    and ``last_score`` of the round before; ``score`` adds ``quality_score``.
     All open requests of a round are one job; its rows are written to the shared
     folder and counted while they are, so a later round starts from files instead of from all earlier ones, and
     a lost executor loses at most its own tasks.
     """
     kept = [c for c in requests.columns]
-    open_rows, done = requests, None
+    open_rows = requests.withColumns({"last_response": F.lit(None).cast("string"), "last_score": F.lit(None).cast("double")})
+    done = None
     for n in range(1, max_rounds + 1):
         scored = score(step(open_rows, n)).withColumn("iterations", F.lit(n))
         good = F.coalesce(F.col("quality_score") >= threshold, F.lit(False))
@@ -47,7 +49,7 @@ def refine(requests: DataFrame, step: Step, score: Callable[[DataFrame], DataFra
         scored = materialise(scored, "refine-round")
         closed = scored if n == max_rounds else scored.where(good)
         done = closed if done is None else done.unionByName(closed)
-        open_rows = scored.where(~good).select(*kept)
+        open_rows = scored.where(~good).select(*kept, F.col("response").alias("last_response"), F.col("quality_score").alias("last_score"))
         if not still_open.get["n"]:
             break
     return done

@@ -21,6 +21,7 @@ MODEL_FAILED = "LLM routing failed: no reply"
 MODEL_CONFIDENCE = 0.8
 NO_TARGET_CODE = "ORCHESTRATION_ERROR"
 NO_TARGET = "Routing found no suitable agents for query"
+NO_HEALTHY = "No healthy agents available"
 
 
 class Agent(NamedTuple):
@@ -122,13 +123,17 @@ def resolve_agents(routes: DataFrame, agents: DataFrame) -> tuple[DataFrame, Dat
     """Routed names that exist and are healthy, and the requests left with none.
 
     ``routes(request_id, targets)``, ``agents(agent, healthy)``; the first result is
-    ``(request_id, pos, agent)`` in routed order, the second carries the error.
+    ``(request_id, pos, agent)`` in routed order, the second carries the error. With
+    ``query`` and ``reasoning`` in ``routes`` the error names the question, or says
+    that no agent was healthy.
     """
+    text = F.concat(F.lit(f"{NO_TARGET}: "), "query") if "query" in routes.columns else F.lit(NO_TARGET)
+    if "reasoning" in routes.columns:
+        text = F.when(F.col("reasoning") == NO_AGENTS, NO_HEALTHY).otherwise(text)
     wanted = routes.select("request_id", F.posexplode("targets").alias("pos", "agent"))
     found = wanted.join(agents.where("healthy").select("agent").distinct(), "agent").select("request_id", "pos", "agent")
-    lost = (routes.select("request_id").join(found.select("request_id"), "request_id", "left_anti")
-            .withColumn("error_code", F.lit(NO_TARGET_CODE))
-            .withColumn("error_message", F.lit(NO_TARGET)))
+    lost = (routes.withColumn("error_message", text).join(found.select("request_id"), "request_id", "left_anti")
+            .select("request_id", F.lit(NO_TARGET_CODE).alias("error_code"), "error_message"))
     return found, lost
 
 

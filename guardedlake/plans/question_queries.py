@@ -14,14 +14,14 @@ RULES = [policy.ScopeRule("sch", False, "Not in scope.")]
 
 
 def stand_in() -> qa.Round:
-    """Deterministic functions in place of models: the answer names its round, the score follows from the question."""
+    """Deterministic functions in place of models: the answer names its round, the score follows from all that was observed."""
     def act(calls, n):
         said = F.concat("agent", F.lit(f" says {n} "), F.lpad((F.length("query") % 97).cast("string"), 2, "0"))
         return (calls.withColumn("success", F.col("prompt").isNotNull()).withColumn("response", said)
                 .withColumn("error", F.lit(None).cast("string")).withColumn("elapsed_ms", F.lit(5)))
 
     def score(open_rows, n):
-        return open_rows.withColumn("score_text", F.concat(F.lit("Quality: 0."), F.lpad(((F.length("query") * 7 + n * 31) % 100).cast("string"), 2, "0")))
+        return open_rows.withColumn("score_text", F.concat(F.lit("Quality: 0."), F.lpad(((F.length("summary") * 7 + n * 31) % 100).cast("string"), 2, "0")))
 
     return qa.Round(act, score)
 
@@ -30,7 +30,8 @@ def stand_in() -> qa.Round:
 , targets AS (SELECT s.request_id, s.agent, row_number() OVER (PARTITION BY s.request_id ORDER BY s.score DESC, s.agent) AS p
   FROM scores s JOIN best b ON b.request_id = s.request_id WHERE s.score >= {THRESHOLD} OR (b.top < {THRESHOLD} AND s.agent = b.name)),
 asked AS (SELECT * FROM requests WHERE NOT regexp_matches(query, 'sch')),
-tries AS (SELECT request_id, n, (length(query) * 7 + n * 31) % 100 AS s FROM asked CROSS JOIN range(1, 6) AS t(n)),
+sizes AS (SELECT request_id, sum(2 * length(agent) + 14) AS chars, count(*) AS agents FROM targets GROUP BY 1),
+tries AS (SELECT request_id, n, ((n * chars + n * agents - 1) * 7 + n * 31) % 100 AS s FROM asked JOIN sizes USING (request_id) CROSS JOIN range(1, 6) AS t(n)),
 stops AS (SELECT request_id, coalesce(min(n) FILTER (s >= 70), 5) AS n FROM tries GROUP BY 1),
 texts AS (SELECT a.request_id, string_agg('**' || t.agent || ':**' || chr(10) || t.agent || ' says ' || i || ' ' || lpad(CAST(length(query) % 97 AS VARCHAR), 2, '0'),
     chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i, p) AS long_text, count(*) AS k,
@@ -38,10 +39,12 @@ texts AS (SELECT a.request_id, string_agg('**' || t.agent || ':**' || chr(10) ||
   FROM asked a JOIN stops USING (request_id) JOIN targets t ON t.request_id = a.request_id JOIN range(1, 6) AS r(i) ON i <= n GROUP BY 1),
 names AS (SELECT request_id, string_agg(agent, ',' ORDER BY p) AS agents FROM targets GROUP BY 1)
 SELECT request_id, CASE WHEN k = 1 THEN one ELSE long_text END AS response, CAST(n AS INTEGER) AS iterations, agents AS agents_used,
-  ((SELECT any_value(s) FROM tries WHERE tries.request_id = texts.request_id AND tries.n = stops.n)) / 100 AS quality_score, 'answered' AS status
-FROM texts JOIN stops USING (request_id) JOIN names USING (request_id)
-UNION ALL SELECT request_id, 'Not in scope.', 0, '', 0, 'rejected' FROM requests WHERE regexp_matches(query, 'sch')
-UNION ALL SELECT request_id, 'Routing found no suitable agents for query', 0, '', 0, 'error' FROM asked WHERE request_id NOT IN (SELECT request_id FROM targets)""")
+  ((SELECT any_value(s) FROM tries WHERE tries.request_id = texts.request_id AND tries.n = stops.n)) / 100 AS quality_score, 'answered' AS status,
+  top AS confidence, CASE WHEN top >= {THRESHOLD} THEN 'Keyword match' ELSE 'Best keyword match (below threshold, no LLM available)' END AS reasoning
+FROM texts JOIN stops USING (request_id) JOIN names USING (request_id) JOIN best USING (request_id)
+UNION ALL SELECT request_id, 'Not in scope.', 0, '', 0, 'rejected', 0, NULL FROM requests WHERE regexp_matches(query, 'sch')
+UNION ALL SELECT request_id, 'Routing found no suitable agents for query: ' || query, 0, '', 0, 'error', 0, 'No matching agents found and no LLM available'
+  FROM asked WHERE request_id NOT IN (SELECT request_id FROM targets)""")
 def l01(spark, folder):
     asked = requests(spark, folder)
     asked = asked.withColumn("user_id", F.col("role")).withColumn("session_id", F.col("conv_id").cast("string"))

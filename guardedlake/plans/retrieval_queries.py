@@ -103,7 +103,7 @@ def b05_shared(spark, folder):
 @named("b04_approximate_topk", "SELECT vec_id AS query_id, 4 AS n_hits, true AS distances_exact, true AS recalled FROM embeddings")
 def b04(spark, folder):
     queries, chunks = _one_namespace(vector_queries(spark, folder)), _one_namespace(vector_chunks(spark, folder))
-    found = retrieve.approximate_topk(queries, chunks, 64, bits=5, k=4, tables=16)
+    found = retrieve.approximate_topk(queries, chunks, 64, bits=3, k=4, tables=16)
     pair = found.join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").join(chunks.select("chunk_id", F.col("embedding").alias("c")), "chunk_id")
     doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
     dot = lambda a, b: F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

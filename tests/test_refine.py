@@ -112,10 +112,32 @@ def test_question_to_answer(spark):
         "**sql:**\nmail [EMAIL] 1\n\n---\n\n**sql:**\nmail [EMAIL] 2", 3, ["sql"], 0.3)
     assert (out["2"]["status"], out["2"]["response"]) == ("invalid", "Query must not be blank")
     assert (out["3"]["status"], out["3"]["response"]) == ("rejected", "Not that.")
-    assert out["4"]["status"] == "error"
+    assert (out["4"]["status"], out["4"]["response"]) == ("error", "Routing found no suitable agents for query: weather today")
+    assert (out["1"]["confidence"], out["1"]["reasoning"]) == (1.0, "Keyword match")
     assert (out["5"]["iterations"], out["5"]["quality_score"], out["5"]["agents_used"]) == (4, 0.0, [])
     assert out["5"]["response"].startswith("All agents failed to process your query:\n- docs: Agent execution failed: down")
     assert asked == [1, 2, 3, 4]
     shot = {r["request_id"]: r for r in qa.answer(req, agents, user, None, rules, single_shot=True).collect()}
     assert (shot["1"]["response"], shot["1"]["iterations"], shot["1"]["quality_score"]) == ("mail x@y.org 1", 1, 1.0)
     assert (shot["5"]["response"], shot["5"]["agents_used"]) == ("Agent execution failed: down", [])
+
+
+def test_rounds_see_what_was_observed(spark):
+    """The score reads this round's observations, agents the plan and the history, and no agent is an error of its own."""
+    agents = [route.Agent("sql", ["sales"])]
+    req = spark.createDataFrame([("1", "acme", "u", "s", "sales", 4)], "request_id string, tenant_id string, user_id string, session_id string, query string, turn int")
+    said = spark.createDataFrame([("acme:s", i, "USER", f"m{i}") for i in range(30)], "session_key string, seq int, role string, content string")
+
+    def act(calls, n):
+        text = F.concat_ws("/", F.lit(f"try {n}"), "plan", F.size("history").cast("string"), F.element_at("history", -1)["content"])
+        return calls.withColumn("success", F.lit(True)).withColumn("response", text).withColumn("error", F.lit(None).cast("string")).withColumn("elapsed_ms", F.lit(1))
+
+    user = qa.Round(act, score=lambda d, n: d.withColumn("score_text", F.when(F.col("summary").contains("try 3"), "0.9").otherwise("0.1")),
+                    plan=lambda d, n: d.withColumn("plan", F.concat(F.lit("after "), "summary")))
+    out = qa.answer(req, agents, user, messages=said)
+    row = out.first()
+    assert (row["iterations"], row["quality_score"]) == (3, 0.9)
+    assert "try 2/after [sql]: try 1/20/m29/20/m29" in row["response"]
+    assert sorted(tuple(r)[1:3] for r in qa.exchanges(req, out).collect()) == [(8, "USER"), (9, "ASSISTANT")]
+    idle = qa.answer(req, [route.Agent("sql", ["sales"], healthy=False)], user).first()
+    assert (idle["status"], idle["response"]) == ("error", "No healthy agents available")
