@@ -39,8 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the text as decoded from the ids."""
-    words = vocabulary()
-    both = bpe.decode(bpe.encode(docs, words), words)
+    both = bpe.encode(docs, vocabulary(), decoded=True)
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 

@@ -19,13 +19,16 @@ read.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import sys
 from collections.abc import Iterator
 from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +36,9 @@ from pyspark.sql import functions as F
 # Fixed value: how byte-level vocabularies cut a text into words.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-REMEMBERED = 400_000
-BATCH_BYTES = 4 << 20
+REMEMBERED = 300_000
+PAIRS = 600_000
+BATCH_BYTES = 2 << 20
 
 
 class Vocabulary(NamedTuple):
@@ -43,15 +47,17 @@ class Vocabulary(NamedTuple):
     tokens: dict[bytes, int]
     ranks: dict[tuple[bytes, bytes], int]
     special: dict[str, int]
+    mark: str
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
-        model = json.loads(Path(path).read_text(encoding="utf-8"))
+        text = Path(path).read_text(encoding="utf-8")
+        model = json.loads(text)
         byte_of = _byte_alphabet()
         raw = lambda s: bytes(byte_of[c] for c in s)
         special = {t["content"]: t["id"] for t in model["added_tokens"]}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
-        return cls({raw(s): i for s, i in model["model"]["vocab"].items() if s not in special}, {(raw(a), raw(b)): r for r, (a, b) in enumerate(merges)}, special)
+        return cls({raw(s): i for s, i in model["model"]["vocab"].items() if s not in special}, {(raw(a), raw(b)): r for r, (a, b) in enumerate(merges)}, special, hashlib.sha256(text.encode()).hexdigest())
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -118,7 +124,7 @@ class Trie:
         key = last * self.size + token
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 4 * REMEMBERED:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             if last < 0:
                 known = self._plain(token)
@@ -204,49 +210,65 @@ class Encoder:
         return self.flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
 
 
-def _by_size(texts: list[str | None]) -> Iterator[list[str]]:
-    block, size = [], 0
-    for t in texts:
-        block.append(t or "")
-        size += len(block[-1])
-        if size >= BATCH_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _encoder(vocabulary: Vocabulary) -> Encoder:
+    """The encoder of this Python worker: what it remembers serves all tasks that the worker runs."""
+    kept = sys.__dict__.setdefault("_bpe_encoders", {})
+    if vocabulary.mark not in kept:
+        kept[vocabulary.mark] = Encoder(vocabulary)
+    return kept[vocabulary.mark]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids (array<int>) for each row."""
+def _by_size(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts of about ``BATCH_BYTES`` together, and where they begin."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES)))
+        yield at, [t or "" for t in column.slice(at, to - at).to_pylist()]
+        at = to
+
+
+def _table(vocabulary: Vocabulary) -> list[bytes]:
+    both = [*vocabulary.tokens.items(), *((s.encode(), i) for s, i in vocabulary.special.items())]
+    table = [b""] * (1 + max(i for _, i in both))
+    for token, i in both:
+        table[i] = token
+    return table
+
+
+def _text(table: list[bytes], ids: list[int]) -> str:
+    return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id and ids (array<int>) for each row; with ``decoded`` also the text that the ids stand for, in the same pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder, table = _encoder(vocabulary), _table(vocabulary)
         for batch in batches:
-            at = 0
-            for block in _by_size(batch.column(1).to_pylist()):
+            for at, block in _by_size(batch.column(1)):
                 ids = encoder.encode(block)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32, copy=False)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), lists], ["doc_id", "ids"])
-                at += len(block)
+                columns, names = [batch.column(0).slice(at, len(block)), lists], ["doc_id", "ids"]
+                if decoded:
+                    columns, names = [*columns, pa.array([_text(table, x.tolist()) for x in ids], pa.string())], [*names, "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``tokens`` (doc_id, ids) with the text that the ids stand for; bytes that are no text become the replacement character."""
-    size = 1 + max([*vocabulary.tokens.values(), *vocabulary.special.values()])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [b""] * size
-        for token, i in [*vocabulary.tokens.items(), *((s.encode(), i) for s, i in vocabulary.special.items())]:
-            table[i] = token
+        table = _table(vocabulary)
         for batch in batches:
-            texts = [b"".join([table[i] for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            texts = [_text(table, ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
 
 
 def digest(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    both = decode(encode(docs, vocabulary), vocabulary)
+    both = encode(docs, vocabulary, decoded=True)
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
