@@ -4,18 +4,19 @@ The steps are those of the difference-cover construction: a sample of positions
 named by short strings, names are taken further to longer strings, the remaining
 positions are placed by their distance to a sampled one, and neighbours in the order
 are compared. As only the first 50 bytes of a suffix matter, two rounds of names are
-enough. The cover is chosen by content instead of by a period: of each 25 neighbouring
-26-byte strings the one with the smallest hash is sampled. Like a difference cover it
-gives any two equal 50-byte strings a sampled position at the same offset, but with 8
-positions in 100; a periodic cover for that length takes at least 19 (README).
+enough. The cover is chosen by content instead of by a period: of each 19 neighbouring
+32-byte strings the one with the smallest hash is sampled. Like a difference cover it
+gives any two equal 50-byte strings a sampled position at the same offset, but with 10
+positions in 100; a periodic cover for that length takes at least 26 (README).
 
 1. Sieve: names of the sampled positions of each block of documents go to buckets,
    once per block, in 32 bits beside the bucket. Names that come from two documents
    are sent back to their blocks. What lies around them is cut out as regions.
-2. Names of whole contexts (all 50-byte strings around a sampled position, 74 bytes)
+2. Names of whole contexts (all 50-byte strings around a sampled position, 68 bytes)
    are sorted with their documents: a context that a smaller document has is removed
    as a whole. This settles the inside of repeated passages.
-3. Where one sampled name has different contexts, that is at the ends of repeats, the
+3. Any 50-byte string around a sampled position holds half of the surroundings on one
+   side. Where such a half has different contexts, that is at the ends of repeats, the
    remaining positions are merged in: each 50-byte string around the sampled position
    is named by itself, and removed if a smaller document has it.
 
@@ -35,24 +36,28 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guardedlake.llm.wordhash import PIECE, U, Hasher, mix, texts_of
 from guardedlake.session import materialise
 
-LENGTH, NAME = 50, 26
+LENGTH, NAME = 50, 32
 WINDOW = LENGTH - NAME + 1
 BEFORE = LENGTH - NAME
+HALF = BEFORE // 2
 BLOCK_BYTES = 8 << 20
 STEP = PIECE // 2
+REGION_BYTES = PIECE // 4
 
 MESSAGE = "to bigint, kind int, block bigint, a array<bigint>, b array<bigint>, c array<bigint>, d array<bigint>"
-REGION = "block bigint, doc bigint, key bigint, start bigint, body binary, at array<bigint>"
-CONTEXT, MIXED, STRING, COVER, COPY = range(5)
+REGION = "block bigint, doc bigint, key bigint, start bigint, body binary, at array<int>"
+CONTEXT, MIXED, STRING, COVER = range(4)
 NONE = np.zeros(0, dtype=np.int64)
 
 
@@ -219,57 +224,83 @@ def _regions(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             if not len(at):
                 continue
             low, high = np.maximum(at - BEFORE, 0), np.minimum(at + LENGTH, len(text))
-            cuts = np.flatnonzero(low[1:] > high[:-1]) + 1
+            cuts = np.flatnonzero((low[1:] > high[:-1]) | (at[1:] // REGION_BYTES != at[:-1] // REGION_BYTES)) + 1
             for part in np.split(np.arange(len(at)), cuts):
                 a, b = int(low[part[0]]), int(high[part[-1]])
-                rows.append((block, doc, key, a, text[a:b].tobytes(), at[part] - a))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                rows.append((block, doc, key, a, text[a:b].tobytes(), (at[part] - a).astype(np.int32)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "doc", "key", "start", "body", "at"])
 
     return run
 
 
-def _of_regions(table: pa.Table, names: Names) -> Iterator[tuple]:
-    """doc, key, start, body's sums, sampled places and their spans, of each region."""
-    for doc, key, start, body, at in zip(*(table.column(c) for c in ("doc", "key", "start", "body", "at")), strict=True):
-        data = np.frombuffer(body.as_py(), dtype=np.uint8)
-        place = at.values.to_numpy(zero_copy_only=False)
-        for first in range(0, len(place), STEP // LENGTH):
-            here = place[first:first + STEP // LENGTH]
-            base, end = max(0, int(here[0]) - BEFORE), min(len(data), int(here[-1]) + LENGTH)
-            if end - base > PIECE:  # sampled places of a region are never that far apart
-                raise ValueError("a gap in a region")
-            yield doc.as_py(), key.as_py(), start.as_py() + base, names.sums(data[base:end]), here - base, np.maximum(here - base - BEFORE, 0), np.minimum(here - base + LENGTH, end - base)
+class Sampled(NamedTuple):
+    """The sampled places of some regions, laid end to end in one text."""
 
+    sums: np.ndarray
+    doc: np.ndarray
+    key: np.ndarray
+    shift: np.ndarray  # from the laid text to the document
+    place: np.ndarray
+    low: np.ndarray  # of the context, and of its region
+    high: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
 
-def _context(names: Names, sums: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    shape = (place - low) * 64 + (high - place)
-    return mix(names.of(sums, low, high) + shape.astype(U) * U(0xC2B2AE3D27D4EB4F))
 
+def _sampled(table: pa.Table, names: Names) -> Iterator[Sampled]:
+    """The regions of a block, some hundred kilobytes at a time."""
+    sizes = pc.binary_length(table.column("body")).to_numpy().astype(np.int64)
+    doc, key, start = (table.column(c).to_numpy() for c in ("doc", "key", "start"))
+    group = np.cumsum(sizes) // (PIECE - 2 * REGION_BYTES)
+    for part in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(group)) + 1) if len(sizes) else ():
+        rows = table.slice(int(part[0]), len(part))
+        data = np.frombuffer(b"".join(rows.column("body").to_pylist()), dtype=np.uint8)
+        ends = np.cumsum(sizes[part])
+        begins = ends - sizes[part]
+        at = rows.column("at").combine_chunks()
+        at = pa.concat_arrays(at.chunks) if isinstance(at, pa.ChunkedArray) else at
+        owner = np.repeat(np.arange(len(part)), at.value_lengths().to_numpy(zero_copy_only=False))
+        place = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + begins[owner]
+        first, last = begins[owner], ends[owner]
+        yield Sampled(names.sums(data), doc[part][owner], key[part][owner], (start[part] - begins)[owner], place, np.maximum(place - BEFORE, first), np.minimum(place + LENGTH, last), first, last)
 
-def _all_contexts(table: pa.Table, names: Names):
-    parts = []
-    for doc, key, start, sums, place, low, high in _of_regions(table, names):
-        n = len(place)
-        parts.append((names.of(sums, place, place + NAME), _context(names, sums, place, low, high), np.full(n, doc), np.full(n, key), place + start, low + start, high + start))
-    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, dtype=U)] * 2 + [NONE] * 5
+
+def _context(names: Names, x: Sampled) -> np.ndarray:
+    shape = (x.place - x.low) * 64 + (x.high - x.place)
+    return mix(names.of(x.sums, x.low, x.high) + shape.astype(U) * U(0xC2B2AE3D27D4EB4F))
+
+
+def _halves(names: Names, x: Sampled) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names of the sampled string with half of its surroundings on one side, and where there is such a string.
+
+    A 50-byte string around the place reaches at least that far on one of its sides.
+    """
+    for side, low, high in ((0, x.place - HALF, x.place + NAME), (1, x.place, x.place + NAME + BEFORE - HALF)):
+        there = (low >= x.first) & (high <= x.last)
+        yield there, mix(names.of(x.sums, np.where(there, low, x.place), np.where(there, high, x.place)) + U(side))
 
 
 def _contexts(buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        name, context, doc, key, at, low, high = _all_contexts(table, Names())
-        if not len(name):
+        names, block, parts, half_parts = Names(), table.column("block")[0].as_py(), [], []
+        for x in _sampled(table, names):
+            context = _context(names, x)
+            parts.append((context, x.doc, x.key, x.low + x.shift, x.high + x.shift))
+            half_parts += [(half[there], context[there]) for there, half in _halves(names, x)]
+        if not parts:
             return _rows([])
+        context, doc, key, low, high = (np.concatenate(c) for c in zip(*parts, strict=True))
         later = _later(context, doc)
         rows = _covers(block, doc[later], key[later], low[later], high[later])
-        keep = ~later
-        rows += _dealt(CONTEXT, block, buckets, context[keep], doc[keep], key[keep], at[keep])
-        order = np.lexsort((context, name))
-        first = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))
-        last = np.concatenate((first[1:] - 1, [len(order) - 1]))
-        one, a, b = name[order][first], context[order][first], context[order][last]
+        one, first = np.unique(context[~later], return_index=True)
+        rows += _dealt(CONTEXT, block, buckets, one, doc[~later][first])
+        half, context = (np.concatenate(c) for c in zip(*half_parts, strict=True))
+        order = np.lexsort((context, half))
+        first = np.flatnonzero(np.concatenate(([True], half[order][1:] != half[order][:-1]))) if len(half) else NONE
+        last = np.concatenate((first[1:] - 1, [len(order) - 1])) if len(first) else NONE
+        one, a, b = half[order][first], context[order][first], context[order][last]
         differ = a != b
         rows += _dealt(MIXED, block, buckets, np.concatenate((one, one[differ])), np.concatenate((a, b[differ])).view(np.int64))
         return _rows(rows)
@@ -278,7 +309,7 @@ def _contexts(buckets: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _judged(table: pa.Table) -> pa.Table:
-    """For each block: sampled places whose context a smaller document has, and names with different contexts."""
+    """For each block: contexts that a smaller document has, and half names that stand in different contexts."""
     rows, kinds = [], table.column("kind").to_numpy()
     for kind in (CONTEXT, MIXED):
         part = table.filter(pa.array(kinds == kind))
@@ -286,51 +317,58 @@ def _judged(table: pa.Table) -> pa.Table:
             continue
         a, b, block = _list(part, "a"), _list(part, "b"), _per_entry(part, "block", "a")
         if kind == CONTEXT:
-            hit, lists = _later(a, b), (b, _list(part, "c"), _list(part, "d"))
+            hit = _later(a, b)
         else:
             _, place = np.unique(a, return_inverse=True)
             order = np.lexsort((b, place))
             fresh = np.flatnonzero(np.concatenate(([True], np.diff(place[order]) != 0)))
-            differ = b[order][fresh] != b[order][np.concatenate((fresh[1:] - 1, [len(order) - 1]))]
-            hit, lists = differ[place], (a,)
+            hit = (b[order][fresh] != b[order][np.concatenate((fresh[1:] - 1, [len(order) - 1]))])[place]
         index = np.flatnonzero(hit)
         index = index[np.argsort(block[index], kind="stable")]
         for p in np.split(index, np.flatnonzero(np.diff(block[index])) + 1) if len(index) else ():
-            held = [x[p] for x in lists]
-            rows.append((-1, kind, int(block[p[0]]), *held, *[NONE] * (4 - len(held))))
+            rows.append((-1, kind, int(block[p[0]]), np.unique(a[p]), NONE, NONE, NONE))
     return _rows(rows)
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted list."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return known[place] == values
+
+
 def _strings(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
             return _rows([])
-        names, block = Names(), table.column("block")[0].as_py()
-        kinds = told.column("kind").to_numpy()
-        covered, mixed = (told.filter(pa.array(kinds == k)) for k in (CONTEXT, MIXED))
-        done = set(zip(_list(covered, "a").tolist(), _list(covered, "b").tolist(), _list(covered, "c").tolist(), strict=True))
-        name, context, doc, key, at, low, high = _all_contexts(table, names)
-        sure = np.fromiter(((d, k, p) in done for d, k, p in zip(doc.tolist(), key.tolist(), at.tolist(), strict=True)), dtype=bool, count=len(doc))
-        rows = _covers(block, doc[sure], key[sure], low[sure], high[sure])
-        open_ = ~sure & ~_later(context, doc) & np.isin(name, _list(mixed, "a").view(U))
-        wanted: dict[tuple[int, int], np.ndarray] = {}
-        pairs = np.flatnonzero(open_)
-        if len(pairs):
-            group = pairs[np.lexsort((key[pairs], doc[pairs]))]
-            cuts = np.flatnonzero((np.diff(doc[group]) != 0) | (np.diff(key[group]) != 0)) + 1
-            wanted = {(int(doc[g[0]]), int(key[g[0]])): at[g] for g in np.split(group, cuts)}
-        found = []
-        for d, k, start, sums, place, _, _ in _of_regions(table, names):
-            here = place[np.isin(place + start, wanted[d, k])] if (d, k) in wanted else NONE
-            if len(here):
-                begin = np.unique((here[:, None] - np.arange(WINDOW)).ravel())
-                begin = begin[(begin >= 0) & (begin + LENGTH < len(sums))]
-                found.append((names.of(sums, begin, begin + LENGTH), np.full(len(begin), d), np.full(len(begin), k), begin + start))
+        names, block, kinds = Names(), table.column("block")[0].as_py(), told.column("kind").to_numpy()
+        covered, mixed = (np.sort(_list(told.filter(pa.array(kinds == k)), "a").view(U)) for k in (CONTEXT, MIXED))
+        all_contexts = [(_context(names, x), x.doc) for x in _sampled(table, names)]
+        later = _later(*(np.concatenate(c) for c in zip(*all_contexts, strict=True))) if all_contexts else NONE
+        rows, found, at = [], [], 0
+        for x, (context, doc) in zip(_sampled(table, names), all_contexts, strict=True):
+            settled = later[at:at + len(doc)]
+            at += len(doc)
+            sure = _among(context, covered) & ~settled
+            rows += _covers(block, doc[sure], x.key[sure], (x.low + x.shift)[sure], (x.high + x.shift)[sure])
+            open_ = np.zeros(len(doc), dtype=bool)
+            for there, half in _halves(names, x):
+                open_ |= there & _among(half, mixed)
+            here = np.flatnonzero(open_ & ~sure & ~settled)
+            if not len(here):
+                continue
+            begin = x.place[here][:, None] - np.arange(WINDOW)
+            good = (begin >= x.first[here][:, None]) & (begin + LENGTH <= x.last[here][:, None])
+            owner = np.broadcast_to(here[:, None], begin.shape)[good]
+            begin, keep = np.unique(begin[good], return_index=True)
+            owner = owner[keep]
+            found.append((names.of(x.sums, begin, begin + LENGTH), doc[owner], x.key[owner], begin + x.shift[owner]))
         if found:
-            text, doc, key, begin = (np.concatenate(x) for x in zip(*found, strict=True))
-            later = _later(text, doc)
-            rows += _covers(block, doc[later], key[later], begin[later], begin[later] + LENGTH)
-            rows += _dealt(STRING, block, buckets, text[~later], doc[~later], key[~later], begin[~later])
+            text, doc, key, begin = (np.concatenate(c) for c in zip(*found, strict=True))
+            gone = _later(text, doc)
+            rows += _covers(block, doc[gone], key[gone], begin[gone], begin[gone] + LENGTH)
+            rows += _dealt(STRING, block, buckets, text[~gone], doc[~gone], key[~gone], begin[~gone])
         return _rows(rows)
 
     return run
