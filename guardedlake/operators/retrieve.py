@@ -186,9 +186,9 @@ def approximate_topk(queries: DataFrame, chunks: DataFrame, dim: int, bits: int,
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits that were found."""
-    both = exact.join(found, ["query_id", "namespace", "chunk_id"], "left_semi").agg(F.count(F.lit(1)).alias("n_found"))
-    return (both.join(exact.agg(F.count(F.lit(1)).alias("n_exact")))
-            .select("n_found", "n_exact", F.try_divide("n_found", "n_exact").alias("recall")))
+    keys = ["query_id", "namespace", "chunk_id"]
+    both = exact.join(found.select(*keys, F.lit(1).alias("__hit")), keys, "left").agg(F.count("__hit").alias("n_found"), F.count(F.lit(1)).alias("n_exact"))
+    return both.withColumn("recall", F.try_divide("n_found", "n_exact"))
 
 
 def assemble(hits: DataFrame, chunks: DataFrame, queries: DataFrame, kinds: list[str] = ALWAYS_KINDS) -> DataFrame:

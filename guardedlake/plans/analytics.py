@@ -1,6 +1,6 @@
 """Business questions over finance and rental tables, as DataFrame functions.
 
-Amounts are doubles with two decimals; totals are rounded to two again. Every
+Amounts have two decimals and are summed as decimals; totals come out as doubles. Every
 ordered result ends its order with a key, so it is the same on every run.
 """
 
@@ -26,12 +26,20 @@ class Finance(NamedTuple):
     cash_flow: DataFrame  # flow_id, flow_date, flow_type, amount
 
 
+    def accounts_of(self, account_type: str) -> DataFrame:
+        return self.accounts.where(F.col("account_type") == account_type)
+
+    def entries_of(self, status: str) -> DataFrame:
+        return self.entries.where(F.col("status") == status)
+
+
 def money(amount: Column) -> Column:
-    return F.round(F.sum(amount), 2)
+    """An exact total: amounts are decimals while they are summed, in whatever order they come."""
+    return F.sum(amount.cast("decimal(18,2)")).cast("double")
 
 
-def _dated(entries: DataFrame, start: str | None, end: str | None, status: str = "POSTED") -> DataFrame:
-    out = entries.where(F.col("status") == status)
+def _dated(f: Finance, start: str | None, end: str | None, status: str = "POSTED") -> DataFrame:
+    out = f.entries_of(status)
     if start:
         out = out.where(F.col("entry_date") >= F.lit(start).cast("date"))
     if end:
@@ -47,8 +55,8 @@ def _posted(f: Finance, account_type: str | None, amount: str, start: str | None
     """
     lines = f.lines.select("entry_id", "account_id", "business_unit_id", amount)
     if account_type:
-        lines = lines.join(f.accounts.where(F.col("account_type") == account_type), "account_id")
-    return lines.join(_dated(f.entries, start, end).select("entry_id", "entry_date"), "entry_id")
+        lines = lines.join(f.accounts_of(account_type), "account_id")
+    return lines.join(_dated(f, start, end).select("entry_id", "entry_date"), "entry_id")
 
 
 def _unit(f: Finance) -> DataFrame:
@@ -57,7 +65,7 @@ def _unit(f: Finance) -> DataFrame:
 
 def revenue_by_unit(f: Finance, since: str) -> DataFrame:
     """Q1: credit on revenue accounts per unit since a date."""
-    per_unit = _posted(f, "REVENUE", "credit_amount", since).groupBy("business_unit_id").agg(F.sum("credit_amount").alias("s"))
+    per_unit = _posted(f, "REVENUE", "credit_amount", since).groupBy("business_unit_id").agg(money(F.col("credit_amount")).alias("s"))
     return (per_unit.join(_unit(f), "business_unit_id").groupBy("business_unit").agg(money(F.col("s")).alias("total_revenue"))
             .orderBy(F.desc("total_revenue"), "business_unit"))
 
@@ -120,7 +128,7 @@ def expenses_by_unit(f: Finance, since: str) -> DataFrame:
 
 def pending_entries(f: Finance) -> DataFrame:
     """Q8: entries waiting for approval with their totals, newest first."""
-    pending = _dated(f.entries, None, None, "PENDING")
+    pending = _dated(f, None, None, "PENDING")
     totals = f.lines.select("entry_id", "debit_amount").groupBy("entry_id").agg(money(F.col("debit_amount")).alias("total_amount"))
     return (pending.join(totals, "entry_id")
             .select("entry_id", F.date_format("entry_date", "yyyy-MM-dd").alias("entry_date"), "description", "created_by", "total_amount")
@@ -138,7 +146,7 @@ def vendor_spend(f: Finance, n: int = 10) -> DataFrame:
 def cost_per_employee(f: Finance, salary_accounts: Column) -> DataFrame:
     """Q10: posted salary cost of each unit per head."""
     lines = f.lines.where(salary_accounts).select("entry_id", "business_unit_id", "debit_amount")
-    per_unit = (lines.join(_dated(f.entries, None, None).select("entry_id"), "entry_id")
+    per_unit = (lines.join(_dated(f, None, None).select("entry_id"), "entry_id")
                 .groupBy("business_unit_id").agg(money(F.col("debit_amount")).alias("total_salary_cost")))
     return (per_unit.join(_unit(f), "business_unit_id")
             .select("business_unit", "head_count", "total_salary_cost",

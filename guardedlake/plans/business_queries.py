@@ -9,12 +9,11 @@ from guardedlake.plans.registry import named
 from guardedlake.plans.star import FINANCE_SQL, StarFinance, StarRental
 from guardedlake.sources.tables import Tables
 
-# The added 1e-9 makes the check round halves up as Spark does; no other value is that close to a half.
 _POSTED = "JOIN entries e ON e.entry_id = l.entry_id AND e.status = 'POSTED'"
 
 
 @named("q01_revenue_by_unit", FINANCE_SQL + f"""
-SELECT u.name AS business_unit, round(sum(l.credit_amount), 2) AS total_revenue
+SELECT u.name AS business_unit, CAST(sum(CAST(l.credit_amount AS DECIMAL(18, 2))) AS DOUBLE) AS total_revenue
 FROM lines l {_POSTED} JOIN accounts a ON a.account_id = l.account_id JOIN units u ON u.id = l.business_unit_id
 WHERE a.account_type = 'REVENUE' AND e.entry_date >= DATE '1998-01-01' GROUP BY u.name ORDER BY 2 DESC, 1""")
 def q01(spark, folder):
@@ -22,12 +21,12 @@ def q01(spark, folder):
 
 
 @named("q02_over_budget", FINANCE_SQL + f"""
-SELECT u.name AS business_unit, a.account_name, round(sum(l.debit_amount), 2) AS actual, b.q3_amount AS budget,
-  round(round(sum(l.debit_amount), 2) - b.q3_amount, 2) AS variance
+SELECT u.name AS business_unit, a.account_name, CAST(sum(CAST(l.debit_amount AS DECIMAL(18, 2))) AS DOUBLE) AS actual, b.q3_amount AS budget,
+  round(CAST(sum(CAST(l.debit_amount AS DECIMAL(18, 2))) AS DOUBLE) - b.q3_amount, 2) AS variance
 FROM lines l {_POSTED} JOIN accounts a ON a.account_id = l.account_id JOIN units u ON u.id = l.business_unit_id
 JOIN budgets b ON b.business_unit_id = u.id AND b.account_id = l.account_id AND b.fiscal_year = 1998
 WHERE a.account_type = 'EXPENSE' AND e.entry_date >= DATE '1998-07-01' AND e.entry_date < DATE '1998-10-01'
-GROUP BY u.name, a.account_id, a.account_name, b.q3_amount HAVING round(sum(l.debit_amount), 2) > b.q3_amount""")
+GROUP BY u.name, a.account_id, a.account_name, b.q3_amount HAVING CAST(sum(CAST(l.debit_amount AS DECIMAL(18, 2))) AS DOUBLE) > b.q3_amount""")
 def q02(spark, folder):
     return a.over_budget(StarFinance(spark, folder), 1998, 3)
 
@@ -41,14 +40,14 @@ def q03(spark, folder):
 
 
 @named("q04_monthly_cash_flow", FINANCE_SQL + """
-SELECT strftime(date_trunc('month', flow_date), '%Y-%m-%d') AS month, round(sum(amount), 2) AS net_cash_flow
+SELECT strftime(date_trunc('month', flow_date), '%Y-%m-%d') AS month, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS net_cash_flow
 FROM cash_flow WHERE flow_type = 'OPERATING' GROUP BY 1 ORDER BY 1""")
 def q04(spark, folder):
     return a.monthly_cash_flow(StarFinance(spark, folder), "OPERATING")
 
 
 @named("q05_top_expense_accounts", FINANCE_SQL + f"""
-SELECT a.account_id, a.account_name, round(sum(l.debit_amount), 2) AS total_spend
+SELECT a.account_id, a.account_name, CAST(sum(CAST(l.debit_amount AS DECIMAL(18, 2))) AS DOUBLE) AS total_spend
 FROM lines l {_POSTED} JOIN accounts a ON a.account_id = l.account_id WHERE a.account_type = 'EXPENSE'
 GROUP BY a.account_id, a.account_name ORDER BY 3 DESC, 1 LIMIT 10""")
 def q05(spark, folder):
@@ -56,19 +55,17 @@ def q05(spark, folder):
 
 
 @named("q06_quarterly_growth", FINANCE_SQL + f""",
-quarterly AS (SELECT CAST(EXTRACT(quarter FROM e.entry_date) AS INTEGER) AS quarter, round(sum(l.credit_amount), 2) AS revenue
-  FROM lines l {_POSTED} JOIN accounts a ON a.account_id = l.account_id
-  WHERE a.account_type = 'REVENUE' AND e.entry_date >= DATE '1998-01-01' AND e.entry_date < DATE '1999-01-01' GROUP BY 1)
-SELECT quarter, revenue, lag(revenue) OVER (ORDER BY quarter) AS prev_quarter,
-  round((revenue - lag(revenue) OVER (ORDER BY quarter)) / lag(revenue) OVER (ORDER BY quarter) * 100, 1) AS growth_pct
-FROM quarterly""")
+earned AS (SELECT quarter(e.entry_date) AS q, CAST(sum(CAST(l.credit_amount AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM accounts a
+  JOIN lines l ON l.account_id = a.account_id {_POSTED} WHERE a.account_type = 'REVENUE' AND year(e.entry_date) = 1998 GROUP BY ALL)
+SELECT now.q AS quarter, now.total AS revenue, before.total AS prev_quarter, round((now.total - before.total) / before.total * 100, 1) AS growth_pct
+FROM earned now LEFT JOIN earned before ON before.q = now.q - 1""")
 def q06(spark, folder):
     return a.quarterly_growth(StarFinance(spark, folder), 1998)
 
 
 @named("q07_expenses_by_unit", FINANCE_SQL + f"""
-SELECT u.name AS business_unit, u.region, round(sum(l.debit_amount), 2) AS total_expenses, u.head_count,
-  round(round(sum(l.debit_amount), 2) / u.head_count + 1e-9, 2) AS cost_per_head
+SELECT u.name AS business_unit, u.region, CAST(sum(CAST(l.debit_amount AS DECIMAL(18, 2))) AS DOUBLE) AS total_expenses, u.head_count,
+  ((CAST(sum(CAST(l.debit_amount AS DECIMAL(18, 2))) * 200 AS HUGEINT) + u.head_count) // (2 * u.head_count)) / 100 AS cost_per_head
 FROM lines l {_POSTED} JOIN accounts a ON a.account_id = l.account_id JOIN units u ON u.id = l.business_unit_id
 WHERE a.account_type = 'EXPENSE' AND e.entry_date >= DATE '1998-01-01' GROUP BY u.name, u.region, u.head_count""")
 def q07(spark, folder):
@@ -76,31 +73,31 @@ def q07(spark, folder):
 
 
 @named("q08_pending_entries", FINANCE_SQL + """
-SELECT e.entry_id, strftime(e.entry_date, '%Y-%m-%d') AS entry_date, e.description, e.created_by, round(sum(l.debit_amount), 2) AS total_amount
+SELECT e.entry_id, strftime(e.entry_date, '%Y-%m-%d') AS entry_date, e.description, e.created_by, CAST(sum(CAST(l.debit_amount AS DECIMAL(18, 2))) AS DOUBLE) AS total_amount
 FROM entries e JOIN lines l ON l.entry_id = e.entry_id WHERE e.status = 'PENDING'
 GROUP BY e.entry_id, e.entry_date, e.description, e.created_by""")
 def q08(spark, folder):
     return a.pending_entries(StarFinance(spark, folder))
 
 
-@named("q09_vendor_spend", FINANCE_SQL + """
-SELECT vendor_name, count(*) AS invoice_count, round(sum(amount), 2) AS total_spend,
-  round(sum(CASE WHEN status = 'OVERDUE' THEN amount ELSE 0 END), 2) AS overdue_amount
-FROM invoices GROUP BY vendor_name ORDER BY 3 DESC, 1 LIMIT 10""")
+@named("q09_vendor_spend", FINANCE_SQL + """,
+cents AS (SELECT *, CAST(amount AS DECIMAL(18, 2)) AS paid FROM invoices)
+SELECT vendor_name, count(paid) AS invoice_count, CAST(sum(paid) AS DOUBLE) AS total_spend, CAST(coalesce(sum(paid) FILTER (status = 'OVERDUE'), 0) AS DOUBLE) AS overdue_amount
+FROM cents GROUP BY vendor_name ORDER BY total_spend DESC, vendor_name LIMIT 10""")
 def q09(spark, folder):
     return a.vendor_spend(StarFinance(spark, folder))
 
 
 @named("q10_cost_per_employee", FINANCE_SQL + f"""
-SELECT u.name AS business_unit, u.head_count, round(sum(l.debit_amount), 2) AS total_salary_cost,
-  round(round(sum(l.debit_amount), 2) / u.head_count + 1e-9, 2) AS cost_per_employee
+SELECT u.name AS business_unit, u.head_count, CAST(sum(CAST(l.debit_amount AS DECIMAL(18, 2))) AS DOUBLE) AS total_salary_cost,
+  ((CAST(sum(CAST(l.debit_amount AS DECIMAL(18, 2))) * 200 AS HUGEINT) + u.head_count) // (2 * u.head_count)) / 100 AS cost_per_employee
 FROM lines l {_POSTED} JOIN units u ON u.id = l.business_unit_id WHERE l.account_id < 100 GROUP BY u.name, u.head_count""")
 def q10(spark, folder):
     return a.cost_per_employee(StarFinance(spark, folder), F.col("account_id") < 100)
 
 
 @named("q11_budget_variance", FINANCE_SQL + f""",
-spent AS (SELECT a.account_id, a.account_name, round(sum(l.debit_amount), 2) AS actual
+spent AS (SELECT a.account_id, a.account_name, CAST(sum(CAST(l.debit_amount AS DECIMAL(18, 2))) AS DOUBLE) AS actual
   FROM lines l {_POSTED} JOIN accounts a ON a.account_id = l.account_id JOIN units u ON u.id = l.business_unit_id
   WHERE a.account_type = 'EXPENSE' AND e.entry_date >= DATE '1998-01-01' AND e.entry_date < DATE '1999-01-01' AND u.name = 'NATION_7'
   GROUP BY a.account_id, a.account_name),
@@ -146,7 +143,7 @@ def q16(spark, folder):
 
 
 @named("q17_duration_per_category", """
-SELECT p_type AS category, round(avg(p_size % 7 + 1) + 1e-9, 2) AS avg_duration_days FROM part GROUP BY p_type""")
+SELECT p_type AS category, ((sum(p_size % 7 + 1) * 200 + count(*)) // (2 * count(*))) / 100 AS avg_duration_days FROM part GROUP BY p_type""")
 def q17(spark, folder):
     return a.duration_per_category(StarRental(spark, folder))
 

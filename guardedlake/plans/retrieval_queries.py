@@ -99,8 +99,8 @@ def b05_shared(spark, folder):
 
 
 # Which rows come out is approximate by purpose. What is not: as many hits as asked for, each with
-# the distance of the exact search, and nine of ten true neighbours found.
-@named("b04_approximate_topk", "SELECT vec_id AS query_id, 4 AS n_hits, true AS distances_exact, true AS recalled FROM embeddings")
+# the distance of the exact search; and in the row of query -1, that nine of ten true neighbours were found.
+@named("b04_approximate_topk", "SELECT vec_id AS query_id, 4 AS n_hits, true AS good FROM embeddings UNION ALL SELECT -1, 0, true")
 def b04(spark, folder):
     queries, chunks = _one_namespace(vector_queries(spark, folder)), _one_namespace(vector_chunks(spark, folder))
     found = retrieve.approximate_topk(queries, chunks, 64, bits=3, k=4, tables=16)
@@ -108,9 +108,9 @@ def b04(spark, folder):
     doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
     dot = lambda a, b: F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     exact = 1 - dot("q", "c") / F.sqrt(dot("q", "q") * dot("c", "c"))
-    held = pair.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_hits"), F.bool_and(F.abs(exact - F.col("distance")) < 2e-6).alias("distances_exact"))
-    share = retrieve.recall(found, retrieve.cosine_topk(queries, chunks, 4)).select((F.col("recall") >= 0.9).alias("recalled"))
-    return held.join(share)
+    held = pair.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_hits"), F.bool_and(F.abs(exact - F.col("distance")) < 2e-6).alias("good"))
+    share = retrieve.recall(found, retrieve.cosine_topk(queries, chunks, 4))
+    return held.union(share.select(F.lit(-1).cast("bigint"), F.lit(0), F.col("recall") >= 0.9))
 
 
 _CONTEXT_SQL = _CHUNKS_SQL + f""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardedlake.sources.tables import Tables
@@ -24,21 +24,47 @@ class StarFinance:
             F.concat(F.lit("CC-"), (F.col("n_nationkey") + 1000).cast("string")).alias("cost_center"),
             (F.col("n_nationkey") * 7 + 20).alias("head_count"))
 
+    # What the tables hold for each account type and entry status; all other values mean the last one.
+    TYPES = {"STANDARD": "ASSET", "MEDIUM": "LIABILITY", "LARGE": "EQUITY", "PROMO": "REVENUE", None: "EXPENSE"}
+    STATES = {"P": "PENDING", "F": "POSTED", None: "REVERSED"}
+
+    def _meaning(self, column: str, of: dict) -> Column:
+        out = F.lit(of[None])
+        for raw, shown in of.items():
+            if raw is not None:
+                out = F.when(F.col(column) == raw, shown).otherwise(out)
+        return out
+
+    def _holds(self, column: str, of: dict, wanted: str) -> Column:
+        """The rows of a meaning, as a filter on what the table holds: one that reaches the scan."""
+        if of[None] == wanted:
+            return F.col(column).isNull() | ~F.col(column).isin([r for r in of if r is not None])
+        return F.col(column) == next(r for r, shown in of.items() if shown == wanted)
+
+    def _accounts(self, part: DataFrame) -> DataFrame:
+        return part.select(
+            F.col("p_partkey").alias("account_id"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("account_name"),
+            self._meaning("p_type", self.TYPES).alias("account_type"))
+
+    def _entries(self, orders: DataFrame) -> DataFrame:
+        return orders.select(
+            F.col("o_orderkey").alias("entry_id"), F.col("o_orderdate").cast("date").alias("entry_date"),
+            F.col("o_orderpriority").alias("description"),
+            F.concat(F.lit("clerk-"), F.col("o_custkey").cast("string")).alias("created_by"), self._meaning("o_orderstatus", self.STATES).alias("status"))
+
     @cached_property
     def accounts(self) -> DataFrame:
-        kind = (F.when(F.col("p_type") == "STANDARD", "ASSET").when(F.col("p_type") == "MEDIUM", "LIABILITY")
-                .when(F.col("p_type") == "LARGE", "EQUITY").when(F.col("p_type") == "PROMO", "REVENUE").otherwise("EXPENSE"))
-        return self.t.part.select(
-            F.col("p_partkey").alias("account_id"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("account_name"),
-            kind.alias("account_type"))
+        return self._accounts(self.t.part)
 
     @cached_property
     def entries(self) -> DataFrame:
-        status = F.when(F.col("o_orderstatus") == "P", "PENDING").when(F.col("o_orderstatus") == "F", "POSTED").otherwise("REVERSED")
-        return self.t.orders.select(
-            F.col("o_orderkey").alias("entry_id"), F.col("o_orderdate").cast("date").alias("entry_date"),
-            F.col("o_orderpriority").alias("description"),
-            F.concat(F.lit("clerk-"), F.col("o_custkey").cast("string")).alias("created_by"), status.alias("status"))
+        return self._entries(self.t.orders)
+
+    def accounts_of(self, account_type: str) -> DataFrame:
+        return self._accounts(self.t.part.where(self._holds("p_type", self.TYPES, account_type)))
+
+    def entries_of(self, status: str) -> DataFrame:
+        return self._entries(self.t.orders.where(self._holds("o_orderstatus", self.STATES, status)))
 
     @cached_property
     def lines(self) -> DataFrame:
