@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,15 +151,21 @@ def portable_bucket(word: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
 
 
+ROWS_AT_ONCE = 1_024  # texts whose counts are one matrix
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def _unit_counts(buckets: pd.Series, dims: pd.Series) -> pd.Series:
-    def one(ids, dim):
-        if ids is None or len(ids) == 0:
-            return None
-        counts = np.bincount(np.asarray(ids, dtype=np.int64), minlength=dim).astype(np.float64)
-        return (counts / np.sqrt((counts * counts).sum())).astype(np.float32)
-
-    return pd.Series([one(i, d) for i, d in zip(buckets, dims)], dtype=object)
+    dim, out = int(dims.iloc[0]) if len(dims) else 1, []
+    for at in range(0, len(buckets), ROWS_AT_ONCE):
+        part = [np.zeros(0, dtype=np.int64) if x is None else np.asarray(x, dtype=np.int64) for x in buckets.iloc[at:at + ROWS_AT_ONCE]]
+        sizes = [len(x) for x in part]
+        places = np.concatenate(part) + np.repeat(np.arange(len(part)) * dim, sizes)
+        counts = np.bincount(places, minlength=len(part) * dim).reshape(len(part), dim).astype(np.float64)
+        norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        units = np.divide(counts, norm, out=counts, where=norm > 0).astype(np.float32)
+        out += [u if n else None for u, n in zip(units, sizes)]
+    return pd.Series(out, dtype=object)
 
 
 def embed_by_hash(df: DataFrame, text: str, dim: int = 1536, out: str = "embedding",
@@ -207,6 +213,4 @@ def last_in_batch(chunks: DataFrame, order: list[str]) -> DataFrame:
 def ingest_summary(chunks: DataFrame) -> DataFrame:
     """Chunks by namespace and kind, with the namespace total on each row."""
     per_kind = chunks.groupBy("namespace", "kind").agg(F.count(F.lit(1)).alias("n_chunks"))
-    total = per_kind.groupBy("namespace").agg(F.sum("n_chunks").alias("n_total"))
-    return per_kind.join(total, "namespace")
-
+    return per_kind.withColumn("n_total", F.sum("n_chunks").over(Window.partitionBy("namespace")))

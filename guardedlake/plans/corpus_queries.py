@@ -10,6 +10,7 @@ from guardedlake.plans.ingest import STORED_SCHEMA, ingest
 from guardedlake.plans.registry import named
 from guardedlake.sources import catalog
 from guardedlake.sources.documents import table_documents
+from guardedlake.session import materialise
 from guardedlake.sources.tables import STAR_TABLES, Tables, row_counts
 
 _LIST = ", ".join(f"'{t}'" for t in STAR_TABLES)
@@ -106,7 +107,7 @@ def a07(spark, folder):
 def framed_documents(spark, folder):
     """Each document's whole text between a title and one table section."""
     text = F.concat(F.lit("# Document "), F.col("doc_id").cast("string"), F.lit("\n\n"), "text", F.lit("\n\n## "), "source", F.lit("\n\nLanguage "), "lang")
-    return Tables(spark, folder).spread("documents").select(F.col("doc_id"), text.alias("text"), F.concat_ws("/", "lang", "source").alias("ns"))
+    return Tables(spark, folder).spread("documents").select(F.col("doc_id"), text.alias("text"), F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("ns"))
 
 
 @named("a07_chunk_split_documents", r"""
@@ -212,12 +213,14 @@ def a13(spark, folder):
     return corpus.ingest_summary(chunks).withColumn("n_total", F.col("n_total").cast("bigint"))
 
 
-@named("a14_ingest_job", """
-SELECT lang || '/' || source AS namespace, 'OVERVIEW' AS kind, 1 AS n_chunks, arg_max('# Document ' || doc_id || chr(10) || chr(10) || text, doc_id) AS content,
-  2 AS n_total FROM documents GROUP BY 1
-UNION ALL SELECT DISTINCT lang || '/' || source, 'TABLE', 1, '## ' || source || chr(10) || chr(10) || 'Language ' || lang, 2 FROM documents""")
+# Every document is a namespace, so that all chunks are kept.
+@named("a14_ingest_job", r"""
+SELECT lang || '/' || source || '/' || doc_id AS namespace, 'OVERVIEW' AS kind, 1 AS n_chunks,
+  regexp_replace('# Document ' || doc_id || chr(10) || chr(10) || text, '^\s+|\s+$', '', 'g') AS content, 2 AS n_total FROM documents
+UNION ALL SELECT lang || '/' || source || '/' || doc_id, 'TABLE', 1, '## ' || source || chr(10) || chr(10) || 'Language ' || lang, 2 FROM documents""")
 def a14(spark, folder):
     docs = framed_documents(spark, folder)
     chunks = ingest(docs, spark.createDataFrame([], STORED_SCHEMA), F.col("ns"), F.timestamp_seconds(F.lit(0)), dim=_DIM)
+    chunks = materialise(chunks, "chunks")  # what follows reads the stored table, not the documents
     content = chunks.where("embedding IS NOT NULL").select("namespace", "kind", "content")
     return corpus.ingest_summary(chunks).join(content, ["namespace", "kind"])

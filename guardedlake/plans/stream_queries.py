@@ -32,7 +32,7 @@ def s01(spark, folder):
     out = fresh_path(spark, "screened")
     _finish(streams.screen_stream(statements, out, fresh_path(spark, "state")))
     schema = "statement_id string, sanitized string, keyword string, allowed boolean"
-    both = streams.read_sink(spark, out, "allowed", schema).unionByName(streams.read_sink(spark, out, "rejected", schema))
+    both = streams.read_sink(spark, out, "allowed", schema).unionByName(streams.read_sink(spark, out, "rejected", schema)).drop("batch")
     return both.select("statement_id", "allowed", "keyword", F.md5(F.col("sanitized").cast("binary")).alias("digest"))
 
 
@@ -47,7 +47,7 @@ def s02(spark, folder):
     out = fresh_path(spark, "metrics")
     _finish(streams.start(streams.windowed_metrics(queries, ["event_type"]), streams.batch_sink(out, closed=lambda d: d), fresh_path(spark, "state")))
     schema = "window_start timestamp, event_type string, query_count bigint, total_ms bigint, max_ms bigint"
-    return streams.read_sink(spark, out, "closed", schema).withColumn("window_start", F.date_format("window_start", _STAMP))
+    return streams.read_sink(spark, out, "closed", schema).drop("batch").withColumn("window_start", F.date_format("window_start", _STAMP))
 
 
 @named("s03_live_sessions", """
@@ -60,7 +60,7 @@ def s03(spark, folder):
     events = _arriving(spark, folder, "events").select("user_id", "ts")
     out = fresh_path(spark, "sessions")
     _finish(streams.start(streams.live_sessions(events, "user_id"), streams.batch_sink(out, closed=lambda d: d), fresh_path(spark, "state")))
-    done = streams.read_sink(spark, out, "closed", "user_id bigint, started timestamp, last_access timestamp, n bigint")
+    done = streams.read_sink(spark, out, "closed", "user_id bigint, started timestamp, last_access timestamp, n bigint").drop("batch")
     return done.withColumn("started", F.date_format("started", _STAMP)).withColumn("last_access", F.date_format("last_access", _STAMP))
 
 
@@ -78,7 +78,7 @@ def s03_history(spark, folder):
 def s04(spark, folder):
     docs = _arriving(spark, folder, "documents")
     text = F.concat(F.lit("# Document "), F.col("doc_id").cast("string"), F.lit("\n\n"), "text", F.lit("\n\n## "), "source", F.lit("\n\nLanguage "), "lang")
-    framed = docs.select("doc_id", text.alias("text"), F.concat_ws("/", "lang", "source").alias("ns"))
+    framed = docs.select("doc_id", text.alias("text"), F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("ns"))
     out = fresh_path(spark, "chunk-log")
     _finish(streams.ingest_stream(framed, out, fresh_path(spark, "state"), F.col("ns"), F.timestamp_seconds(F.lit(0)), dim=64))
     chunks = streams.current_chunks(spark, out)

@@ -42,10 +42,13 @@ def batch_sink(path: str, **branches: Callable[[DataFrame], DataFrame]) -> Calla
 
 
 def read_sink(spark: SparkSession, path: str, branch: str, schema: str) -> DataFrame:
-    """All batches a sink has written; none is an empty table."""
+    """All batches a sink has written, with their number as ``batch``; none is an empty table."""
+    schema = f"{schema}, batch int"
     try:
-        return spark.read.schema(schema).parquet(f"{path}/{branch}/batch=*")
-    except AnalysisException:
+        return spark.read.schema(schema).parquet(f"{path}/{branch}")
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -140,12 +143,13 @@ def history_stream(messages: DataFrame, path: str, checkpoint: str, keep: int =
     return start(messages, sink, checkpoint, once=once)
 
 
-def current_history(spark: SparkSession, path: str, keep: int = 20) -> DataFrame:
-    """The trimmed history after all batches."""
-    return trimmed_history(read_sink(spark, path, "history", _MESSAGES), keep)
+def current_history(spark: SparkSession, path: str, keep: int = 20, base: DataFrame | None = None) -> DataFrame:
+    """The trimmed history after all batches, on top of what an earlier call was stored as (``base``)."""
+    messages = read_sink(spark, path, "history", _MESSAGES).drop("batch")
+    return trimmed_history(messages if base is None else messages.unionByName(base), keep)
 
 
-CHUNK_LOG_SCHEMA = STORED_SCHEMA + ", doc_id string, pos int, batch int"
+CHUNK_LOG_SCHEMA = STORED_SCHEMA + ", doc_id string, pos int"
 
 
 def ingest_stream(docs: DataFrame, path: str, checkpoint: str, namespace: str | Column, created_at: Column, dim: int = 1536,
@@ -162,10 +166,15 @@ def ingest_stream(docs: DataFrame, path: str, checkpoint: str, namespace: str |
     return start(docs, batch_sink(path, chunks=chunks), checkpoint, once=once)
 
 
-def current_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table after all batches: the last row per key, the first creation time."""
-    log = read_sink(spark, path, "chunks", CHUNK_LOG_SCHEMA.replace(", batch int", ""))
-    log = log.withColumn("batch", F.regexp_extract(F.input_file_name(), r"/batch=(\d+)/", 1).cast("int"))
+def current_chunks(spark: SparkSession, path: str, base: DataFrame | None = None) -> DataFrame:
+    """The chunk table after all batches: the last row per key, the first creation time.
+
+    ``base`` is the table before the first of the batches. To compact, store the result
+    and let the stream write to a new path; the stored table is then the base.
+    """
+    log = read_sink(spark, path, "chunks", CHUNK_LOG_SCHEMA)
+    if base is not None:
+        log = log.unionByName(base.withColumn("batch", F.lit(-1)), allowMissingColumns=True)
     fields = ["kind", "title", "content", "embed_text", "embedding"]
     return (log.groupBy("namespace", "chunk_id")
             .agg(F.max_by(F.struct(*fields), F.struct("batch", "doc_id", "pos")).alias("r"), F.min("created_at").alias("created_at"))
