@@ -110,11 +110,12 @@ def sample_markdown(name: str, table: DataFrame, key: list[str], rows: int = 3,
 
 def enrich_tables(chunks: DataFrame, samples: DataFrame) -> DataFrame:
     """Append sample rows to table chunks; every other chunk passes unchanged."""
-    named = chunks.withColumn("__t", F.when(F.col("kind") == "TABLE", cleaned_title("title")))
+    is_table = F.col("kind").eqNullSafe("TABLE")
     content = F.when(F.col("sample").isNotNull(),
                      F.concat("content", F.lit("\n\n### Sample rows\n\n"), "sample")).otherwise(F.col("content"))
-    return (named.join(samples.withColumnRenamed("table_name", "__t"), "__t", "left")
-            .withColumn("content", content).select(*chunks.columns))
+    tables = (chunks.where(is_table).withColumn("__t", cleaned_title("title")).join(samples.withColumnRenamed("table_name", "__t"), "__t", "left")
+              .withColumn("content", content).select(*chunks.columns))
+    return tables.unionByName(chunks.where(~is_table))
 
 
 Encoder = Callable[[list[str]], np.ndarray]

@@ -133,6 +133,9 @@ _SAMPLED = {
     "customer": ("c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
     "part": ("p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
     "documents": ("doc_id", ["doc_id", "text", "lang", "source", "n_chars"]),
+    "pages": ("page_id", ["page_id", "url", "html"]),
+    "benchmark": ("item_id", ["item_id", "text"]),
+    "labels": ("doc_id", ["doc_id", "quality", "toxic"]),
 }
 
 

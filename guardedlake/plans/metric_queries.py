@@ -109,7 +109,8 @@ def h03(spark, folder):
 
 
 _PROFILED = {"documents": ["text", "lang", "source"], "pages": ["url", "html"], "conversations": ["role", "text"], "part": ["p_name", "p_brand", "p_type"],
-             "orders": ["o_orderstatus", "o_orderpriority"], "events": ["event_type", "props"]}
+             "orders": ["o_orderstatus", "o_orderpriority"], "events": ["event_type", "props"], "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"],
+             "supplier": ["s_name"], "lineitem": ["l_returnflag", "l_linestatus"], "benchmark": ["text"]}
 
 
 def _profile_sql(table, col):

@@ -74,6 +74,22 @@ def s03_history(spark, folder):
     return streams.current_history(spark, out, 5)
 
 
+# The live form on the given events: the last five of each user, and a row for each user who
+# has been idle for half an hour when the stream has seen everything but the last ten minutes.
+@named("s03_live_history", """
+WITH m AS (SELECT 'u-' || user_id AS session_key, event_id AS seq, event_type AS role, props AS content, ts FROM events),
+ends AS (SELECT session_key, max(ts) AS last FROM m GROUP BY 1)
+SELECT session_key, seq, role, content, false AS expired FROM (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY seq DESC) AS n FROM m) WHERE n <= 5
+UNION ALL SELECT session_key, -1, '', '', true FROM ends WHERE last + INTERVAL 40 MINUTE < (SELECT max(ts) FROM m)""")
+def s03_live(spark, folder):
+    e = _arriving(spark, folder, "events")
+    messages = e.select(F.concat(F.lit("u-"), F.col("user_id").cast("string")).alias("session_key"), F.col("event_id").alias("seq"), F.col("event_type").alias("role"),
+                        F.col("props").alias("content"), "ts")
+    out = fresh_path(spark, "live-history")
+    _finish(streams.start(streams.live_history(messages, 5), streams.batch_sink(out, history=lambda d: d), fresh_path(spark, "state")))
+    return streams.read_sink(spark, out, "history", streams.HISTORY_SCHEMA).drop("batch")
+
+
 @named("s04_ingest_stream", NAMED["a14_ingest_job"].sql)
 def s04(spark, folder):
     docs = _arriving(spark, folder, "documents")
