@@ -45,7 +45,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guardedlake.llm.wordhash import PIECE, U, Hasher, mix, texts_of
-from guardedlake.session import materialise
 
 LENGTH, NAME = 50, 32
 WINDOW = LENGTH - NAME + 1
@@ -56,6 +55,7 @@ STEP = PIECE // 2
 REGION_BYTES = PIECE // 4
 
 MESSAGE = "to bigint, kind int, block bigint, a array<bigint>, b array<bigint>, c array<bigint>, d array<bigint>"
+SIEVE = "bucket bigint, block bigint, twice boolean, low array<int>"
 REGION = "block bigint, doc bigint, key bigint, start bigint, body binary, at array<int>"
 CONTEXT, MIXED, STRING, COVER = range(4)
 NONE = np.zeros(0, dtype=np.int64)
@@ -110,6 +110,16 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["to", "kind", "block", "a", "b", "c", "d"])
 
 
+def _both(half: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """A half name and its context in one number: 28 bits beside the bucket, and 36 bits."""
+    return half << U(36) | context >> U(28)
+
+
+def _dealt_at(kind: int, block: int, buckets: int, key: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
+    rows = _dealt(kind, block, buckets, key, np.arange(len(key)))
+    return [((*x[:4], NONE, NONE, NONE), x[4]) for x in rows]
+
+
 def _dealt(kind: int, block: int, buckets: int, key: np.ndarray, *lists: np.ndarray) -> list[tuple]:
     """Messages to the buckets of ``key``, which goes along."""
     to = ((key >> U(32)) % U(buckets)).astype(np.int64)
@@ -132,7 +142,7 @@ def _covers(block: int, docs: np.ndarray, keys: np.ndarray, low: np.ndarray, hig
     # Ends grow with starts here: spans of a kind have one length, but for those cut at a text's ends.
     fresh[1:] |= low[1:] > high[:-1]
     first = np.flatnonzero(fresh)
-    return [(-1, COVER, block, docs[first], keys[first], low[first], np.maximum.reduceat(high, first))]
+    return [(block, COVER, block, docs[first], keys[first], low[first], np.maximum.reduceat(high, first))]
 
 
 def _later(names: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -235,6 +245,14 @@ def _regions(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
+def _copies(table: pa.Table) -> tuple[list[tuple], pa.Table]:
+    """Covers of the documents that are copies as a whole, and the regions without them."""
+    copy = table.column("body").is_null()
+    whole = table.filter(copy)
+    rows = [(b, COVER, b, np.array([d]), np.array([k]), np.array([0]), np.array([n])) for b, d, k, n in zip(*(whole.column(c).to_pylist() for c in ("block", "doc", "key", "start")), strict=True)]
+    return rows, table.filter(pc.invert(copy))
+
+
 class Sampled(NamedTuple):
     """The sampled places of some regions, laid end to end in one text."""
 
@@ -285,24 +303,25 @@ def _halves(names: Names, x: Sampled) -> Iterator[tuple[np.ndarray, np.ndarray]]
 def _contexts(buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         names, block, parts, half_parts = Names(), table.column("block")[0].as_py(), [], []
+        table = _copies(table)[1]
         for x in _sampled(table, names):
             context = _context(names, x)
-            parts.append((context, x.doc, x.key, x.low + x.shift, x.high + x.shift))
+            parts.append((context, x.doc))
             half_parts += [(half[there], context[there]) for there, half in _halves(names, x)]
         if not parts:
             return _rows([])
-        context, doc, key, low, high = (np.concatenate(c) for c in zip(*parts, strict=True))
+        context, doc = (np.concatenate(c) for c in zip(*parts, strict=True))
         later = _later(context, doc)
-        rows = _covers(block, doc[later], key[later], low[later], high[later])
         one, first = np.unique(context[~later], return_index=True)
-        rows += _dealt(CONTEXT, block, buckets, one, doc[~later][first])
+        rows = _dealt(CONTEXT, block, buckets, one, doc[~later][first])
         half, context = (np.concatenate(c) for c in zip(*half_parts, strict=True))
         order = np.lexsort((context, half))
         first = np.flatnonzero(np.concatenate(([True], half[order][1:] != half[order][:-1]))) if len(half) else NONE
         last = np.concatenate((first[1:] - 1, [len(order) - 1])) if len(first) else NONE
         one, a, b = half[order][first], context[order][first], context[order][last]
         differ = a != b
-        rows += _dealt(MIXED, block, buckets, np.concatenate((one, one[differ])), np.concatenate((a, b[differ])).view(np.int64))
+        half, context = np.concatenate((one, one[differ])), np.concatenate((a, b[differ]))
+        rows += [(*x[:3], _both(half[at], context[at]).view(np.int64), *x[4:]) for x, at in _dealt_at(MIXED, block, buckets, half)]
         return _rows(rows)
 
     return run
@@ -315,14 +334,18 @@ def _judged(table: pa.Table) -> pa.Table:
         part = table.filter(pa.array(kinds == kind))
         if not part.num_rows:
             continue
-        a, b, block = _list(part, "a"), _list(part, "b"), _per_entry(part, "block", "a")
+        a, block = _list(part, "a"), _per_entry(part, "block", "a")
         if kind == CONTEXT:
-            hit = _later(a, b)
+            hit = _later(a, _list(part, "b"))
         else:
-            _, place = np.unique(a, return_inverse=True)
-            order = np.lexsort((b, place))
-            fresh = np.flatnonzero(np.concatenate(([True], np.diff(place[order]) != 0)))
-            hit = (b[order][fresh] != b[order][np.concatenate((fresh[1:] - 1, [len(order) - 1]))])[place]
+            both = a.view(U)
+            order = np.argsort(both)
+            half = both[order] >> U(36)
+            fresh = np.flatnonzero(np.concatenate(([True], half[1:] != half[:-1])))
+            differ = both[order][fresh] != both[order][np.concatenate((fresh[1:] - 1, [len(order) - 1]))]
+            hit = np.empty(len(a), dtype=bool)
+            hit[order] = np.repeat(differ, np.diff(np.concatenate((fresh, [len(order)]))))
+            a = (both >> U(36)).astype(np.int64)
         index = np.flatnonzero(hit)
         index = index[np.argsort(block[index], kind="stable")]
         for p in np.split(index, np.flatnonzero(np.diff(block[index])) + 1) if len(index) else ():
@@ -340,22 +363,24 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def _strings(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows or not told.num_rows:
+        if not table.num_rows:
             return _rows([])
-        names, block, kinds = Names(), table.column("block")[0].as_py(), told.column("kind").to_numpy()
-        covered, mixed = (np.sort(_list(told.filter(pa.array(kinds == k)), "a").view(U)) for k in (CONTEXT, MIXED))
+        names, block = Names(), table.column("block")[0].as_py()
+        rows, table = _copies(table)
+        kinds = told.column("kind").to_numpy() if told.num_rows else NONE
+        covered, mixed = (np.sort(_list(told.filter(pa.array(kinds == k)), "a").view(U)) if told.num_rows else np.zeros(0, dtype=U) for k in (CONTEXT, MIXED))
         all_contexts = [(_context(names, x), x.doc) for x in _sampled(table, names)]
         later = _later(*(np.concatenate(c) for c in zip(*all_contexts, strict=True))) if all_contexts else NONE
-        rows, found, at = [], [], 0
+        found, at = [], 0
         for x, (context, doc) in zip(_sampled(table, names), all_contexts, strict=True):
             settled = later[at:at + len(doc)]
             at += len(doc)
-            sure = _among(context, covered) & ~settled
+            sure = _among(context, covered) | settled
             rows += _covers(block, doc[sure], x.key[sure], (x.low + x.shift)[sure], (x.high + x.shift)[sure])
             open_ = np.zeros(len(doc), dtype=bool)
             for there, half in _halves(names, x):
-                open_ |= there & _among(half, mixed)
-            here = np.flatnonzero(open_ & ~sure & ~settled)
+                open_ |= there & _among(half & U((1 << 28) - 1), mixed)
+            here = np.flatnonzero(open_ & ~sure)
             if not len(here):
                 continue
             begin = x.place[here][:, None] - np.arange(WINDOW)
@@ -375,10 +400,15 @@ def _strings(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 
 def _settled(table: pa.Table) -> pa.Table:
-    a, doc = _list(table, "a"), _list(table, "b")
-    later = _later(a, doc)
-    begin = _list(table, "d")[later]
-    return _rows(_covers(-1, doc[later], _list(table, "c")[later], begin, begin + LENGTH))
+    """All spans, one to a row: those that come settled, and strings that a smaller document has."""
+    kinds = table.column("kind").to_numpy()
+    part = table.filter(pa.array(kinds == STRING))
+    a, doc, key, begin = (_list(part, c) for c in "abcd")
+    later = _later(a, doc) if len(a) else NONE.astype(bool)
+    new = _covers(-1, doc[later], key[later], begin[later], begin[later] + LENGTH)
+    come = table.filter(pa.array(kinds == COVER))
+    lists = [[_list(come, c)] + [x[3 + i] for x in new] for i, c in enumerate("abcd")]
+    return pa.Table.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in lists], names=["doc", "key", "start", "end"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,49 +417,48 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], ["doc", "key", "body"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is left of each text, and figures about it."""
-    for batch in batches:
-        rows = []
-        for doc, body, spans in zip(*batch.columns, strict=True):
-            text, gone, n_spans, at, kept = zlib.decompress(body.as_py()), 0, 0, 0, hashlib.sha256()
-            low = high = 0
-            for low, high in [*sorted((s["start"], s["end"]) for s in spans.as_py() or ()), (len(text), len(text))]:
-                if low > at or not n_spans or low == len(text):
-                    kept.update(text[at:low])
-                    if low < high:
-                        n_spans, gone = n_spans + 1, gone + high - low
-                    at = max(at, high)
-                elif high > at:
-                    gone, at = gone + high - at, high
-            rows.append((doc.as_py(), len(text), gone, n_spans, kept.hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def repeated_spans(packed: DataFrame, total_bytes: int) -> DataFrame:
-    """doc, key, start, end: byte spans to remove, which may overlap. ``packed`` has doc, key, body (zlib)."""
-    blocks = 1 + total_bytes // BLOCK_BYTES
-    by_block = packed.where(F.col("doc").isNotNull()).withColumn("block", F.pmod(F.xxhash64("doc", "key"), F.lit(blocks)).cast("bigint"))
-    sieve = "bucket bigint, block bigint, twice boolean, low array<int>"
-    names = by_block.groupBy("block").applyInArrow(_sieve(blocks), sieve)
-    told = names.groupBy("bucket").applyInArrow(_repeated, sieve)
-    regions = materialise(by_block.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_regions(blocks), REGION), "suffix-regions")
-    copies = regions.where("body IS NULL").select("doc", "key", F.lit(0).cast("bigint").alias("start"), F.col("start").alias("end"))
-    parts = regions.where("body IS NOT NULL")
-    contexts = materialise(parts.groupBy("block").applyInArrow(_contexts(blocks), MESSAGE), "suffix-contexts")
-    judged = contexts.where(F.col("kind").isin(CONTEXT, MIXED)).groupBy("to").applyInArrow(_judged, MESSAGE)
-    strings = materialise(parts.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(_strings(blocks), MESSAGE), "suffix-strings")
-    last = strings.where(F.col("kind") == STRING).groupBy("to").applyInArrow(_settled, MESSAGE)
-    covers = contexts.where(F.col("kind") == COVER).unionByName(strings.where(F.col("kind") == COVER)).unionByName(last)
-    each = covers.select(F.explode(F.arrays_zip("a", "b", "c", "d")).alias("x")).select(F.col("x.a").alias("doc"), F.col("x.b").alias("key"), F.col("x.c").alias("start"), F.col("x.d").alias("end"))
-    return each.unionByName(copies)
+CUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+
+
+def _cut(table: pa.Table, spans: pa.Table) -> pa.Table:
+    """What is left of each text of a block, and figures about it."""
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for doc, key, low, high in zip(*(spans.column(c).to_pylist() for c in ("doc", "key", "start", "end")), strict=True) if spans.num_rows else ():
+        found.setdefault((doc, key), []).append((low, high))
+    rows = []
+    for doc, key, body in zip(*(table.column(c).to_pylist() for c in ("doc", "key", "body")), strict=True) if table.num_rows else ():
+        text, runs, kept, at = zlib.decompress(body), [], hashlib.sha256(), 0
+        for low, high in sorted(found.get((doc, key), ())):
+            if runs and low <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], high)
+            else:
+                runs.append([low, high])
+        for low, high in runs:
+            kept.update(text[at:low])
+            at = high
+        kept.update(text[at:])
+        rows.append((doc, len(text), sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of what is left."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of what is left.
+
+    All steps are one job. Texts, packed, are shuffled to their blocks once, and so are
+    regions; later steps read the same shuffle files again.
+    """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.xxhash64(body).alias("key"), body.alias("body"))
-    total = source.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    blocks = 1 + (source.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // BLOCK_BYTES
+    block = F.pmod(F.xxhash64("doc", "key"), F.lit(blocks)).cast("bigint").alias("block")
     packed = source.mapInArrow(_packed, "doc bigint, key bigint, body binary")
-    spans = repeated_spans(packed, total).groupBy("doc", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return packed.join(spans, ["doc", "key"], "left").select("doc", "body", "spans").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    texts = packed.where(F.col("doc").isNotNull()).select("doc", "key", "body", block).groupBy("block")
+    told = texts.applyInArrow(_sieve(blocks), SIEVE).groupBy("bucket").applyInArrow(_repeated, SIEVE)
+    regions = texts.cogroup(told.groupBy("block")).applyInArrow(_regions(blocks), REGION).groupBy("block")
+    judged = regions.applyInArrow(_contexts(blocks), MESSAGE).groupBy("to").applyInArrow(_judged, MESSAGE)
+    strings = regions.cogroup(judged.groupBy("block")).applyInArrow(_strings(blocks), MESSAGE)
+    spans = strings.groupBy("to").applyInArrow(_settled, "doc bigint, key bigint, start bigint, end bigint").select("doc", "key", "start", "end", block)
+    cut = texts.cogroup(spans.groupBy("block")).applyInArrow(_cut, CUT)
+    without_id = packed.where(F.col("doc").isNull()).withColumn("row", F.spark_partition_id()).groupBy("row")
+    return cut.unionByName(without_id.applyInArrow(lambda t: _cut(t, t.slice(0, 0)), CUT))
