@@ -25,7 +25,7 @@ HEADLINE = [
     "b03_cosine_topk", "b03_cosine_topk_blocks", "b04_approximate_topk", "b05_context_assembly", "c01_sql_screen", "c02_guarded_sql",
     "c08_result_markdown", "c09_keyword_frequency", "d03_routes", "d07_answer_bank", "d11_redaction", "e01_refinement", "e02_run_log_replay",
     "e05_consolidation", "f03_trimmed_history", "f05_idle_sessions", "f09_event_lines", "f10_message_reduction", "g01_latency",
-    "h01_constraint_audit", "s02_windowed_metrics",
+    "h01_constraint_audit", "s02_windowed_metrics", "l01_question_to_answer", "s01_screen_stream", "s03_live_sessions", "s03_live_history", "s04_ingest_stream",
 ]
 
 
