@@ -25,7 +25,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = fresh_path(spark, "warc")
-    warc.write_archives(warc.resolve(warc.payloads(pages)), path, warc.files_for(pages))
+    warc.write_archives(warc.resolve(warc.payloads(pages)), path, warc.records_per_file(pages))
     return warc.with_originals(warc.read_archives(spark, path))
 
 

@@ -2,8 +2,8 @@
 
 Archives are gzip files that Spark's own text writer and reader move, so they can lie in
 any store that Spark reaches; a record ends with the blank lines that the format asks
-for, which are the writer's line separator. Pages are dealt over files by a hash, so
-each file, and with it what a reading task holds, stays near a chosen size.
+for, which are the writer's line separator. Files end after a number of records that
+keeps each, and with it what a reading task holds, near a chosen size.
 
 For resolution only headers are shuffled: payload digest, length and page. Each payload's
 record with the smallest page id becomes the response, the others revisit records with
@@ -81,17 +81,17 @@ def _record(row_of: dict[str, Column]) -> Column:
     return F.concat(F.concat_ws("\r\n", *lines).cast("binary"), F.lit("\r\n\r\n").cast("binary"), block).cast("string")
 
 
-def write_archives(resolved: DataFrame, path: str, files: int) -> None:
-    """Deduplicated archives in ``path``; records are dealt over ``files`` by page and payload."""
+def write_archives(resolved: DataFrame, path: str, records_per_file: int) -> None:
+    """Deduplicated archives in ``path``, written where the join with the headers has left the records."""
     columns = {c: F.col(c) for c in ("page_id", "url", "payload", "digest", "refers_to")}
-    dealt = resolved.repartition(files, F.xxhash64("page_id", "digest"))
-    dealt.select(_record(columns).alias("value")).write.option("compression", "gzip").option("lineSep", RECORD_END).text(path)
+    writer = resolved.select(_record(columns).alias("value")).write.option("compression", "gzip").option("lineSep", RECORD_END)
+    writer.option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def files_for(pages: DataFrame, html: str = "html") -> int:
-    """How many files keep each near the chosen size."""
-    size = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
-    return 1 + size // FILE_BYTES
+def records_per_file(pages: DataFrame, html: str = "html") -> int:
+    """How many records keep a file near the chosen size, by the pages' mean length."""
+    row = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(html)).alias("size")).first()
+    return max(1, row["n"] * FILE_BYTES // max(row["size"] or 0, row["n"] * 256, 1))
 
 
 HEADER = re.compile(rb"([A-Za-z-]+): ?(.*)")

@@ -110,7 +110,7 @@ PAGES = [(10**6, "u", "a\r\n\r\nWARC/1.1\r\nb"), (10**6 + 1, "u\n2", None), (10*
 def test_archives(spark, data, least):
     pages = spark.read.parquet(f"{data}/pages.parquet").unionByName(spark.createDataFrame(PAGES, "page_id bigint, url string, html string"))
     path = fresh_path(spark, "warc")
-    warc.write_archives(warc.resolve(warc.payloads(pages), least), path, 3)
+    warc.write_archives(warc.resolve(warc.payloads(pages), least), path, 30)
     got = warc.with_originals(warc.read_archives(spark, path))
     rows = [(r["page_id"], (r["html"] or "").encode()) for r in pages.collect()]
     first, want = {}, Counter()
@@ -129,5 +129,5 @@ def test_archives(spark, data, least):
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     path = fresh_path(spark, "warc")
-    warc.write_archives(warc.resolve(warc.payloads(none)), path, warc.files_for(none))
+    warc.write_archives(warc.resolve(warc.payloads(none)), path, warc.records_per_file(none))
     assert warc.with_originals(warc.read_archives(spark, path)).count() == 0
