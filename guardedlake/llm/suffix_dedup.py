@@ -56,7 +56,7 @@ REGION_BYTES = PIECE // 4
 
 MESSAGE = "to bigint, kind int, block bigint, a array<bigint>, b array<bigint>, c array<bigint>, d array<bigint>"
 SIEVE = "bucket bigint, block bigint, twice boolean, low array<int>"
-REGION = "block bigint, doc bigint, key bigint, start bigint, body binary, at array<int>"
+REGION = "block bigint, doc bigint, no bigint, start bigint, body binary, at array<int>"
 CONTEXT, MIXED, STRING, COVER = range(4)
 NONE = np.zeros(0, dtype=np.int64)
 
@@ -167,15 +167,21 @@ def _per_entry(table: pa.Table, name: str, of: str) -> np.ndarray:
     return np.repeat(table.column(name).to_numpy(), sizes)
 
 
+def _numbers(table: pa.Table) -> np.ndarray:
+    """The place of each document among those of its block, by id and key: what messages name it by."""
+    pairs = np.stack([table.column(c).to_numpy() for c in ("doc", "key")], axis=1)
+    return np.unique(pairs, axis=0, return_inverse=True)[1].reshape(-1)
+
+
 def _leaders(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, bool]]:
-    """The documents of a block by id; what repeats an earlier text of the block says so."""
-    ids = table.column("doc").to_numpy()
+    """The documents of a block by id, with their numbers; what repeats an earlier text of the block says so."""
+    ids, numbers = table.column("doc").to_numpy(), _numbers(table)
     seen: dict[bytes, int] = {}
     for i in np.argsort(ids, kind="stable"):
         text = zlib.decompress(table.column("body")[int(i)].as_py())
         mark = hashlib.blake2b(text, digest_size=16).digest()
         first = seen.setdefault(mark, int(ids[i]))
-        yield int(ids[i]), table.column("key")[int(i)].as_py(), np.frombuffer(text, dtype=np.uint8), bool(mark in seen and first != int(ids[i]))
+        yield int(ids[i]), int(numbers[i]), np.frombuffer(text, dtype=np.uint8), bool(mark in seen and first != int(ids[i]))
 
 
 def _codes(names: np.ndarray, buckets: int) -> np.ndarray:
@@ -222,10 +228,10 @@ def _regions(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         names, rows = Names(), []
         known = np.sort(_per_entry(told, "bucket", "low") << 32 | _list(told, "low").view(np.uint32).astype(np.int64)) if told.num_rows else NONE
         block = table.column("block")[0].as_py() if table.num_rows else None
-        for doc, key, text, copy in _leaders(table) if table.num_rows else ():
+        for doc, no, text, copy in _leaders(table) if table.num_rows else ():
             if copy:
                 if len(text) >= LENGTH:
-                    rows.append((block, doc, key, len(text), None, []))
+                    rows.append((block, doc, no, len(text), None, []))
                 continue
             at, name = names.sampled(text)
             code = _codes(name, buckets)
@@ -237,10 +243,10 @@ def _regions(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             cuts = np.flatnonzero((low[1:] > high[:-1]) | (at[1:] // REGION_BYTES != at[:-1] // REGION_BYTES)) + 1
             for part in np.split(np.arange(len(at)), cuts):
                 a, b = int(low[part[0]]), int(high[part[-1]])
-                rows.append((block, doc, key, a, text[a:b].tobytes(), (at[part] - a).astype(np.int32)))
+                rows.append((block, doc, no, a, text[a:b].tobytes(), (at[part] - a).astype(np.int32)))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
         columns = list(zip(*rows, strict=True)) or [[]] * 6
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "doc", "key", "start", "body", "at"])
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "doc", "no", "start", "body", "at"])
 
     return run
 
@@ -249,7 +255,7 @@ def _copies(table: pa.Table) -> tuple[list[tuple], pa.Table]:
     """Covers of the documents that are copies as a whole, and the regions without them."""
     copy = table.column("body").is_null()
     whole = table.filter(copy)
-    rows = [(b, COVER, b, np.array([d]), np.array([k]), np.array([0]), np.array([n])) for b, d, k, n in zip(*(whole.column(c).to_pylist() for c in ("block", "doc", "key", "start")), strict=True)]
+    rows = [(b, COVER, b, np.array([d]), np.array([k]), np.array([0]), np.array([n])) for b, d, k, n in zip(*(whole.column(c).to_pylist() for c in ("block", "doc", "no", "start")), strict=True)]
     return rows, table.filter(pc.invert(copy))
 
 
@@ -258,7 +264,7 @@ class Sampled(NamedTuple):
 
     sums: np.ndarray
     doc: np.ndarray
-    key: np.ndarray
+    no: np.ndarray
     shift: np.ndarray  # from the laid text to the document
     place: np.ndarray
     low: np.ndarray  # of the context, and of its region
@@ -270,7 +276,7 @@ class Sampled(NamedTuple):
 def _sampled(table: pa.Table, names: Names) -> Iterator[Sampled]:
     """The regions of a block, some hundred kilobytes at a time."""
     sizes = pc.binary_length(table.column("body")).to_numpy().astype(np.int64)
-    doc, key, start = (table.column(c).to_numpy() for c in ("doc", "key", "start"))
+    doc, no, start = (table.column(c).to_numpy() for c in ("doc", "no", "start"))
     group = np.cumsum(sizes) // (PIECE - 2 * REGION_BYTES)
     for part in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(group)) + 1) if len(sizes) else ():
         rows = table.slice(int(part[0]), len(part))
@@ -282,7 +288,7 @@ def _sampled(table: pa.Table, names: Names) -> Iterator[Sampled]:
         owner = np.repeat(np.arange(len(part)), at.value_lengths().to_numpy(zero_copy_only=False))
         place = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + begins[owner]
         first, last = begins[owner], ends[owner]
-        yield Sampled(names.sums(data), doc[part][owner], key[part][owner], (start[part] - begins)[owner], place, np.maximum(place - BEFORE, first), np.minimum(place + LENGTH, last), first, last)
+        yield Sampled(names.sums(data), doc[part][owner], no[part][owner], (start[part] - begins)[owner], place, np.maximum(place - BEFORE, first), np.minimum(place + LENGTH, last), first, last)
 
 
 def _context(names: Names, x: Sampled) -> np.ndarray:
@@ -376,7 +382,7 @@ def _strings(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             settled = later[at:at + len(doc)]
             at += len(doc)
             sure = _among(context, covered) | settled
-            rows += _covers(block, doc[sure], x.key[sure], (x.low + x.shift)[sure], (x.high + x.shift)[sure])
+            rows += _covers(block, doc[sure], x.no[sure], (x.low + x.shift)[sure], (x.high + x.shift)[sure])
             open_ = np.zeros(len(doc), dtype=bool)
             for there, half in _halves(names, x):
                 open_ |= there & _among(half & U((1 << 28) - 1), mixed)
@@ -388,12 +394,12 @@ def _strings(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             owner = np.broadcast_to(here[:, None], begin.shape)[good]
             begin, keep = np.unique(begin[good], return_index=True)
             owner = owner[keep]
-            found.append((names.of(x.sums, begin, begin + LENGTH), doc[owner], x.key[owner], begin + x.shift[owner]))
+            found.append((names.of(x.sums, begin, begin + LENGTH), doc[owner], x.no[owner], begin + x.shift[owner]))
         if found:
-            text, doc, key, begin = (np.concatenate(c) for c in zip(*found, strict=True))
+            text, doc, no, begin = (np.concatenate(c) for c in zip(*found, strict=True))
             gone = _later(text, doc)
-            rows += _covers(block, doc[gone], key[gone], begin[gone], begin[gone] + LENGTH)
-            rows += _dealt(STRING, block, buckets, text[~gone], doc[~gone], key[~gone], begin[~gone])
+            rows += _covers(block, doc[gone], no[gone], begin[gone], begin[gone] + LENGTH)
+            rows += _dealt(STRING, block, buckets, text[~gone], doc[~gone], no[~gone], begin[~gone])
         return _rows(rows)
 
     return run
@@ -402,13 +408,19 @@ def _strings(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 def _settled(table: pa.Table) -> pa.Table:
     """All spans, one to a row: those that come settled, and strings that a smaller document has."""
     kinds = table.column("kind").to_numpy()
-    part = table.filter(pa.array(kinds == STRING))
-    a, doc, key, begin = (_list(part, c) for c in "abcd")
-    later = _later(a, doc) if len(a) else NONE.astype(bool)
-    new = _covers(-1, doc[later], key[later], begin[later], begin[later] + LENGTH)
-    come = table.filter(pa.array(kinds == COVER))
-    lists = [[_list(come, c)] + [x[3 + i] for x in new] for i, c in enumerate("abcd")]
-    return pa.Table.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in lists], names=["doc", "key", "start", "end"])
+    part, come = (table.filter(pa.array(kinds == k)) for k in (STRING, COVER))
+    a, doc, no, begin = (_list(part, c) for c in "abcd")
+    rows = [np.stack([_per_entry(come, "block", "a") if come.num_rows else NONE, *(_list(come, c) for c in "bcd")])]
+    if len(a):
+        later = _later(a, doc)
+        block, no, begin = _per_entry(part, "block", "a")[later], no[later], begin[later]
+        order = np.lexsort((begin, no, block))
+        block, no, begin = block[order], no[order], begin[order]
+        fresh = np.concatenate(([True], (block[1:] != block[:-1]) | (no[1:] != no[:-1]) | (begin[1:] > begin[:-1] + LENGTH))) if len(block) else NONE.astype(bool)
+        first = np.flatnonzero(fresh)
+        last = np.concatenate((first[1:], [len(block)])) - 1 if len(first) else NONE
+        rows.append(np.stack([block[first], no[first], begin[first], begin[last] + LENGTH]))
+    return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in np.concatenate(rows, axis=1)], names=["block", "no", "start", "end"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,13 +434,14 @@ CUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha
 
 def _cut(table: pa.Table, spans: pa.Table) -> pa.Table:
     """What is left of each text of a block, and figures about it."""
-    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for doc, key, low, high in zip(*(spans.column(c).to_pylist() for c in ("doc", "key", "start", "end")), strict=True) if spans.num_rows else ():
-        found.setdefault((doc, key), []).append((low, high))
+    found: dict[int, list[tuple[int, int]]] = {}
+    for no, low, high in zip(*(spans.column(c).to_pylist() for c in ("no", "start", "end")), strict=True) if spans.num_rows else ():
+        found.setdefault(no, []).append((low, high))
     rows = []
-    for doc, key, body in zip(*(table.column(c).to_pylist() for c in ("doc", "key", "body")), strict=True) if table.num_rows else ():
+    numbers = _numbers(table).tolist() if found else [-1] * table.num_rows
+    for doc, body, no in zip(*(table.column(c).to_pylist() for c in ("doc", "body")), numbers, strict=True) if table.num_rows else ():
         text, runs, kept, at = zlib.decompress(body), [], hashlib.sha256(), 0
-        for low, high in sorted(found.get((doc, key), ())):
+        for low, high in sorted(found.get(no, ())):
             if runs and low <= runs[-1][1]:
                 runs[-1][1] = max(runs[-1][1], high)
             else:
@@ -458,7 +471,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     regions = texts.cogroup(told.groupBy("block")).applyInArrow(_regions(blocks), REGION).groupBy("block")
     judged = regions.applyInArrow(_contexts(blocks), MESSAGE).groupBy("to").applyInArrow(_judged, MESSAGE)
     strings = regions.cogroup(judged.groupBy("block")).applyInArrow(_strings(blocks), MESSAGE)
-    spans = strings.groupBy("to").applyInArrow(_settled, "doc bigint, key bigint, start bigint, end bigint").select("doc", "key", "start", "end", block)
+    spans = strings.groupBy("to").applyInArrow(_settled, "block bigint, no bigint, start bigint, end bigint")
     cut = texts.cogroup(spans.groupBy("block")).applyInArrow(_cut, CUT)
     without_id = packed.where(F.col("doc").isNull()).withColumn("row", F.spark_partition_id()).groupBy("row")
     return cut.unionByName(without_id.applyInArrow(lambda t: _cut(t, t.slice(0, 0)), CUT))
