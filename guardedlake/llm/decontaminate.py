@@ -1,14 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are cut into sections of a bounded number of words. A section's seeds are
-the rarest half of its 3-grams, by the number of documents in the whole corpus that
-hold them (ties stay in). A passage is what a document holds within reach of its seeds;
-seeds join passages to sections, and those with enough seeds in common are aligned word
-by word, so that edited and shortened copies score too. An item's score in a document
-is the best local alignment of each section, over that of the item with itself.
-
-To find seeds, tasks hold a bit table of fixed size; what it lets through by chance is
-removed by the join on the seed itself. A seed of a passage that very many documents
+all of its 3-grams. The rare ones alone would not do: which grams an edit leaves in a
+copy has nothing to do with how rare they are, and one copy's grams are made rare or
+common by what other documents hold. A passage is what a document holds within reach of
+its seeds; seeds join passages to sections, and those with enough seeds in common (two,
+or one where a section has no more) are aligned word by word, so that edited and
+shortened copies score too. An item's score in a document is the best local alignment
+of each section, over that of the item with itself.
+
+To find seeds, tasks hold bit tables of fixed size; what they let through by chance is
+removed by the join on the seed itself. A passage with a single seed, as very common
+grams make them, is not moved unless some section has no more than that. A seed of a
+passage that very many documents
 share makes many rows of one key on one side only, which Spark splits or avoids by
 sending the measured small side. Texts are not shuffled, only passages around seeds.
 
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guardedlake.llm.texts import carried, unpacked
@@ -79,36 +83,25 @@ def _held(found: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (table[(slot >> U(6)).astype(np.int64)] >> (slot & U(63)) & U(1)).astype(bool)
 
 
-def _frequencies(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """gram, n: documents that hold it; summed in each batch before the shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def _passages(docs: DataFrame, table: np.ndarray, alone: np.ndarray) -> DataFrame:
+    """The words within reach of seeds: _id, _hash, first (place of the first word), words, hits (place and gram).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(plain=True)
-        for batch in batches:
-            seen = [np.zeros(0, dtype=U)]
-            for text in texts_of(batch.column(0)):
-                all_grams = grams(hasher.words(text)[2], GRAM)
-                seen.append(np.unique(all_grams[_held(all_grams, shared.value)]))
-            found, n = np.unique(np.concatenate(seen), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["gram", "n"])
-
-    return docs.select("_text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _passages(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """The words within reach of seeds: _id, _hash, first (place of the first word), words, hits (place and gram)."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    ``alone``: the table of grams that are enough by themselves; others have to be several in a passage.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((table, alone))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(plain=True)
+        table, alone = shared.value
         for batch in batches:
             rows = []
             for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
                 words = hasher.words(text)[2]
                 found = grams(words, GRAM)
-                at = np.flatnonzero(_held(found, shared.value))
+                at = np.flatnonzero(_held(found, table))
                 for group in np.split(at, np.flatnonzero(np.diff(at) > REACH) + 1) if len(at) else ():
+                    if len(np.unique(found[group])) < MIN_SEEDS and not _held(found[group], alone).any():
+                        continue
                     first, last = max(0, int(group[0]) - REACH), int(group[-1]) + GRAM + REACH
                     rows.append((doc, key, first, words[first:last].view(np.int64).tolist(), [{"at": int(a), "gram": int(g)} for a, g in zip(group, found[group].view(np.int64), strict=True)]))
             if rows:
@@ -156,19 +149,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     source = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_hash"), F.col(text).cast("string").alias("_text"))
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("copy"), F.col("text").cast("string")).distinct()
     sections = materialise(items.mapInArrow(_sections, SECTIONS), "leak-sections")
-    all_grams = materialise(sections.mapInArrow(_gram_rows, "item_id bigint, copy bigint, section int, place bigint, gram bigint"), "leak-grams")
-    counts = _frequencies(source, _table(all_grams.select("gram").distinct()))
-    of_section = Window.partitionBy("item_id", "copy", "section")
-    ranked = all_grams.join(counts, "gram", "left").withColumns({"rank": F.rank().over(of_section.orderBy(F.coalesce("n", F.lit(0)))), "all": F.count("*").over(of_section)})
-    seeds = materialise(ranked.where(2 * (F.col("rank") - 1) < F.col("all")).select("item_id", "copy", "section", "place", "gram"), "leak-seeds")
-    passages = materialise(_passages(source, _table(seeds.select("gram").distinct())), "leak-passages")
+    seeds = materialise(sections.mapInArrow(_gram_rows, "item_id bigint, copy bigint, section int, place bigint, gram bigint"), "leak-seeds")
+    seed_counts = seeds.groupBy("item_id", "copy", "section").agg(F.count("*").alias("n_seeds"))
+    alone = seeds.join(seed_counts.where(F.col("n_seeds") < MIN_SEEDS), ["item_id", "copy", "section"], "left_semi")
+    passages = materialise(_passages(source, _table(seeds.select("gram").distinct()), _table(alone.select("gram").distinct())), "leak-passages")
     hits = passages.select("_id", "_hash", "first", F.explode("hits").alias("h")).select("_id", "_hash", "first", "h.at", "h.gram")
     joined = hits.join(seeds, "gram").withColumn("start", F.col("at") - F.col("place"))
     key = ["_id", "_hash", "first", "item_id", "copy", "section"]
     # Hits of one copy start near the same place; a bin and its next are taken together, so no copy is split.
     binned = joined.withColumn("bin", F.explode(F.array(F.floor(F.col("start") / SECTION), F.floor(F.col("start") / SECTION) - 1)))
     found = binned.groupBy(*key, "bin").agg(F.countDistinct("gram").alias("seeds"), F.min("start").alias("low"), F.max("start").alias("high"))
-    seed_counts = seeds.groupBy("item_id", "copy", "section").agg(F.count("*").alias("n_seeds"))
     found = found.join(seed_counts, ["item_id", "copy", "section"]).where(F.col("seeds") >= F.least(F.lit(MIN_SEEDS), F.col("n_seeds")))
     with_item = found.join(sections.withColumnRenamed("words", "item_words"), ["item_id", "copy", "section"])
     n = F.size("item_words")

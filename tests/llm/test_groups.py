@@ -152,6 +152,22 @@ def test_contamination(spark, docs, data):
     assert got == want and (10**6, pick) in got and (None, pick) in got and (10**6 + 1, pick) not in got
 
 
+@pytest.mark.parametrize("step", [4, 5])
+@pytest.mark.parametrize("copies", [0, 1, 5])
+def test_edited_copies_are_found_whatever_else_is_held(spark, step, copies):
+    """Most grams of the copy are gone; exact copies elsewhere make those that are left the more common ones."""
+    item = [f"w{k}" for k in range(30)]
+    edited = [f"x{k}" if k % step == step - 1 else w for k, w in enumerate(item)]
+    texts = {1: edited, 2: ["before", *edited, "after"], 3: item[:3] + ["other"] * 9, 4: ["a", "b", "c"], 5: "k a b c k".split()}
+    texts |= {10 + c: ["so", *edited[:26], *item] for c in range(copies)} | {20 + c: item for c in range(copies)}
+    items = {1: item, 2: ["a", "b", "c"]}
+    df = spark.createDataFrame([(i, " ".join(ws)) for i, ws in texts.items()], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()], "item_id bigint, text string")
+    got = {(r["_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(df, benchmark).collect()}
+    want = {(d, i): round(s, 6) for d, ws in texts.items() for i, it in items.items() if (s := aligned(it, ws) / (2 * len(it))) >= decontaminate.LEAKED}
+    assert got == want and {(1, 1), (2, 1), (4, 2), (5, 2)} <= set(got)
+
+
 def test_clean_keeps_columns(spark, odd, data):
     benchmark = spark.read.parquet(f"{data}/benchmark.parquet")
     out = decontaminate.clean(odd, benchmark)
