@@ -45,8 +45,9 @@ class Rule(NamedTuple):
 
 
 # The base rules, then formats that their issuers publish.
+ASSIGNED = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 BASE = [
-    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", check=r"[A-Za-z0-9+/_.=-]{12,}$"),
+    Rule("assign", ASSIGNED + "[A-Za-z0-9+/_.=-]+", check=f"^{ASSIGNED}[A-Za-z0-9+/_.=-]{{12,}}$"),
     Rule("access", r"AKIA[A-Z0-9]+", least=18),
     Rule("hex", r"[0-9a-f]{16,}"),
 ]

@@ -88,6 +88,16 @@ def test_secrets(request, table):
     assert table != "docs" or "Exchange" not in plan(got)
 
 
+def test_the_value_alone_has_to_be_long(spark):
+    values = ["abc", "short", "abcd1", "a" * 11, "a" * 12, "=" * 11, "=" * 12, "token=abcdef", "secret=abcde"]
+    texts = [f"x {k}{s}{v}" for k in ("password", "SECRET", "api_key", "apikey", "token") for s in ("=", ":", " = ", "='", '": "') for v in values]
+    df = spark.createDataFrame(list(enumerate([*texts, " ".join(texts), "token=abc\npassword=abcdefghijkl\n"])), "doc_id bigint, text string")
+    got = secret_scan.scan_digest(df).collect()
+    pairs(df, lambda t: digest(secrets(t)), [(r["doc_id"], r["base_sha256"]) for r in got])
+    pairs(df, lambda t: sum(x.startswith("assign") for x in secrets(t)), [(r["doc_id"], r["n_assign"]) for r in got])
+    assert got[0]["spans"] == "" and got[4]["spans"] == "assign:2:23"
+
+
 def test_known_formats(spark):
     texts = ["x ghp_" + "a1B2" * 10, "-----BEGIN RSA PRIVATE KEY-----", "see https://user:pass@host/", "AIza" + "x" * 35, "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9, "nothing"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
