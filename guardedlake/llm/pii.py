@@ -5,8 +5,11 @@ The base kinds are regular expressions with a check of each match. From what the
 instance, the words around it are lexical patterns, and both are nodes of a graph. By
 turns a pattern is scored by the share of its instances that count as one kind of
 personal data, and an instance by the best pattern it stands in. Patterns of high
-confidence thus give away identifiers whose form no base pattern knows. Scores are whole
-numbers of millionths, so the order in which a shuffle delivers rows changes nothing.
+confidence thus give away identifiers whose form no base pattern knows, and those count
+for further patterns, by their scores, until no score changes any more. Scores only
+rise from round to round and are whole numbers of millionths, so this comes to an end,
+and the order in which a shuffle delivers rows changes nothing. An instance that is not
+known yet counts against its patterns.
 
 Defined results: a null text counts as empty and holds nothing; equal rows give equal
 results; texts of any length are searched whole. One row comes out for each row that
@@ -69,7 +72,6 @@ KINDS = [
 INSTANCE = r"(?:\G|(?<![^\x20\x09-\x0D@]))[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D@]++|[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"
 AROUND = 64
 
-ROUNDS = 3
 MIN_SUPPORT = 3
 CONFIDENT = 600_000
 SURE = 1_000_000
@@ -111,8 +113,9 @@ def _patterns() -> Column:
 
 
 def _scored(edges: DataFrame) -> DataFrame:
-    """The confidence of each pattern for each kind; a pattern needs some seeds of its own."""
-    share = [F.expr(f"CASE WHEN sum(seed) >= {MIN_SUPPORT} THEN sum({s}) DIV (count(*) + 1) ELSE 0 END").alias(s) for s in SCORES]
+    """The confidence of each pattern for each kind; a pattern needs some instances that are seeds or were accepted."""
+    support = f"count_if(greatest({', '.join(SCORES)}) > 0)"
+    share = [F.expr(f"CASE WHEN {support} >= {MIN_SUPPORT} THEN sum({s}) DIV (count(*) + 1) ELSE 0 END").alias(s) for s in SCORES]
     return edges.groupBy("pattern").agg(*share)
 
 
@@ -123,11 +126,14 @@ def discovered(found: DataFrame) -> DataFrame:
     start = [F.max(F.when(F.col("kind") == i, SURE).otherwise(0)).cast("bigint").alias(s) for i, s in enumerate(SCORES)]
     edges = seen.select(F.explode("patterns").alias("pattern"), "instance", "kind").groupBy("pattern", "instance").agg(*start, F.max(F.when(F.col("kind").isNotNull(), 1).otherwise(0)).alias("seed"))
     edges = materialise(edges, "pii-edges")
-    for _ in range(ROUNDS):
+    total = F.sum(sum(F.col(s) for s in SCORES))
+    before, now = None, edges.select(total).first()[0]
+    while now != before:
         marked = edges.select("pattern", "instance").join(_scored(edges), "pattern").groupBy("instance").agg(*[F.max(s).alias(f"new_{s}") for s in SCORES])
         marked = materialise(marked, "pii-scores")
         taken = [F.when(F.col("seed") == 1, F.col(s)).otherwise(F.when(F.col(f"new_{s}") >= CONFIDENT, F.col(f"new_{s}")).otherwise(0)).cast("bigint").alias(s) for s in SCORES]
         edges = materialise(edges.join(marked, "instance").select("pattern", "instance", *taken, "seed"), "pii-edges")
+        before, now = now, edges.select(total).first()[0]
     best = F.greatest(*SCORES)
     names = F.coalesce(*[F.when(F.col(s) == best, i) for i, s in enumerate(SCORES)])
     accepted = edges.where((F.col("seed") == 0) & (best >= CONFIDENT)).select("instance", names.alias("kind")).groupBy("instance").agg(F.min("kind").alias("kind"))

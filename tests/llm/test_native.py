@@ -141,6 +141,19 @@ def test_contexts_give_unknown_identifiers_away(spark):
     assert redacted[100] == "Call me at [PHONE] now. e0" and redacted[200] == plain[0][1]
 
 
+def test_found_identifiers_give_further_ones_away(spark):
+    """Each context holds those of the contexts before it and ten of its own; only the first holds any that a base pattern knows."""
+    contexts = ["Call me at {} now.", "Dial up number {} today.", "Ask for line {} please.", "Ring on extension {} tonight.", "Phone the desk {} first.", "Reach us under {} soon."]
+    rows = [contexts[0].format(f"+1 555 020{i:04}") for i in range(60)]
+    ids = [[f"(555) 01{k}-{i:04}" for i in range(10 if k else 30)] for k in range(len(contexts))]
+    rows += [context.format(x) for k, context in enumerate(contexts) for own in ids[:k + 1] for x in own]
+    rows += [f"The sum of 1234567{i} was paid." for i in range(12)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(df).collect()}
+    for i, text in enumerate(rows):
+        assert got[i].startswith("phone:") != text.startswith("The sum"), text
+
+
 def test_redaction_keeps_columns(odd):
     out = pii.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
