@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardedlake.llm import bpe, chat, decontaminate, language, pii, quality_rules, secret_scan, suffix_dedup, superminhash, warc
+from guardedlake.llm import bpe, chat, collocations, decontaminate, exact_dedup, language, pii, quality_rules, secret_scan, spelling, suffix_dedup, superminhash, warc
 from guardedlake.llm.texts import documents
 from guardedlake.session import fresh_path
 
@@ -64,4 +64,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_chat, op4_suffix_dedup, op5_pii, op6_bpe, op7_secret_scan, op8_superminhash, op9_quality_rules, op10_language)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_chat, op4_suffix_dedup, op5_pii, op6_bpe, op7_secret_scan, op8_superminhash, op9_quality_rules, op10_language,
+                                   op11_collocations, op12_exact_dedup, op13_spelling)}

@@ -31,7 +31,7 @@ def test_registration():
     import __spark_entry__ as e
 
     assert set(QUERIES) | {"pipeline"} <= set(e.queries()) and set(SQL) <= set(e.oracle_sql())
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, docs, data):
