@@ -10,8 +10,8 @@ a fixed bound; what it lets through by chance is counted, but never kept.
 
 Fingerprints only select. In the last pass each task points from every selected n-gram
 to its first occurrence, compares the words at both places byte by byte, splits off what
-differs, and materialises a phrase once for all its occurrences. The shuffle adds up
-(lang, phrase) with the smallest pointer (document, byte), so counts are those of texts
+differs, and materialises a phrase once for all its occurrences in a block. The shuffle adds up
+(lang, phrase) with a pointer (document, byte) to an occurrence in the first document, so counts are those of texts
 and no collision can change them; only phrases that pass the limit are left.
 
 Scores are decimals of 38 digits. The ranking of a language is cut in as many parts as
@@ -48,9 +48,8 @@ SCALE = 2_000_000
 TOP = 2_000
 UNKNOWN = "und"
 
-BLOCK = 1 << 21
+BLOCK, VERIFIED = 1 << 21, 1 << 23
 HELD = 1 << 21
-PHRASES = 100_000
 BITS_EACH = 32
 LEAST_BITS, MOST_BITS = 16, 28
 PARTS = 64
@@ -106,8 +105,8 @@ class Reader:
         self.words.blank = self.separator.copy()
         self.words.blank[list(BLANKS)] = True
 
-    def blocks(self, column: pa.Array) -> Iterator[Block]:
-        """Texts of some megabytes together; a longer one is cut at separators."""
+    def blocks(self, column: pa.Array, most: int) -> Iterator[Block]:
+        """Texts of ``most`` bytes together; a longer one is cut at separators."""
         texts = pc.fill_null(column.cast(pa.large_binary()), b"")
         ended = pc.binary_join_element_wise(texts, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
         ends = np.concatenate(([0], np.cumsum(pc.binary_length(ended).to_numpy(zero_copy_only=False).astype(np.int64))))
@@ -115,27 +114,27 @@ class Reader:
         data = np.frombuffer(body, dtype=np.uint8, count=int(ends[-1])) if ends[-1] else np.zeros(0, dtype=np.uint8)
         first = 0
         while first < len(ended):
-            last = max(first + 1, int(np.searchsorted(ends, ends[first] + BLOCK, "right")) - 1)
-            if last > first + 1 or ends[last] - ends[first] <= BLOCK:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+            if last > first + 1 or ends[last] - ends[first] <= most:
                 yield Block(self.fold[data[ends[first]:ends[last]]], ends[first + 1:last + 1] - ends[first], np.arange(first, last), 0)
             else:
                 at, stop = int(ends[first]), int(ends[last])
                 while at < stop:
-                    end = self._cut(data, at, stop)
+                    end = self._cut(data, at, stop, most)
                     yield Block(self.fold[data[at:end]], np.array([end - at]), np.array([first]), at - int(ends[first]))
                     at = end
             first = last
 
-    def _cut(self, data: np.ndarray, at: int, stop: int) -> int:
-        if at + BLOCK >= stop:
+    def _cut(self, data: np.ndarray, at: int, stop: int, most: int) -> int:
+        if at + most >= stop:
             return stop
-        cuts = np.flatnonzero(self.separator[data[at:at + BLOCK]])
+        cuts = np.flatnonzero(self.separator[data[at:at + most]])
         if len(cuts):
             return at + int(cuts[-1]) + 1
-        end = at + BLOCK
+        end = at + most
         while not len(cuts):
-            cuts = np.flatnonzero(self.separator[data[end:end + BLOCK]])
-            end += int(cuts[0]) + 1 if len(cuts) else BLOCK
+            cuts = np.flatnonzero(self.separator[data[end:end + most]])
+            end += int(cuts[0]) + 1 if len(cuts) else most
         return end
 
     def grams(self, block: Block, langs: np.ndarray, tables: list[np.ndarray], longest: int, joint: int) -> Grams:
@@ -186,7 +185,7 @@ def _counted(lengths: tuple[int, ...], tables: list[np.ndarray]) -> Callable[[It
             langs = pc.fill_null(batch.column(1), UNKNOWN).to_pylist()
             seeds = _lang_seeds(langs)
             names = np.array(langs, dtype=object)
-            for block in reader.blocks(batch.column(2)):
+            for block in reader.blocks(batch.column(2), BLOCK):
                 grams = reader.grams(block, seeds, tables, max(lengths), len(tables))
                 of_text = names[block.rows]
                 for n in lengths:
@@ -246,24 +245,30 @@ def _same_words(grams: Grams, data: np.ndarray) -> np.ndarray:
     return code
 
 
-def _phrases(tables: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The selected n-grams as text, with their numbers in the task and a pointer to the first of them."""
-    types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+def _texts(grams: Grams, data: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
+    """The phrases of ``n`` words that start at the words ``at``, one blank between words."""
+    words = (at[:, None] + np.arange(n)).reshape(-1)
+    last = np.arange(len(words)) % n == n - 1
+    sizes = grams.ends[words] - grams.starts[words] + ~last
+    ends = np.cumsum(sizes)
+    body = data[np.arange(sizes.sum()) + np.repeat(grams.starts[words] - ends + sizes, sizes)]
+    body[ends[~last] - 1] = 0x20
+    offsets = np.concatenate(([0], ends[last])).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
 
-    def rows(total: dict) -> pa.RecordBatch:
-        flat = [(lang, phrase.decode("utf-8", "replace"), n, count, *at) for (lang, phrase, n), (count, at) in total.items()]
-        columns = zip(*flat, strict=True) if flat else [[]] * len(types)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lang", "phrase", "words", "n", "first_doc", "first_byte"])
 
+def _phrases(tables: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The selected n-grams as text, with their numbers in a block and a pointer to the first of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, total = Reader(), {}
+        reader = Reader()
         for batch in batches:
-            docs, langs = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), UNKNOWN).to_pylist()
-            seeds = _lang_seeds(langs)
-            _, lang_of = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True)
-            for block in reader.blocks(batch.column(2)):
+            langs = pc.fill_null(batch.column(1), UNKNOWN)
+            seeds = _lang_seeds(langs.to_pylist())
+            lang_of = pc.dictionary_encode(langs).indices.to_numpy()
+            for block in reader.blocks(batch.column(2), VERIFIED):
                 grams = reader.grams(block, seeds, tables, LONGEST, LONGEST)
                 codes = _same_words(grams, block.data)
+                begins = block.base - np.concatenate(([0], block.ends[:-1]))
                 for n, (at, prints) in enumerate(grams.found, 1):
                     if not len(at):
                         continue
@@ -272,19 +277,12 @@ def _phrases(tables: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], I
                     same = lang_of[block.rows[grams.text[at]]] == lang_of[block.rows[grams.text[pointer]]]
                     for k in range(n):
                         same &= codes[at + k] == codes[pointer + k]
-                    counts = np.bincount(group, weights=same).astype(np.int64)
-                    apart = at[~same]
-                    for i, count in zip([*at[first].tolist(), *apart.tolist()], [*counts.tolist(), *[1] * len(apart)], strict=True):
-                        row = int(block.rows[grams.text[i]])
-                        begin = block.base + int(grams.starts[i]) - (int(block.ends[grams.text[i] - 1]) if grams.text[i] else 0)
-                        phrase = b" ".join([block.data[a:b].tobytes() for a, b in zip(grams.starts[i:i + n].tolist(), grams.ends[i:i + n].tolist(), strict=True)])
-                        key, here = (langs[row], phrase, n), (docs[row], begin)
-                        before = total.get(key)
-                        total[key] = (count, here) if before is None else (before[0] + count, before[1] if before[1][0] is not None else here)
-                if len(total) > PHRASES:
-                    yield rows(total)
-                    total = {}
-        yield rows(total)
+                    out = np.concatenate((at[first], at[~same]))
+                    counts = np.concatenate((np.bincount(group, weights=same).astype(np.int64), np.ones(len(out) - len(first), dtype=np.int64)))
+                    texts = grams.text[out]
+                    rows = pa.array(block.rows[texts])
+                    columns = [langs.take(rows), _texts(grams, block.data, out, n), pa.array(counts), batch.column(0).take(rows), pa.array(begins[texts] + grams.starts[out])]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n", "first_doc", "first_byte"])
 
     return run
 
@@ -301,10 +299,9 @@ def frequent_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     tables.append(bit_table(pairs))
     longer = materialise(summed((3, 4), tables).where(F.col("n") >= MIN_COUNT), "phrase-longer")
     tables += [bit_table(longer)] * 2
-    found = source.mapInArrow(_phrases(_sent(source.sparkSession, tables)), "lang string, phrase string, words int, n bigint, first_doc bigint, first_byte bigint")
-    first = F.min(F.when(F.col("first_doc").isNotNull(), F.struct("first_doc", "first_byte"))).alias("first")
-    counted = found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"), first).where(F.col("n") >= MIN_COUNT)
-    return materialise(counted.select("lang", "phrase", "words", "n", "first.*"), "phrases"), totals
+    found = source.mapInArrow(_phrases(_sent(source.sparkSession, tables)), "lang string, phrase string, n bigint, first_doc bigint, first_byte bigint")
+    counted = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("first_doc").alias("first_doc"), F.min_by("first_byte", "first_doc").alias("first_byte")).where(F.col("n") >= MIN_COUNT)
+    return materialise(counted.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "n", "first_doc", "first_byte"), "phrases"), totals
 
 
 def _sent(spark: SparkSession, tables: list[np.ndarray]):

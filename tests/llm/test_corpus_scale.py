@@ -52,7 +52,7 @@ def test_collocations(request, monkeypatch, table, least, block):
     monkeypatch.setattr(collocations, "MIN_COUNT", least)
     monkeypatch.setattr(collocations, "BLOCK", block)
     monkeypatch.setattr(collocations, "HELD", block)
-    monkeypatch.setattr(collocations, "PHRASES", block)
+    monkeypatch.setattr(collocations, "VERIFIED", block)
     df = request.getfixturevalue(table)
     want = plain_collocations([tuple(r) for r in df.select("doc_id", "text", "lang").collect()], least)
     assert phrase_rows(collocations.collocations(df)) == want and (want or table == "empty")
