@@ -58,7 +58,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         lows = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(lows, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         at = materialise(small, "components")
-        now = at.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum("a")).first()
+        now = at.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
             break
         mark = now

@@ -9,8 +9,8 @@ Documents with equal sets are one class from the start and stand behind their sm
 id, so a group of copies, however large, is one node. Classes that share a band are
 candidates: each is compared with the smallest of its bucket. Where a bucket then holds
 several components, those of its documents that have no link to the smallest are
-compared with each other, and with the linked ones only where both differ from the
-smallest in the same elements to a degree without which no link can be (``_rest``).
+compared with the others where both differ from the smallest in the same elements to a
+degree without which no link can be (``_rest``).
 Thus every two candidates end in one component or are shown to have no link, without
 all pairs of a group. Links are confirmed on whole sets.
 
@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardedlake.llm.components import components
@@ -180,41 +180,43 @@ def _similar_size(a: str, b: str):
 def _rest(sets: DataFrame, members: DataFrame, grouped: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs in different components, of buckets that hold several, which may be links and have not been compared.
 
-    Two documents without a link to the bucket's smallest, p, are a pair as they are. A
-    linked x and an unlinked y are one only if they share what sets them apart from p.
-    With x = p - F + E and y = p - F' + E', J(x, y) reaches 0.8 only if they share
-    (0.8 |E| + 0.8 |E'| + |F| + |F'| - 0.2 |p|) / 1.8 of these differences. For y
-    without a link to p that is more than (0.8 |E| + |F|) / 1.8, and it can't be more
-    than x has. So x and y meet in so many of their differences, the rarest first, that
-    fewer than they have to share are left over.
+    At least one of such a pair, y, has no link to the bucket's smallest, p. With
+    x = p - F + E and y = p - F' + E', J(x, y) reaches 0.8 only if they share
+    (0.8 |E| + 0.8 |E'| + |F| + |F'| - 0.2 |p|) / 1.8 of these differences from p. For y
+    without a link to p that is more than (0.8 |E| + |F|) / 1.8, and if x has none
+    either, more than (0.8 |E'| + |F'|) / 1.8 too. So x and y meet in so many of their
+    differences, the rarest first, that fewer than they have to share are left over;
+    what comes after the place where they meet has to be enough for the rest.
     """
     placed = members.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     linked = links.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    rows = placed.where(F.col("doc_id") != F.col("a")).join(several, "key", "left_semi")
-    rows = materialise(rows.join(linked, (F.col("a") == F.col("_a")) & (F.col("doc_id") == F.col("_b")), "left").select("key", "a", "doc_id", "n", "component", F.col("_b").isNotNull().alias("linked")), "minhash-mixed")
-    loose = rows.where("NOT linked").select("key", "doc_id", "n", "component")
-    other = loose.select("key", F.col("doc_id").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    among = loose.join(other, "key").where((F.col("doc_id") < F.col("x")) & (F.col("component") != F.col("c_x")) & _similar_size("n", "n_x")).select(F.col("doc_id").alias("a"), F.col("x").alias("b"))
-
-    stars = rows.select("a", F.col("doc_id").alias("b"), "component", "linked").distinct()
-    both_kinds = stars.groupBy("a").agg(F.max(F.col("linked").cast("int")).alias("high"), F.min(F.col("linked").cast("int")).alias("low")).where("low < high").select("a")
+    rows = placed.where(F.col("doc_id") != F.col("a")).join(several, "key", "left_semi").select("a", F.col("doc_id").alias("b"), "component").distinct()
+    stars = materialise(rows.join(linked, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left").select("a", "b", "component", F.col("_b").isNotNull().alias("linked")), "minhash-mixed")
+    mixed = stars.groupBy("a").agg(F.min("linked").alias("all_linked"), F.min("component").alias("low"), F.max("component").alias("high")).where("NOT all_linked AND low <> high").select("a")
     sizes = [F.size("more").alias("e"), F.size("less").alias("f"), F.size("of_a").alias("p")]
-    apart = _joined(sets, stars.join(both_kinds, "a", "left_semi")).select("a", "b", "component", "linked", "of_a", F.array_except("of_b", "of_a").alias("more"), F.array_except("of_a", "of_b").alias("less"))
+    apart = _joined(sets, stars.join(mixed, "a", "left_semi")).select("a", "b", "component", "linked", "of_a", F.array_except("of_b", "of_a").alias("more"), F.array_except("of_a", "of_b").alias("less"))
     tagged = F.concat(F.transform("more", lambda t: F.struct(F.lit(True).alias("more"), t.alias("t"))), F.transform("less", lambda t: F.struct(F.lit(False).alias("more"), t.alias("t"))))
     each = apart.select("a", "b", "component", "linked", *sizes, F.explode(tagged).alias("d")).select("a", "b", "component", "linked", "e", "f", "p", "d.more", "d.t")
     each = materialise(each, "minhash-apart")
+    q, loose, tied = PERCENT, ~F.col("linked"), F.col("linked")
+    weight = q * F.col("e") + 100 * F.col("f")
+    most = F.floor(weight / (100 + q)) + 1
+    some = F.greatest(F.ceil((weight - (100 - q) * F.col("p")) / (100 + q)), F.lit(1))
+    among = _meeting(each.where(loose), [(loose, most), (loose, most)]).where("x < y")
+    return among.union(_meeting(each, [(tied, most), (loose, some)])).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _meeting(each: DataFrame, sides: list[tuple[Column, Column]]) -> DataFrame:
+    """x, y: pairs of different components, the two sides by a condition and how many differences have to be shared at least, that may share enough of them."""
     token = ["a", "more", "t"]
-    usual = each.where("linked").groupBy(*token).agg(F.count("*").alias("usual"))
-    order = Window.partitionBy("a", "b").orderBy(F.coalesce("usual", F.lit(0)), "more", "t")
-    ranked = each.join(usual, token, "left").withColumn("place", F.row_number().over(order))
-    q = PERCENT
-    least_x = F.floor((q * F.col("e") + 100 * F.col("f")) / (100 + q)) + 1
-    least_y = F.greatest(F.ceil((q * F.col("e") + 100 * F.col("f") - (100 - q) * F.col("p")) / (100 + q)), F.lit(1))
-    x = ranked.where(F.col("linked") & (F.col("place") <= F.col("e") + F.col("f") - least_x + 1)).select(*token, F.col("b").alias("x"), F.col("component").alias("c_x"), (100 * F.col("e") + q * F.col("f")).alias("can"))
-    y = ranked.where(~F.col("linked") & (F.col("place") <= F.col("e") + F.col("f") - least_y + 1)).select(*token, "b", "component", (q * F.col("e") + 100 * F.col("f") - (100 - q) * F.col("p")).alias("must"))
-    far = y.join(x, token).where((F.col("component") != F.col("c_x")) & (F.col("can") >= F.col("must"))).select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b"))
-    return among.union(far).distinct()
+    usual = each.groupBy(*token).agg(F.count("*").alias("usual")).where("usual > 1")
+    ranked = each.join(usual, token, "left").withColumn("place", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("usual", F.lit(1)), "more", "t")))
+    left = F.col("e") + F.col("f") - F.col("place")
+    x, y = (ranked.where(kind & (left + 1 >= least) & F.col("usual").isNotNull()).select(*token, F.col("b").alias(name), F.col("component").alias(f"of_{name}"), "p", left.alias(f"left_{name}"), (PERCENT * F.col("e") + 100 * F.col("f")).alias(f"weight_{name}"))
+            for name, (kind, least) in zip("xy", sides, strict=True))
+    enough = (100 + PERCENT) * (1 + F.least("left_x", "left_y")) >= F.col("weight_x") + F.col("weight_y") - (100 - PERCENT) * F.col("p")
+    return x.join(y.drop("p"), token).where((F.col("of_x") != F.col("of_y")) & enough).select("x", "y")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -66,6 +66,28 @@ def test_chains_and_unlinked_members(spark):
     assert len(set(want.values())) > 1
 
 
+def test_ids_of_64_bits(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(8 * 10**18 + i, text + f" end{i}") for i in range(6)] + [(-9 * 10**18, "another text altogether"), (9 * 10**18, text)]
+    got = superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == grouped(rows, 2)
+
+
+def test_many_near_copies_below_the_limit(spark):
+    """Copies of one text, each with a fifth or so of its words changed: few are linked, and none to the smallest."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for k in rng.sample(range(120), rng.choice([6, 9, 11, 13])):
+            words[k] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 400, 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in superminhash.near_duplicates(df, 2).collect()} == grouped(rows, 2)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
