@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,9 @@ READ_WORDS = ["SELECT", "WITH", "VALUES", "TABLE", "FROM", "EXPLAIN", "DESCRIBE"
 # Commands that only tell something; all other commands are refused by their place in the parsed plan.
 READ_COMMANDS = ("Show", "Describe", "Explain")
 CATALYST = "org.apache.spark.sql.catalyst"
+# Functions that call the JVM by name, and those that name the files behind a table.
+UNSAFE_FUNCTIONS = {"reflect", "try_reflect", "java_method", "input_file_name", "input_file_block_start", "input_file_block_length"}
+BUILT_IN_SCHEMAS = (["builtin"], ["system", "builtin"])
 
 # Both start with a character that ends a word before them, so the text is searched with a blank
 # in front; the look-ahead for a first letter is cheaper than trying every word.
@@ -83,37 +87,77 @@ def spark_reason(sql: Column | str) -> Column:
             .when(bare.rlike(_FILE_SCAN), "FILE SCAN"))
 
 
-def plan_reason(spark: SparkSession, sql: str) -> str | None:
-    """Why Spark should not run a statement, by its parsed plan; null if it may.
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
 
-    Refused are commands, writes and scripts, wherever they stand in the statement, in
-    its sub-queries or under an EXPLAIN. A statement that can't be parsed has no plan
-    to refuse, and fails when it is run.
-    """
-    classes = {name: spark._jvm.java.lang.Class.forName(f"{CATALYST}.{name}") for name in (
-        "plans.logical.Command", "plans.logical.ParsedStatement", "plans.logical.ScriptTransformation", "expressions.PlanExpression")}
-    is_a = {name.rsplit(".", 1)[-1]: c.isInstance for name, c in classes.items()}
-    waiting = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
 
-    def children(seq) -> list:
-        return [seq.apply(i) for i in range(seq.size())]
+class _Kinds:
+    """Tests of plan and expression nodes by Spark's own classes."""
+
+    def __init__(self, spark: SparkSession):
+        names = ("plans.logical.Command", "plans.logical.ParsedStatement", "plans.logical.ScriptTransformation", "expressions.PlanExpression", "analysis.UnresolvedFunction",
+                 "analysis.UnresolvedTableValuedFunction", "analysis.ExpressionWithUnresolvedIdentifier", "expressions.CallMethodViaReflection", "expressions.UserDefinedExpression")
+        self.of = {name.rsplit(".", 1)[-1]: spark._jvm.java.lang.Class.forName(f"{CATALYST}.{name}") for name in names}
+
+    def __call__(self, node, *names: str) -> bool:
+        return any(self.of[name].isInstance(node) for name in names)
 
+
+def _nodes(root, kinds: _Kinds) -> Iterator:
+    """Every node of a plan and every expression in it, in sub-queries and under EXPLAIN too."""
+    waiting = [root]
     while waiting:
         node = waiting.pop()
-        name = node.nodeName()
-        if name.startswith("Explain"):
+        yield node
+        if node.nodeName().startswith("Explain"):
             waiting.append(node.logicalPlan())
-        elif is_a["ScriptTransformation"](node):
-            return "SCRIPT"
-        elif (is_a["Command"](node) or is_a["ParsedStatement"](node)) and not name.startswith(READ_COMMANDS):
-            return name.upper()
-        waiting += children(node.children()) + [p for p in children(node.innerChildren()) if hasattr(p, "expressions")]
-        inside = children(node.expressions())
+        waiting += _items(node.children()) + [p for p in _items(node.innerChildren()) if hasattr(p, "expressions")]
+        inside = _items(node.expressions())
         while inside:
             e = inside.pop()
-            if is_a["PlanExpression"](e):
+            yield e
+            if kinds(e, "PlanExpression"):
                 waiting.append(e.plan())
-            inside += children(e.children())
+            inside += _items(e.children())
+
+
+def safe_functions(spark: SparkSession) -> set[str]:
+    """The built-in functions, without those that call the JVM and those that tell where files are."""
+    return {r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()} - UNSAFE_FUNCTIONS
+
+
+def plan_reason(spark: SparkSession, sql: str, functions: Iterable[str] = ()) -> str | None:
+    """Why Spark should not run a statement, by its parsed plan; null if it may.
+
+    Refused are commands, writes and scripts, wherever they stand in the statement, in
+    its sub-queries or under an EXPLAIN; and functions that are neither built-in and
+    safe nor among ``functions``, however their names are written. A statement that
+    can't be parsed has no plan to refuse, and fails when it is run.
+    """
+    kinds, allowed = _Kinds(spark), None
+    for node in _nodes(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), kinds):
+        if kinds(node, "ScriptTransformation"):
+            return "SCRIPT"
+        if kinds(node, "Command", "ParsedStatement") and not node.nodeName().startswith((*READ_COMMANDS, "Explain")):
+            return node.nodeName().upper()
+        if kinds(node, "ExpressionWithUnresolvedIdentifier"):
+            return "IDENTIFIER"
+        if kinds(node, "UnresolvedFunction", "UnresolvedTableValuedFunction"):
+            parts = [p.lower() for p in _items(node.nameParts() if kinds(node, "UnresolvedFunction") else node.name())]
+            allowed = allowed or safe_functions(spark) | {f.lower() for f in functions}
+            if parts[-1] not in allowed or len(parts) > 1 and parts[:-1] not in BUILT_IN_SCHEMAS and ".".join(parts) not in allowed:
+                return f"FUNCTION {parts[-1].upper()}"
+    return None
+
+
+def analysed_reason(df: DataFrame, functions: Iterable[str] = ()) -> str | None:
+    """Why a statement should not be run, by its analysed plan, in which views are spelled out; null if it may."""
+    kinds, allowed = _Kinds(df.sparkSession), {f.lower() for f in functions}
+    for node in _nodes(df._jdf.queryExecution().analyzed(), kinds):
+        if kinds(node, "CallMethodViaReflection"):
+            return "JVM CALL"
+        if kinds(node, "UserDefinedExpression") and node.name().lower() not in allowed:
+            return f"FUNCTION {node.name().upper()}"
     return None
 
 
@@ -124,11 +168,12 @@ class Guarded(NamedTuple):
     error: str | None
 
 
-def guarded_sql(spark: SparkSession, sql: str | None) -> Guarded:
+def guarded_sql(spark: SparkSession, sql: str | None, functions: Iterable[str] = ()) -> Guarded:
     """Screen one statement and, if it is a read, hand it to Spark unexecuted.
 
-    The word list and the text come first, then the parsed plan. Names are resolved
-    with files as tables switched off, so no path can be read.
+    The word list and the text come first, then the parsed plan, then the analysed one.
+    Names are resolved with files as tables switched off, so no path can be read.
+    ``functions`` names functions of the user's own that statements may call.
     """
     one = spark.createDataFrame([(sql,)], "sql string")
     row = screen(one).withColumn("reason", spark_reason("sql")).first()
@@ -136,11 +181,12 @@ def guarded_sql(spark: SparkSession, sql: str | None) -> Guarded:
         return Guarded(None, f"[sql error] {row['message']}")
     by_path = spark.conf.get("spark.sql.runSQLOnFiles")
     try:
-        reason = row["reason"] or plan_reason(spark, row["sanitized"])
-        if reason:
-            return Guarded(None, f"[sql error] {UNSAFE_MESSAGE.format(reason)}")
-        spark.conf.set("spark.sql.runSQLOnFiles", "false")
-        return Guarded(spark.sql(row["sanitized"]), None)
+        reason = row["reason"] or plan_reason(spark, row["sanitized"], functions)
+        if not reason:
+            spark.conf.set("spark.sql.runSQLOnFiles", "false")
+            result = spark.sql(row["sanitized"])
+            reason = analysed_reason(result, functions)
+        return Guarded(None, f"[sql error] {UNSAFE_MESSAGE.format(reason)}") if reason else Guarded(result, None)
     except Exception as failure:  # parse and analysis errors become the answer text
         return Guarded(None, f"[sql error] {str(failure).splitlines()[0]}")
     finally:

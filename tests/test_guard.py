@@ -68,6 +68,30 @@ def test_guarded_sql_refuses_scripts_and_paths(spark, sql):
     assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
 
 
+_CALL = "('java.util.UUID', 'randomUUID')"
+
+
+@pytest.mark.parametrize("sql", [
+    f"SELECT `reflect`{_CALL}", f"SELECT `ReFlect` {_CALL}", "SELECT `try_reflect`('java.lang.System', 'getenv', 'HOME')", f"SELECT `java_method`{_CALL}", f"SELECT system.builtin.`reflect`{_CALL}",
+    f"SELECT `builtin`.`reflect`{_CALL}", f"EXPLAIN SELECT `reflect`{_CALL}", f"WITH q AS (SELECT `reflect`{_CALL} AS x) SELECT x FROM q", f"SELECT 1 WHERE EXISTS (SELECT `reflect`{_CALL})",
+    f"SELECT (SELECT max(`reflect`{_CALL}))", f"SELECT transform(array(1), x -> `reflect`{_CALL})", f"SELECT IDENTIFIER('refl' || 'ect'){_CALL}", f"SELECT id FROM range(1) ORDER BY `reflect`{_CALL}",
+    f"SELECT id FROM range(1) GROUP BY id HAVING `reflect`{_CALL} IS NULL", f"SELECT * FROM range(1) LATERAL VIEW explode(array(`reflect`{_CALL})) t AS x", "SELECT `input_file_name`()",
+    "SELECT id FROM calls_the_jvm", "SELECT own_function(id) FROM range(1)", "SELECT other.`own_function`(1)"])
+def test_guarded_sql_refuses_functions(spark, sql):
+    spark.sql(f"SELECT reflect{_CALL} AS id").createOrReplaceTempView("calls_the_jvm")
+    spark.udf.register("own_function", lambda x: x, "bigint")
+    out = guard.guarded_sql(spark, sql)
+    assert out.result is None and "Unsafe SQL operation detected" in out.error
+
+
+def test_guarded_sql_runs_functions_that_are_allowed(spark):
+    spark.udf.register("own_function", lambda x: x, "bigint")
+    assert rows(guard.guarded_sql(spark, "SELECT own_function(id) FROM range(1)", ["own_function"]).result) == [(0,)]
+    assert rows(guard.guarded_sql(spark, "SELECT `upper`(lower('A')), abs(-1), count(*) FROM range(2)").result) == [("A", 1, 2)]
+    assert rows(guard.guarded_sql(spark, "SELECT sum(x) OVER (ORDER BY x), CASE WHEN x > 1 THEN x END FROM explode(array(1)) t(x)").result) == [(1, None)]
+    assert rows(guard.guarded_sql(spark, "SELECT cast('1' AS int) + int('2'), 1 <=> 1, 'a' LIKE 'a', x IN (1, 2), -x, x[0] FROM VALUES (array(1)) t(y), LATERAL (SELECT y[0] AS x, y AS z)".replace("x[0]", "y[0]")).result) == [(3, True, True, True, -1, 1)]
+
+
 def test_guarded_sql_runs_reads(spark):
     spark.range(3).createOrReplaceTempView("three")
     assert rows(guard.guarded_sql(spark, "WITH x AS (SELECT max(id) m FROM three) SELECT m FROM x;").result) == [(2,)]
