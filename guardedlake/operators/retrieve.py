@@ -1,17 +1,18 @@
-"""Context retrieval: kind filters, exact and approximate cosine top-k, assembly."""
+"""Context retrieval: kind filters, exact cosine top-k, assembly; ``vector_index`` has the approximate search."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardedlake.functions.ordered import ordered_text, top_per_key
-from guardedlake.session import materialise
 
 # What stands between chunks, and the kinds that go into every context.
 SEPARATOR = "\n\n---\n\n"
@@ -42,13 +43,22 @@ class SearchSize(NamedTuple):
     chunk_tile: int = 8_192  # with query_tile, a distance matrix of 64 MB
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    """Rows of float lists as one matrix at unit length; zero rows stay zero."""
-    m = np.stack(column.to_numpy()).astype(np.float64)
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows at unit length; zero rows stay zero."""
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
+def flat_matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as a matrix, straight from their values."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _matrix(rows: pd.DataFrame) -> np.ndarray:
+    """The vectors of some rows as one matrix at unit length."""
+    return unit_rows(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
+
+
 def _nearest(q: np.ndarray, c: np.ndarray, cids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query row, chunk row and distance of the ``k`` nearest, ties by chunk id.
 
@@ -78,10 +88,10 @@ def _hit_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
         T.StructField("distance", T.DoubleType())])
 
 
-def _rank(hits: DataFrame, k: int) -> DataFrame:
+def ranked(hits: DataFrame, k: int) -> DataFrame:
     d = F.col("distance")
-    ranked = top_per_key(hits, ["query_id", "namespace"], [d.asc(), F.col("chunk_id").asc()], k)
-    return ranked.withColumn("distance", F.when(d == float("inf"), None).otherwise(d))
+    best = top_per_key(hits, ["query_id", "namespace"], [d.asc(), F.col("chunk_id").asc()], k)
+    return best.withColumn("distance", F.when(d == float("inf"), None).otherwise(d))
 
 
 def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 8, size: SearchSize = SearchSize()) -> DataFrame:
@@ -90,12 +100,12 @@ def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 8, size: SearchS
     ``queries(query_id, namespace, embedding)``, ``chunks(chunk_id, namespace,
     embedding)``; gives ``(query_id, namespace, chunk_id, distance, rank)``, ties by id.
     A chunk is known by its namespace and id together. Rows without a vector take no
-    part. Queries and chunks meet in blocks, whatever their number (``_block_topk``);
+    part. Queries and chunks meet in blocks, whatever their number (``block_topk``);
     only the ``k`` best per query leave a block, never the pairs.
     """
     q = queries.select("query_id", "namespace", "embedding").where("embedding IS NOT NULL")
     c = chunks.select("chunk_id", "namespace", "embedding").where("embedding IS NOT NULL")
-    return _rank(_block_topk(q, c, ["namespace"], k, size), k)
+    return ranked(block_topk(q, c, ["namespace"], k, size), k)
 
 
 def _keep_best(held: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -110,13 +120,14 @@ def _hits(qids: np.ndarray, qm: np.ndarray, cids: np.ndarray, cm: np.ndarray, k:
     return pd.DataFrame({"query_id": qids[rows], "chunk_id": cids[cols], "distance": d})
 
 
-def _block_topk(q: DataFrame, c: DataFrame, keys: list[str], k: int, size: SearchSize) -> DataFrame:
+def block_topk(q: DataFrame, c: DataFrame, keys: list[str], k: int, size: SearchSize, matrix: Callable[[pd.DataFrame], np.ndarray] = _matrix) -> DataFrame:
     """Top-k hits of queries and chunks that share ``keys``, by a grid of blocks.
 
     Each key is given as many query and chunk blocks as its counts ask for, rows are
     dealt to them by a hash of their id, and each pair of blocks is one group of bounded
     size, multiplied tile by tile. A key that holds a third of all rows becomes many
-    groups instead of a large one. ``keys`` begin with the namespace.
+    groups instead of a large one. ``keys`` begin with the namespace; ``matrix`` makes
+    unit vectors of a group's chunks.
     """
     nq = q.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size.query_block).cast("int").alias("__qn"))
     nc = c.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size.chunk_block).cast("int").alias("__cn"))
@@ -136,7 +147,7 @@ def _block_topk(q: DataFrame, c: DataFrame, keys: list[str], k: int, size: Searc
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame(columns=["query_id", "namespace", "chunk_id", "distance"], dtype=object)
-        qids, qm, cids, cm = a["query_id"].to_numpy(), _matrix(a["embedding"]), b["chunk_id"].to_numpy(), _matrix(b["embedding"])
+        qids, qm, cids, cm = a["query_id"].to_numpy(), _matrix(a), b["chunk_id"].to_numpy(), matrix(b)
         out = []
         for i in range(0, len(qids), size.query_tile):
             best = None
@@ -149,41 +160,6 @@ def _block_topk(q: DataFrame, c: DataFrame, keys: list[str], k: int, size: Searc
     return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(pair, schema)
 
 
-def _signatures(df: DataFrame, dim: int, tables: int, bits: int, seed: int) -> DataFrame:
-    """One row per hash table: which side of ``bits`` random planes the vector lies on."""
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
-    weights = (1 << np.arange(bits)).astype(np.int64)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def signature(vectors: pd.Series) -> pd.Series:
-        side = (np.stack(vectors.to_numpy()).astype(np.float64) @ planes) > 0
-        return pd.Series(list((side.reshape(len(vectors), tables, bits) @ weights).astype(np.int32)))
-
-    return df.select("*", F.posexplode(signature.asNondeterministic()("embedding")).alias("__table", "__sig"))
-
-
-def approximate_topk(queries: DataFrame, chunks: DataFrame, dim: int, bits: int, k: int = 8, tables: int = 8,
-                     seed: int = 7, size: SearchSize = SearchSize()) -> DataFrame:
-    """Approximate ``cosine_topk``: only chunks that share a signature are compared.
-
-    Vectors on the same side of the random planes of a hash table meet; their exact
-    distance is then computed, so an answer can miss a neighbour, and hold fewer than
-    ``k``, but never holds a wrong distance. Buckets are joined in the same block grid,
-    so a full bucket is split and gives ``k`` hits per query and block. ``bits`` has no
-    default: a table of n chunks has 2^bits buckets of about n / 2^bits, so it should
-    grow with log2(n). More tables raise the recall. Signatures are computed once and
-    written.
-    """
-    q = queries.select("query_id", "namespace", "embedding").where("embedding IS NOT NULL")
-    c = chunks.select("chunk_id", "namespace", "embedding").where("embedding IS NOT NULL")
-    signed = [materialise(_signatures(df, dim, tables, bits, seed), "signatures") for df in (q, c)]
-    hits = _block_topk(*signed, ["namespace", "__table", "__sig"], k, size)
-    # A chunk is found once per hash table at most, so its k best are among the first k * tables;
-    # cut there first, which also leaves the rows where the next two steps need them.
-    near = top_per_key(hits, ["query_id", "namespace"], [F.col("distance"), F.col("chunk_id")], k * tables, "__n").drop("__n")
-    return _rank(near.dropDuplicates(["query_id", "namespace", "chunk_id"]), k)
-
-
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits that were found."""
     keys = ["query_id", "namespace", "chunk_id"]

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from guardedlake.functions.automaton import LETTERS_AT_ONCE, automata
 from guardedlake.functions.ordered import latest
 from guardedlake.functions.text import tokens
 
@@ -169,31 +174,51 @@ class BankEntry(NamedTuple):
     response: str
 
 
-def bank_lookup(requests: DataFrame, bank: list[BankEntry], refusal: str, text: str = "query", least: int = 2, gram: int = 3) -> DataFrame:
+def _bank_scores(phrases: list[str], owner: np.ndarray, entries: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The best entry of each text by the phrases found in it, the earlier on ties."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = list(automata(phrases))
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            best, score = np.zeros(len(texts), dtype=np.int32), np.zeros(len(texts), dtype=np.int32)
+            for at, part in _some(texts):
+                found = [(row, owner[first + phrase]) for first, machine in machines for row, phrase in [machine.found(part)]]
+                key = np.concatenate([row * entries + entry for row, entry in found]) if found else np.zeros(0, dtype=np.int64)
+                key, n = np.unique(key, return_counts=True)
+                row, entry = np.divmod(key, max(entries, 1))
+                order = np.lexsort((entry, -n, row))
+                first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+                best[at + row[first]], score[at + row[first]] = entry[first], n[first]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(score > 0, best, -1).astype(np.int32)), pa.array(score)], ["request_id", "entry", "score"])
+
+    return task
+
+
+def _some(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Some texts at a time, with the place of the first."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= LETTERS_AT_ONCE or i + 1 == len(texts):
+            yield first, texts[first:i + 1]
+            first, held = i + 1, 0
+
+
+def bank_lookup(requests: DataFrame, bank: list[BankEntry], refusal: str, text: str = "query", least: int = 2) -> DataFrame:
     """``(request_id, entry, score, success, response)`` from recorded answers.
 
     An entry scores one for each of its phrases the question contains; the highest
     score wins, the earlier entry on ties, and a score below ``least`` is refused.
 
-    A question that contains a phrase contains the phrase's first letters, so both
-    sides are joined on those (an equality, which Spark can shuffle or broadcast as
-    their sizes ask), and the whole phrase is compared afterwards. Answers are joined
-    to the entries that won.
+    All phrases are looked for in one walk over each question, linear in its length;
+    nothing is shuffled. Answers are joined to the entries that won.
     """
     spark = requests.sparkSession
     clean = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
-    asked = requests.select("request_id", clean.alias("q"))
     rows = [(i, p) for i, e in enumerate(bank) for p in sorted(set(e.phrases))]
-    phrases = spark.createDataFrame(rows, "entry int, phrase string").withColumn("g", F.substring("phrase", 1, gram))
-    lengths = sorted({min(gram, len(p)) for _, p in rows})
-    starts = F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1)))
-    grams = F.array_distinct(F.flatten(F.array(*[F.transform(starts, lambda i: F.substring(F.col("q"), i, F.lit(n))) for n in lengths])))
-    hits = (asked.select("request_id", "q", F.explode_outer(grams).alias("g")).join(phrases, "g")
-            .where(F.contains("q", "phrase")).select("request_id", "entry", "phrase"))
-    per_entry = hits.groupBy("request_id", "entry").agg(F.count(F.lit(1)).cast("int").alias("score"))
-    best = per_entry.groupBy("request_id").agg(F.max(F.struct("score", (-F.col("entry")).alias("neg"))).alias("b"))
+    kept = T.StructType([T.StructField("request_id", requests.schema["request_id"].dataType), T.StructField("entry", T.IntegerType()), T.StructField("score", T.IntegerType())])
+    scored = requests.select("request_id", clean.alias("q")).mapInArrow(_bank_scores([p for _, p in rows], np.array([i for i, _ in rows], dtype=np.int64), len(bank)), kept)
     answers = spark.createDataFrame([(i, e.response) for i, e in enumerate(bank)], "entry int, answer string")
-    base = requests.select("request_id").join(best, "request_id", "left").select("request_id", F.coalesce("b.score", F.lit(0)).alias("score"), (-F.col("b.neg")).alias("entry"))
     good = F.col("score") >= least
-    return base.join(answers, "entry", "left").select("request_id", F.when(good, F.col("entry")).otherwise(-1).alias("entry"), "score", good.alias("success"),
-                                                      F.when(good, F.col("answer")).otherwise(F.lit(refusal)).alias("response"))
+    return scored.join(answers, "entry", "left").select("request_id", F.when(good, F.col("entry")).otherwise(-1).alias("entry"), "score", good.alias("success"),
+                                                        F.when(good, F.col("answer")).otherwise(F.lit(refusal)).alias("response"))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from guardedlake.operators import retrieve
+from guardedlake.operators import retrieve, vector_index
 from tests.conftest import plan, rows
 
 RNG = np.random.default_rng(3)
@@ -72,12 +72,33 @@ def test_approximate_recall(spark):
     centres = RNG.standard_normal((12, 32)) * 3
     v = centres[RNG.integers(0, 12, 600)] + RNG.standard_normal((600, 32)) * 0.4
     q, c = frame(spark, "query_id", v[:100], ["n"] * 100), frame(spark, "chunk_id", v, ["n"] * 600)
-    exact, found = retrieve.cosine_topk(q, c, 5), retrieve.approximate_topk(q, c, 32, bits=6, k=5, tables=8)
+    exact, found = retrieve.cosine_topk(q, c, 5), vector_index.indexed_topk(q, c, vector_index.build_index(c, lists=12), k=5, probes=3)
     assert retrieve.recall(found, exact).first()["recall"] > 0.9
     distances = {r[:3]: r[3] for r in rows(retrieve.cosine_topk(q, c, 600))}
     assert all(abs(distances[r[:3]] - r[3]) < 1e-6 for r in rows(found))
 
 
+def test_index_of_odd_vectors(spark):
+    v = RNG.standard_normal((90, 8))
+    v[3] = 0
+    c = frame(spark, "chunk_id", v, ["a"] * 45 + ["b"] * 45).union(spark.createDataFrame([(1000, "a", None)], "chunk_id bigint, namespace string, embedding array<float>"))
+    q = frame(spark, "query_id", v[:50], ["a"] * 45 + ["c"] * 5)
+    index = vector_index.build_index(c, lists=5)
+    again = vector_index.load_index(spark, index.path)
+    assert (again.centroids == index.centroids).all() and spark.read.parquet(f"{index.path}/codes").count() == 90
+    # All lists probed and all candidates refined: the exact answer.
+    assert sorted(rows(vector_index.indexed_topk(q, c, again, 4, probes=5, refine=30)), key=str) == sorted(rows(retrieve.cosine_topk(q, c, 4)), key=str)
+    none = c.where("false")
+    assert vector_index.indexed_topk(q, none, vector_index.build_index(none, lists=5), 4).count() == 0
+
+
+def test_a_query_scans_the_lists_it_probes(spark):
+    c = frame(spark, "chunk_id", np.eye(6), ["a"] * 6)
+    index = vector_index.build_index(c, lists=6)
+    found = vector_index.indexed_topk(frame(spark, "query_id", np.eye(6)[:1], ["a"]), c, index, 1, probes=1)
+    assert rows(found.select("chunk_id", "distance")) == [(0, 0.0)] and "PartitionFilters: [list" in plan(found).replace("isnotnull(list", "list")
+
+
 def test_namespaces_stay_apart(spark):
     chunks = spark.createDataFrame([("t", "a", "TABLE", "x", "A", [1.0, 0.0]), ("t", "b", "TABLE", "x", "SECRET", [1.0, 0.0])],
                                    "chunk_id string, namespace string, kind string, title string, content string, embedding array<float>")

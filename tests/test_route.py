@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from guardedlake.functions import automaton
 from guardedlake.operators import policy, route
 from tests.conftest import rows
 
@@ -83,6 +86,7 @@ BANK = [route.BankEntry(["orders", "open", "how large", "per region"], "12 open
 ASKED = {"How large are open orders?": 0, "HOW LARGE ARE OPEN ORDERS?": 0, "open orders per region": 0, "  the supplier with the best balance ": 1, "best supplier": 1,
          "part size of all brands": 2, "shipped late lines by month": 3, "": -1, "   ": -1, "q": -1, "good morning": -1, "orders": -1,
          "best orders of a supplier, open": 1, "brands shipped": -1}
+TOLD = "the supplier with the best balance"
 TIED = {"orders open, the best": 0}  # two phrases each: the earlier entry
 
 
@@ -103,6 +107,29 @@ def test_bank_on_whole_texts(spark, data):
         assert got[r["request_id"]] == ((best if scores[best] >= 2 else -1), scores[best]), r["request_id"]
 
 
+def test_automaton_finds_every_phrase():
+    rng = random.Random(2)
+    for size, letters in ((60, "ab"), (300, "abcé🙂"), (1, "a")):
+        phrases = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(0, 9))) for _ in range(size)} | {"ab" * 90})
+        texts = ["", letters[0] * 5000, "x"] + ["".join(rng.choice(letters + "-") for _ in range(rng.randrange(4000))) for _ in range(20)] + ["-" + "ab" * 90 + "-", "z" * 1000 + "ab" * 90]
+        want = {(i, j) for i, t in enumerate(texts) for j, p in enumerate(phrases) if p in t}
+        for most in (20, 1 << 16):
+            got = [(int(t), first + int(p)) for first, machine in automaton.automata(phrases, most) for t, p in zip(*machine.found(texts), strict=True)]
+            assert set(got) == want and len(got) == len(want)
+
+
+def test_bank_on_a_question_of_a_megabyte(spark):
+    long = "what is this " * 80_000
+    asked = requests(spark, long + TOLD, long, TOLD)
+    out = route.bank_lookup(asked, BANK, "no").orderBy("request_id").collect()
+    alone = 1
+    assert [r["entry"] for r in out] == [alone, -1, alone] and [r["score"] for r in out][0] == [r["score"] for r in out][2]
+
+
+def test_bank_without_entries(spark):
+    assert [tuple(r) for r in route.bank_lookup(requests(spark, "a"), [], "no").collect()] == [(0, -1, 0, False, "no")]
+
+
 def test_scope(spark):
     df = spark.createDataFrame([(1, "acme", "salary of Bob"), (2, "other", "salary of Bob"), (3, "acme", "sales"), (4, None, None)], "request_id int, tenant_id string, query string")
     out = policy.check_scope(df, [policy.ScopeRule("sales", True), policy.ScopeRule("sal", False, "no pay data", "acme")])
