@@ -9,8 +9,9 @@ from guardedlake.operators import corpus
 from guardedlake.plans.ingest import STORED_SCHEMA, ingest
 from guardedlake.plans.registry import named
 from guardedlake.sources import catalog
+from guardedlake.sources.chunk_store import ChunkStore
 from guardedlake.sources.documents import table_documents
-from guardedlake.session import materialise
+from guardedlake.session import fresh_path, materialise
 from guardedlake.sources.tables import STAR_TABLES, Tables, row_counts
 
 _LIST = ", ".join(f"'{t}'" for t in STAR_TABLES)
@@ -136,6 +137,11 @@ _SAMPLED = {
     "pages": ("page_id", ["page_id", "url", "html"]),
     "benchmark": ("item_id", ["item_id", "text"]),
     "labels": ("doc_id", ["doc_id", "quality", "toxic"]),
+    "orders": ("o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
+    "lineitem": ("l_orderkey, l_linenumber", ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]),
+    "events": ("event_id", ["event_id", "ts", "user_id", "event_type", "value", "props"]),
+    "embeddings": ("vec_id", ["vec_id", "label"]),
+    "conversations": ("conv_id, turn", ["conv_id", "turn", "role", "text"]),
 }
 
 
@@ -146,7 +152,7 @@ def _sample_sql(name):
     cell = "replace(CASE WHEN length(CAST({0} AS VARCHAR)) > 120 THEN substring(CAST({0} AS VARCHAR), 1, 117) || '...' ELSE coalesce(CAST({0} AS VARCHAR), 'NULL') END, '|', '\\|')"
     line = " || ' | ' || ".join(cell.format(c) for c in cols)
     return (f"SELECT 'table:{name}' AS chunk_id, 'Rows of {name}' || chr(10) || chr(10) || '### Sample rows' || chr(10) || chr(10) || '{head}' || chr(10) || '{rule}' || chr(10) || "
-            f"(SELECT string_agg('| ' || line || ' |', ' ' || chr(10) ORDER BY k) FROM (SELECT {key} AS k, {line} AS line FROM {name} ORDER BY {key} LIMIT 3)) AS content")
+            f"(SELECT string_agg('| ' || line || ' |', ' ' || chr(10) ORDER BY k) FROM (SELECT row_number() OVER (ORDER BY {key}) AS k, {line} AS line FROM {name} ORDER BY {key} LIMIT 3)) AS content")
 
 
 @named("a09_sample_rows", " UNION ALL ".join(_sample_sql(n) for n in _SAMPLED)
@@ -155,7 +161,7 @@ def a09(spark, folder):
     t = Tables(spark, folder)
     samples = None
     for name, (key, cols) in _SAMPLED.items():
-        one = corpus.sample_markdown(name, t.scan(name).select(*cols), [key])
+        one = corpus.sample_markdown(name, t.scan(name).select(*cols), key.split(", "))
         samples = one if samples is None else samples.unionByName(one)
     names = catalog.catalog_columns(spark, {n: t.scan(n) for n in _SAMPLED}).select("table_name").distinct()
     chunks = names.select(F.concat(F.lit("table:"), "table_name").alias("chunk_id"), F.lit("TABLE").alias("kind"),
@@ -208,6 +214,27 @@ def a12(spark, folder):
     return corpus.upsert(stored, incoming, ["doc_id"]).select("namespace", "chunk_id", "content", F.unix_seconds("created_at").alias("created_s"))
 
 
+_BUCKETS = 48
+
+
+# A store of all documents, then two upserts; the version of a row's bucket tells which of them rewrote it.
+@named("a12_bucketed_upsert", f"""
+WITH c AS (SELECT lang AS namespace, source || '/' || d.doc_id AS chunk_id, text, d.doc_id, coalesce(quality, 0) AS good, coalesce(toxic, 0) AS bad FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+b AS (SELECT *, CAST('0x' || substring(md5(namespace || '/' || chunk_id), 1, 8) AS BIGINT) % {_BUCKETS} AS bucket FROM c),
+v AS (SELECT bucket, CASE WHEN max(bad) = 1 THEN 2 ELSE 1 END AS version FROM b GROUP BY bucket)
+SELECT namespace, chunk_id, md5(CASE WHEN bad = 1 THEN 'withheld' ELSE text END) AS digest, doc_id AS created_s, CAST(version AS INTEGER) AS version FROM b JOIN v USING (bucket)""")
+def a12_bucketed(spark, folder):
+    t = Tables(spark, folder)
+    base = document_chunks(spark, folder).withColumn("chunk_id", F.concat_ws("/", "chunk_id", F.col("doc_id").cast("string")))
+    fields = base.drop("doc_id").schema
+    store = ChunkStore.create(spark, fresh_path(spark, "chunk-store"), fields, _BUCKETS)
+    store.upsert(base, ["doc_id"])
+    toxic = base.join(t.labels.where("toxic = 1").select("doc_id"), "doc_id").withColumn("content", F.lit("withheld"))
+    store.upsert(toxic.withColumn("created_at", F.timestamp_seconds(F.col("doc_id") + 1_000_000)), ["doc_id"])
+    rows = store.read().withColumn("bucket", store.bucket()).join(store.versions(), "bucket")
+    return rows.select("namespace", "chunk_id", F.md5(F.col("content").cast("binary")).alias("digest"), F.unix_seconds("created_at").alias("created_s"), "version")
+
+
 @named("a13_ingest_summary", """
 SELECT namespace, kind, n_chunks, sum(n_chunks) OVER (PARTITION BY namespace) AS n_total
 FROM (SELECT lang AS namespace, source AS kind, count(*) AS n_chunks FROM documents GROUP BY 1, 2)""")

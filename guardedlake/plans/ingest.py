@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from guardedlake.operators.corpus import embed, embed_by_hash, enrich_tables, last_in_batch, reset_namespace, split_documents, upsert
 from guardedlake.session import fresh_path
+from guardedlake.sources.chunk_store import ChunkStore
 from guardedlake.sources.tables import save_partitioned
 
 STORED_SCHEMA = ("namespace string, chunk_id string, kind string, title string, content string, embed_text string, "
@@ -42,6 +43,14 @@ def ingest(docs: DataFrame, stored: DataFrame, namespace: str | Column, created_
     return upsert(stored, incoming, ["doc_id", "pos"])
 
 
+def ingest_into(store: ChunkStore, docs: DataFrame, namespace: str | Column, created_at: Column, reset: str | None = None,
+                samples: DataFrame | None = None, encoder=None, dim: int = 1536, strict: bool = False) -> int:
+    """Bring documents into a bucketed chunk store; only buckets of their chunks are rewritten. Gives the new version."""
+    if reset is not None:
+        store.reset(reset)
+    return store.upsert(prepared_chunks(docs, namespace, created_at, samples, encoder, dim, strict), ["doc_id", "pos"])
+
+
 def store(chunks: DataFrame, name: str = "chunks") -> str:
     """Write a chunk table by namespace to a new folder and give its path.
 
