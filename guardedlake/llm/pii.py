@@ -70,7 +70,8 @@ KINDS = [
 ]
 # What an identifier may look like: something around an @, or seven digits and more.
 INSTANCE = r"(?:\G|(?<![^\x20\x09-\x0D@]))[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D@]++|[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"
-AROUND = 64
+# A word and the blanks before it.
+ONE = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"
 
 MIN_SUPPORT = 3
 CONFIDENT = 600_000
@@ -84,13 +85,18 @@ def base_spans(text: Column) -> Column:
     return F.array(*[F.when(F.contains(text, F.lit(k.needs)), spans(text, k.pattern, k.good)).otherwise(none) if k.needs else spans(text, k.pattern, k.good) for k in KINDS])
 
 
+def _last_words(text: Column) -> Column:
+    """The last two words of a text with the blanks behind them, found from its end."""
+    return F.reverse(F.regexp_extract(F.reverse(text), rf"^{ONE}(?:{ONE})?", 0))
+
+
 def _instances(text: Column) -> Column:
     """Identifier-like pieces with their places and what stands around them."""
     def body(c):
         places = F.sequence(F.lit(0), F.size(c.matches) - 1)
         return F.transform(places, lambda i: F.struct(
             F.get(c.starts, i).alias("start"), (F.get(c.starts, i) + F.length(F.get(c.matches, i))).alias("end"), F.get(c.matches, i).alias("match"),
-            F.right(F.get(c.pieces, i), F.lit(AROUND)).alias("before"), F.left(F.get(c.pieces, i + 1), F.lit(AROUND)).alias("after")))
+            _last_words(F.get(c.pieces, i)).alias("before"), F.regexp_extract(F.get(c.pieces, i + 1), rf"^{ONE}", 0).alias("after")))
 
     return cut(text, INSTANCE, body, F.array().cast("array<struct<start:bigint,end:bigint,match:string,before:string,after:string>>"))
 

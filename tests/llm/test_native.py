@@ -154,6 +154,17 @@ def test_found_identifiers_give_further_ones_away(spark):
         assert got[i].startswith("phone:") != text.startswith("The sum"), text
 
 
+@pytest.mark.parametrize("shift", [0, 200])
+def test_contexts_are_whole_words(spark, shift):
+    """Words that end alike, however long, are different contexts."""
+    known, other = "a" * 7 + "z" * (64 + shift), "b" * 9 + "z" * (64 + shift)
+    ids = [f"(555) 01{i:05}" for i in range(24)]
+    rows = [f"word {known} +1 555 020{i:04} end" for i in range(60)] + [f"word {known} {x} end" for x in ids[:12]] + [f"word {other} {x} end" for x in ids[12:]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(df).collect()}
+    assert all(got[i].startswith("phone:") == (known in text) for i, text in enumerate(rows))
+
+
 def test_redaction_keeps_columns(odd):
     out = pii.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
