@@ -5,10 +5,11 @@ any store that Spark reaches; a record ends with the blank lines that the format
 for, which are the writer's line separator. Files end after a number of records that
 keeps each, and with it what a reading task holds, near a chosen size.
 
-For resolution only headers are shuffled: payload digest, length and page. Each payload's
-record with the smallest page id becomes the response, the others revisit records with
-fresh headers that name it. Minima are taken before the shuffle, and the join that tells
-each page its response is one that Spark splits where one payload is very common. When
+For resolution the smallest page id of each payload is found from headers alone: digest,
+length and page, reduced before the shuffle. Its record becomes the response, the others
+revisit records with fresh headers that name it. The join that tells each page its
+response moves whole records, payloads included, once by digest; Spark splits it where
+one payload is very common. When
 archives are read back, revisit records are joined to their responses by page, which
 gives their payloads' length.
 
