@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from guardedlake.functions.text import account_class, currency
-from guardedlake.operators import metrics, quality, refine, sessions
+from guardedlake.functions.text import ACCOUNT_CLASSES, account_class, currency
+from guardedlake.operators import metrics, quality, ranges, refine, sessions
 from guardedlake.plans.answer_queries import log_sql, run_log
-from guardedlake.plans.registry import named
+from guardedlake.plans.registry import NAMED, named
 from guardedlake.plans.session_queries import messages
+from guardedlake.session import materialise
 from guardedlake.sources.tables import Tables
 
 
@@ -26,6 +27,19 @@ def g01(spark, folder):
     return metrics.latency_summary(q, ["event_type"])
 
 
+@named("g01_latency_sketches", """
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS query_count, CAST(sum(CAST(round(value * 300) AS BIGINT)) AS BIGINT) AS total_ms,
+  max(CAST(round(value * 300) AS BIGINT)) AS max_ms, true AS within_error FROM events GROUP BY 1, 2""")
+def g01_sketches(spark, folder):
+    """Days merged from stored hours; the quantiles are held against the ranks of all rows."""
+    q = Tables(spark, folder).events.select("event_type", F.date_trunc("hour", "ts").alias("hour"), F.round(F.col("value") * 300).cast("bigint").alias("latency_ms"))
+    hours = materialise(metrics.latency_sketches(q, ["hour", "event_type"]), "hourly-sketches")
+    day = F.date_format("hour", "yyyy-MM-dd").alias("day")
+    days = metrics.sketched_quantiles(metrics.merge_sketches(hours, [day, "event_type"]))
+    errors = metrics.rank_errors(days, q.withColumn("day", day), ["day", "event_type"])
+    return days.join(errors, ["day", "event_type"]).select("day", "event_type", "query_count", "total_ms", "max_ms", (F.col("rank_error") <= metrics.RANK_ERROR).alias("within_error"))
+
+
 @named("g02_iterations", log_sql() + """
 , r AS (SELECT request_id, count(DISTINCT iteration) AS iterations, bool_or(success) AS success FROM log GROUP BY 1)
 SELECT count(*) AS n, CAST(sum(iterations) AS BIGINT) AS total, max(iterations) AS most, avg(iterations) AS mean FROM r WHERE success""")
@@ -132,3 +146,23 @@ SELECT p_partkey, code, CASE WHEN code BETWEEN 1000 AND 1999 THEN 'ASSET' WHEN c
 def h05(spark, folder):
     a = Tables(spark, folder).part.select("p_partkey", ((F.col("p_partkey") * 37) % 6500 + 900).alias("code"))
     return a.withColumn("account_class", account_class("code"))
+
+
+@named("h05_class_table", NAMED["h05_account_classes"].sql)
+def h05_table(spark, folder):
+    """The same classes, from a table of ranges."""
+    a = Tables(spark, folder).part.select("p_partkey", ((F.col("p_partkey") * 37) % 6500 + 900).alias("code"))
+    classes = spark.createDataFrame(ACCOUNT_CLASSES, "low bigint, high bigint, account_class string")
+    return ranges.range_join(a, "code", classes, "low", "high", "left").select("p_partkey", "code", "account_class")
+
+
+# One range a supplier: of 21 numbers, of 901, or empty.
+@named("h05_overlapping_ranges", """
+WITH r AS (SELECT s_suppkey, s_suppkey * 20 AS low, CASE WHEN s_suppkey % 97 = 0 THEN s_suppkey * 20 + 900 WHEN s_suppkey % 10 = 0 THEN s_suppkey * 20 - 1 ELSE s_suppkey * 20 + 20 END AS high FROM supplier)
+SELECT p_partkey, count(s_suppkey) AS n_ranges, CAST(coalesce(sum(s_suppkey), 0) AS BIGINT) AS suppliers FROM part LEFT JOIN r ON p_partkey BETWEEN low AND high GROUP BY 1""")
+def h05_overlapping(spark, folder):
+    t = Tables(spark, folder)
+    low = F.col("s_suppkey") * 20
+    high = F.when(F.col("s_suppkey") % 97 == 0, low + 900).when(F.col("s_suppkey") % 10 == 0, low - 1).otherwise(low + 20)
+    met = ranges.range_join(t.part.select("p_partkey"), "p_partkey", t.supplier.select("s_suppkey", low.alias("low"), high.alias("high")), "low", "high", "left")
+    return met.groupBy("p_partkey").agg(F.count("s_suppkey").alias("n_ranges"), F.coalesce(F.sum("s_suppkey"), F.lit(0)).alias("suppliers"))
