@@ -116,3 +116,25 @@ def delete_sessions(messages: DataFrame, deleted: DataFrame) -> DataFrame:
 def active_count(messages: DataFrame) -> DataFrame:
     """Number of sessions that hold a message; two-step, so it is spread over keys."""
     return messages.select("session_key").distinct().agg(F.count(F.lit(1)).alias("active_sessions"))
+
+
+ACTIVE_BITS = 14  # a sketch has 2 ** 14 registers, and keeps short lists of keys as they are
+ACTIVE_ERROR = 0.05  # six standard errors of such a sketch
+
+
+def active_sketches(accesses: DataFrame, by: list[str | Column], key: str = "session_key") -> DataFrame:
+    """``(by, active)``: a sketch of the distinct keys of each group, to be stored.
+
+    Built map-side and of bounded size, so neither keys nor accesses are shuffled. Null
+    keys are nobody's and don't count.
+    """
+    return accesses.groupBy(*by).agg(F.hll_sketch_agg(key, F.lit(ACTIVE_BITS)).alias("active"))
+
+
+def merged_active(stored: DataFrame, by: list[str | Column]) -> DataFrame:
+    """``(by, active_sessions)`` of stored sketches: a key that several of them hold counts once.
+
+    The number is off by less than ``ACTIVE_ERROR`` of itself. Storing a period twice
+    changes nothing, so a batch that is written again after a failure does no harm.
+    """
+    return stored.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("active")).alias("active_sessions"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from guardedlake.operators import feed, sessions
 from guardedlake.plans.registry import named
+from guardedlake.session import fresh_path, materialise
+from guardedlake.sources.documents import read_lines
 from guardedlake.sources.tables import Tables
 
 _STAMP, _STAMP_SQL = "yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"
@@ -119,6 +121,26 @@ def f07_active(spark, folder):
     return sessions.active_count(messages(spark, folder))
 
 
+@named("f07_active_by_period", """
+WITH e AS (SELECT 'tenant-' || (event_id % 3) AS tenant_id, user_id, strftime(ts, '%Y-%m-%d') AS day, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week FROM events)
+SELECT tenant_id, 'week' AS period, week AS since, count(DISTINCT user_id) AS exact, true AS within_error FROM e GROUP BY 1, 3
+UNION ALL SELECT tenant_id, 'all', min(day), count(DISTINCT user_id), true FROM e GROUP BY 1""")
+def f07_periods(spark, folder):
+    """Active users of weeks and of all days, from stored sketches of days, beside the exact number."""
+    e = Tables(spark, folder).events.select(F.concat(F.lit("tenant-"), (F.col("event_id") % 3).cast("string")).alias("tenant_id"), "user_id", F.to_date("ts").alias("day"))
+    week = F.date_format(F.date_trunc("week", "day"), "yyyy-MM-dd")
+    days = materialise(sessions.active_sketches(e, ["tenant_id", "day"], "user_id"), "daily-active")
+    first = days.groupBy("tenant_id").agg(F.date_format(F.min("day"), "yyyy-MM-dd").alias("since"))
+
+    def beside(period, sketched, exact):
+        near = F.abs(F.col("active_sessions") - F.col("exact")) <= F.col("exact") * sessions.ACTIVE_ERROR
+        return sketched.join(exact, [c for c in ("tenant_id", "since") if c in exact.columns]).select("tenant_id", F.lit(period).alias("period"), "since", "exact", near.alias("within_error"))
+
+    count = F.count_distinct("user_id").alias("exact")
+    weeks = beside("week", sessions.merged_active(days, ["tenant_id", week.alias("since")]), e.groupBy("tenant_id", week.alias("since")).agg(count))
+    return weeks.unionByName(beside("all", sessions.merged_active(days, ["tenant_id"]).join(first, "tenant_id"), e.groupBy("tenant_id").agg(count)))
+
+
 @named("f08_concurrent_writers", _MESSAGES_SQL + """
 SELECT session_key, seq, role, content FROM (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY seq DESC) AS n FROM messages) WHERE n <= 20""")
 def f08(spark, folder):
@@ -138,6 +160,23 @@ def f09(spark, folder):
     return feed.parse_events(lines, span=8_000)
 
 
+_LOG = 200_000  # events to a log
+
+
+@named("f09_log_files", f"""
+SELECT event_id // {_LOG} AS log, 3 * (row_number() OVER (PARTITION BY event_id // {_LOG} ORDER BY event_id) - 1) AS event_no, event_type AS type, props AS payload
+FROM events QUALIFY event_id % 9 <> 0""")
+def f09_files(spark, folder):
+    """Logs as files, written once and read back by all the splits that they are cut into."""
+    data = F.when(F.col("event_id") % 9 == 0, ": none").otherwise(F.concat(F.lit("data: "), "props"))
+    cells = Tables(spark, folder).events.select(F.floor(F.col("event_id") / _LOG).alias("log"), "event_id",
+                                                F.concat(F.lit("event: "), "event_type", F.lit("\n"), data, F.lit("\n")).alias("value"))
+    out = fresh_path(spark, "event-logs")
+    cells.repartition("log").sortWithinPartitions("log", "event_id").select("log", "value").write.partitionBy("log").text(out)
+    events = feed.parse_events(read_lines(spark, out))
+    return events.select(F.regexp_extract("file", "log=([0-9]+)", 1).cast("bigint").alias("log"), "event_no", "type", "payload")
+
+
 @named("f10_message_reduction", r"""
 SELECT conv_id || '-' || turn AS message_id, CASE WHEN conv_id % 5 = 0 THEN 'Error: timeout' ||
     CASE WHEN contains(text, chr(10)) THEN replace(substring(text, instr(text, chr(10))), chr(10), '') ELSE '' END

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from guardedlake.operators import metrics
 from guardedlake.operators.corpus import ingest_summary
 from guardedlake.plans.guard_queries import _SCREEN_SQL
 from guardedlake.plans.registry import NAMED, named
@@ -50,6 +51,45 @@ def s02(spark, folder):
     return streams.read_sink(spark, out, "closed", schema).drop("batch").withColumn("window_start", F.date_format("window_start", _STAMP))
 
 
+# A window counts once all four of its panes are final, and holds the panes that have rows.
+@named("s02_sliding_metrics", """
+WITH q AS (SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) AS pane, CAST(round(value * 300) AS BIGINT) AS ms FROM events),
+w AS (SELECT pane - INTERVAL 15 MINUTE * b AS h, event_type, count(*) AS query_count, CAST(sum(ms) AS BIGINT) AS total_ms, max(ms) AS max_ms FROM q, range(4) AS r(b) GROUP BY 1, 2)
+SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, query_count, total_ms, max_ms, true AS within_error FROM w
+WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def s02_sliding(spark, folder):
+    """Quarters of an hour from the stream, merged to sliding hours; quantiles are held against the rows of the table."""
+    def timed(df):
+        return df.select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 300).cast("bigint").alias("latency_ms"))
+
+    out = fresh_path(spark, "panes")
+    _finish(streams.start(streams.windowed_sketches(timed(_arriving(spark, folder, "events")), ["event_type"]), streams.batch_sink(out, panes=lambda d: d), fresh_path(spark, "state")))
+    schema = "pane_start timestamp, event_type string, query_count bigint, total_ms bigint, max_ms bigint, sketch binary"
+    panes = streams.read_sink(spark, out, "panes", schema).drop("batch")
+    rows = timed(Tables(spark, folder).events)
+    # The watermark of the last batch: windows that end after it still lack panes.
+    final = rows.agg(F.max("ts") - F.make_dt_interval(mins=F.lit(10))).scalar()
+    hours = metrics.sketched_quantiles(metrics.sliding_panes(panes, ["event_type"], 3600, 900))
+    hours = hours.where(F.col("window_start") + F.make_dt_interval(hours=F.lit(1)) <= final)
+    windowed = rows.select("event_type", "latency_ms", F.window("ts", "1 hour", "15 minutes").start.alias("window_start"))
+    errors = metrics.rank_errors(hours, windowed, ["window_start", "event_type"])
+    return hours.join(errors, ["window_start", "event_type"]).select(
+        F.date_format("window_start", _STAMP).alias("window_start"), "event_type", "query_count", "total_ms", "max_ms", (F.col("rank_error") <= metrics.RANK_ERROR).alias("within_error"))
+
+
+@named("s02_agent_calls", """
+WITH c AS (SELECT 'agent-' || (user_id % 7) AS agent, event_type <> 'error' AS success, time_bucket(INTERVAL 30 MINUTE, ts) AS pane FROM events),
+w AS (SELECT pane - INTERVAL 30 MINUTE * b AS h, agent, success, count(*) AS calls FROM c, range(2) AS r(b) GROUP BY 1, 2, 3)
+SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start, agent, success, calls FROM w WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def s02_agents(spark, folder):
+    events = _arriving(spark, folder, "events")
+    calls = events.select("ts", F.concat(F.lit("agent-"), (F.col("user_id") % 7).cast("string")).alias("agent"), (F.col("event_type") != "error").alias("success"))
+    out = fresh_path(spark, "agent-calls")
+    _finish(streams.start(streams.windowed_agent_calls(calls, slide="30 minutes"), streams.batch_sink(out, closed=lambda d: d), fresh_path(spark, "state")))
+    done = streams.read_sink(spark, out, "closed", "window_start timestamp, agent string, success boolean, calls bigint").drop("batch")
+    return done.withColumn("window_start", F.date_format("window_start", _STAMP))
+
+
 @named("s03_live_sessions", """
 WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
 n AS (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e),

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from guardedlake.operators.guard import screen
+from guardedlake.operators.metrics import latency_sketches
 from guardedlake.operators.sessions import trimmed_history
 from guardedlake.plans.ingest import STORED_SCHEMA, prepared_chunks
 
@@ -79,10 +80,21 @@ def windowed_metrics(queries: DataFrame, by: list[str], ts: str = "ts", latency:
                     "query_count", "total_ms", "max_ms"))
 
 
-def windowed_agent_calls(calls: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def windowed_sketches(queries: DataFrame, by: list[str], ts: str = "ts", latency: str = "latency_ms", pane: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
+    """Count, total, maximum and a quantile sketch per pane, final when the watermark passes it.
+
+    The state of a pane is its sketch, of bounded size; ``metrics.sliding_panes`` and
+    ``metrics.merge_sketches`` make windows of any length of the panes in the sink.
+    """
+    rows = queries.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    return (latency_sketches(rows, [F.window(ts, pane), *by], latency)
+            .select(F.col("window.start").alias("pane_start"), *by, "query_count", "total_ms", "max_ms", "sketch"))
+
+
+def windowed_agent_calls(calls: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Calls by agent and outcome per window."""
     rows = calls.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    return (rows.groupBy(F.window(ts, width), "agent", "success").agg(F.count(F.lit(1)).alias("calls"))
+    return (rows.groupBy(F.window(ts, width, slide) if slide else F.window(ts, width), "agent", "success").agg(F.count(F.lit(1)).alias("calls"))
             .select(F.col("window.start").alias("window_start"), "agent", "success", "calls"))
 
 
