@@ -87,17 +87,14 @@ def _violations(table, rule, sql):
 ]))
 def h01(spark, folder):
     t = Tables(spark, folder)
-    rules = [quality.not_null("o_custkey"), quality.one_of("o_orderstatus", ["F", "O"]), quality.max_length("o_orderpriority", 8)]
-    return quality.audit(
-        quality.audit_rows("orders", t.orders, rules),
-        quality.audit_unique("orders", t.orders, ["o_orderkey"]),
-        quality.audit_unique("lineitem", t.lineitem, ["l_orderkey", "l_linenumber"]),
-        quality.audit_foreign_key("orders", t.orders, "o_custkey", t.customer, "c_custkey"),
-        quality.audit_foreign_key("lineitem", t.lineitem, "l_orderkey", t.orders, "o_orderkey"),
-        quality.audit_foreign_key("lineitem", t.lineitem, "l_partkey", t.part, "p_partkey"),
-        quality.audit_foreign_key("lineitem", t.lineitem, "l_suppkey", t.supplier, "s_suppkey"),
-        quality.audit_foreign_key("nation", t.nation, "n_regionkey", t.region, "r_regionkey"),
-        quality.audit_foreign_key("events", t.events, "user_id", t.customer.where("c_acctbal > 0"), "c_custkey"))
+    rules = (quality.not_null("o_custkey"), quality.one_of("o_orderstatus", ["F", "O"]), quality.max_length("o_orderpriority", 8))
+    key = quality.ForeignKey
+    return quality.audit_tables({n: t.scan(n) for n in ("orders", "lineitem", "customer", "part", "supplier", "nation", "region", "events")}, {
+        "orders": quality.TableRules(rules, (("o_orderkey",),), (key("o_custkey", "customer", "c_custkey"),)),
+        "lineitem": quality.TableRules((), (("l_orderkey", "l_linenumber"),), (
+            key("l_orderkey", "orders", "o_orderkey"), key("l_partkey", "part", "p_partkey"), key("l_suppkey", "supplier", "s_suppkey"))),
+        "nation": quality.TableRules(foreign=(key("n_regionkey", "region", "r_regionkey"),)),
+        "events": quality.TableRules(foreign=(key("user_id", "customer", "c_custkey", F.col("c_acctbal") > 0),))})
 
 
 _QUARTERS = ["q1_amount", "q2_amount", "q3_amount", "q4_amount"]
