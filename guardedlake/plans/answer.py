@@ -122,6 +122,8 @@ def answer(requests: DataFrame, agents: list[route.Agent], user: Round, prompts:
     routed = materialise(route.route(asked, agents, replies, threshold=route_threshold).select("request_id", "targets", "confidence", "reasoning"), "routed")
     why = routed.select("request_id", "confidence", "reasoning")
     calls, lost = route.resolve_agents(routed.join(asked.select("request_id", "query"), "request_id"), route.agents_frame(requests.sparkSession, agents))
+    # Every round reads the calls; they are resolved once.
+    calls, lost = materialise(calls, "calls"), materialise(lost, "lost")
     lost = lost.select("request_id", F.col("error_message").alias("response"), F.lit(0).alias("iterations"), none.alias("agents_used"),
                        F.lit(0.0).alias("quality_score"), F.lit("error").alias("status")).join(why, "request_id")
     open_rows = asked.select("request_id", "session_key", "query").join(calls.select("request_id").distinct(), "request_id", "left_semi")

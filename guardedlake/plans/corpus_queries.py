@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guardedlake.functions.text import slug
 from guardedlake.operators import corpus
-from guardedlake.plans.ingest import STORED_SCHEMA, ingest
+from guardedlake.plans.ingest import STORED_SCHEMA, ingest, ingest_into
 from guardedlake.plans.registry import named
 from guardedlake.sources import catalog
 from guardedlake.sources.chunk_store import ChunkStore
@@ -254,3 +257,24 @@ def a14(spark, folder):
     chunks = materialise(chunks, "chunks")  # what follows reads the stored table, not the documents
     content = chunks.where("embedding IS NOT NULL").select("namespace", "kind", "content")
     return corpus.ingest_summary(chunks).join(content, ["namespace", "kind"])
+
+
+# All documents, then the good ones again with sample rows, after the English ones have been taken out.
+@named("a14_samples_and_reset", rf"""
+WITH d AS (SELECT d.doc_id, lang, text, CASE WHEN d.doc_id % 2 = 0 THEN 'nation' ELSE 'region' END AS t, coalesce(quality, 0) = 1 AS good FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+samples AS (SELECT 'nation' AS t, substring(content, 15) AS s FROM ({_sample_sql("nation")}) UNION ALL SELECT 'region', substring(content, 15) FROM ({_sample_sql("region")})),
+c AS (SELECT lang, 'overview' AS chunk_id, doc_id, good, regexp_replace('# Document ' || doc_id || chr(10) || chr(10) || text, '^\s+|\s+$', '', 'g') AS plain, '' AS s FROM d
+  UNION ALL SELECT lang, 'table:' || d.t, doc_id, good, '## ' || d.t || chr(10) || chr(10) || 'Language ' || lang, samples.s FROM d JOIN samples USING (t)),
+k AS (SELECT lang, chunk_id, bool_or(good) AS again, arg_max(plain, doc_id) AS first, arg_max(plain || s, doc_id) FILTER (good) AS second FROM c GROUP BY 1, 2)
+SELECT lang AS namespace, chunk_id, md5(CASE WHEN again THEN second ELSE first END) AS digest, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS created_s FROM k WHERE again OR lang <> 'en'""")
+def a14_samples(spark, folder):
+    t = Tables(spark, folder)
+    table = F.when(F.col("doc_id") % 2 == 0, "nation").otherwise("region")
+    text = F.concat(F.lit("# Document "), F.col("doc_id").cast("string"), F.lit("\n\n"), "text", F.lit("\n\n## "), table, F.lit("\n\nLanguage "), "lang")
+    docs = t.spread("documents").select("doc_id", text.alias("text"), F.col("lang").alias("ns"))
+    store = ChunkStore.create(spark, fresh_path(spark, "sampled-store"), spark.createDataFrame([], STORED_SCHEMA).schema, _BUCKETS)
+    ingest_into(store, docs, F.col("ns"), F.timestamp_seconds(F.lit(1)), dim=_DIM)
+    samples = reduce(DataFrame.unionByName, [corpus.sample_markdown(n, t.scan(n).select(*_SAMPLED[n][1]), _SAMPLED[n][0].split(", ")) for n in ("nation", "region")])
+    good = docs.join(t.labels.where("quality = 1").select("doc_id"), "doc_id")
+    ingest_into(store, good, F.col("ns"), F.timestamp_seconds(F.lit(2)), reset="en", samples=samples, dim=_DIM)
+    return store.read().select("namespace", "chunk_id", F.md5(F.col("content").cast("binary")).alias("digest"), F.unix_seconds("created_at").alias("created_s"))

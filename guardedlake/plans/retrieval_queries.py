@@ -146,6 +146,19 @@ def b06(spark, folder):
     return out.select("conv_id", "turn", F.md5(F.col("context").cast("binary")).alias("digest"), "fell_back")
 
 
+@named("b06_fallback_after_retrieval", _CONTEXT_SQL + """
+SELECT query_id, md5(coalesce(context, 'the whole reference')) AS digest, context IS NULL AS fell_back FROM contexts
+UNION ALL SELECT -1 - chunk_id, md5('the whole reference'), true FROM chunks""")
+def b06_retrieved(spark, folder):
+    """Each vector asks in its own namespace, and again in one that nothing was ingested into."""
+    chunks, asked = vector_chunks(spark, folder), vector_queries(spark, folder)
+    elsewhere = asked.withColumn("query_id", -1 - F.col("query_id")).withColumn("namespace", F.concat(F.lit("new-"), "namespace"))
+    both = asked.unionByName(elsewhere)
+    found = retrieve.assemble(retrieve.cosine_topk(both, retrieve.without_kinds(chunks)), chunks, both)
+    out = retrieve.with_fallback(found.withColumn("fell_back", F.col("context").isNull()), "the whole reference")
+    return out.select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"), "fell_back")
+
+
 TEMPLATE = "Answer from the tables below.\n\n# Tables\n{schemaContext}\n\nGive SQL first."
 
 
