@@ -130,6 +130,30 @@ def s03_live(spark, folder):
     return streams.read_sink(spark, out, "history", streams.HISTORY_SCHEMA).drop("batch")
 
 
+# The earlier half of the time, then a restart and the later half: sessions that the first run ended begin anew.
+@named("s03_session_state", """
+WITH mid AS (SELECT epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) // 2 AS us FROM events),
+m AS (SELECT 'u-' || user_id AS session_key, event_id AS seq, event_type AS role, props AS content, ts, epoch_us(ts) > us AS later FROM events, mid),
+ended AS (SELECT session_key FROM m WHERE NOT later GROUP BY 1 HAVING max(ts) + INTERVAL 40 MINUTE < (SELECT max(ts) FROM m WHERE NOT later)),
+live AS (SELECT * FROM m WHERE later OR session_key NOT IN (SELECT session_key FROM ended)),
+seen AS (SELECT * FROM live WHERE session_key IN (SELECT session_key FROM m WHERE later)),
+told AS (SELECT 1 AS run, session_key, seq, role, content FROM m WHERE NOT later UNION ALL SELECT 2, session_key, seq, role, content FROM seen)
+SELECT session_key, seq, role, content, false AS expired FROM (SELECT *, row_number() OVER (PARTITION BY run, session_key ORDER BY seq DESC) AS n FROM told) WHERE n <= 5
+UNION ALL SELECT session_key, -1, '', '', true FROM ended
+UNION ALL SELECT session_key, -1, '', '', true FROM live GROUP BY 1 HAVING max(ts) + INTERVAL 40 MINUTE < (SELECT max(ts) FROM m)""")
+def s03_state(spark, folder):
+    e = Tables(spark, folder).events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    middle = e.agg(F.min("us") + F.floor((F.max("us") - F.min("us")) / 2)).scalar()
+    arriving, out, state = fresh_path(spark, "arriving"), fresh_path(spark, "session-state"), fresh_path(spark, "state")
+    for half, which in (("earlier", F.col("us") <= middle), ("later", F.col("us") > middle)):
+        e.where(which).drop("us").write.parquet(f"{arriving}/{half}")
+        rows = streams.stream_table(spark, f"{arriving}/*")
+        messages = rows.select(F.concat(F.lit("u-"), F.col("user_id").cast("string")).alias("session_key"), F.col("event_id").alias("seq"), F.col("event_type").alias("role"),
+                               F.col("props").alias("content"), "ts")
+        _finish(streams.start(streams.session_state(messages, 5), streams.batch_sink(out, history=lambda d: d), state, rocksdb=True))
+    return streams.read_sink(spark, out, "history", streams.HISTORY_SCHEMA).drop("batch")
+
+
 @named("s04_ingest_stream", NAMED["a14_ingest_job"].sql)
 def s04(spark, folder):
     docs = _arriving(spark, folder, "documents")

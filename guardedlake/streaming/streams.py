@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from guardedlake.operators.guard import screen
@@ -53,11 +53,28 @@ def read_sink(spark: SparkSession, path: str, branch: str, schema: str) -> DataF
         return spark.createDataFrame([], schema)
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def start(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
-          once: bool = True) -> StreamingQuery:
-    """Start a stream; ``once`` works off what there is and ends."""
+          once: bool = True, rocksdb: bool = False) -> StreamingQuery:
+    """Start a stream; ``once`` works off what there is and ends.
+
+    ``rocksdb`` keeps this stream's state in RocksDB. A stream takes the session's
+    settings when it starts, so the setting is put back at once.
+    """
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    writer = writer.trigger(availableNow=True) if once else writer
+    if not rocksdb:
+        return writer.start()
+    conf = df.sparkSession.conf
+    before = conf.get(_PROVIDER, None)
+    conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        conf.unset(_PROVIDER) if before is None else conf.set(_PROVIDER, before)
 
 
 def screen_stream(statements: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -142,6 +159,53 @@ def live_history(messages: DataFrame, keep: int = 20, idle_ms: int = 30 * 60 * 1
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def session_state(messages: DataFrame, keep: int = 20, idle_ms: int = 30 * 60 * 1000, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """``live_history`` on keyed state and timers: a batch writes the messages it brings, not the whole state.
+
+    The state of a session is a map of its last ``keep`` messages by ``seq`` and the time
+    of its timer; messages that fall out are removed one by one, and the timer is moved
+    with each access. When it fires, the session gives its last row and its state is
+    dropped; a message that comes later begins a new one. A repeated ``seq`` replaces the
+    message. Needs a RocksDB state store: ``start(..., rocksdb=True)``.
+    """
+    rows = (messages.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+            .select("session_key", "seq", "role", "content", F.col(ts).alias("ts")))
+
+    class Sessions(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.kept = handle.getMapState("kept", "seq bigint", "role string, content string")
+            self.timer = handle.getValueState("timer", "at bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            last = 0
+            for batch in rows:
+                last = max(last, int(batch["ts"].max().timestamp() * 1000))
+                # More than the last messages of a batch can't be kept, so no more are written.
+                for seq, role, text in batch.drop_duplicates("seq", keep="last").nlargest(keep, "seq")[["seq", "role", "content"]].itertuples(index=False):
+                    self.kept.updateValue((int(seq),), (role, text))
+            for seq in sorted(k[0] for k in self.kept.keys())[:-keep]:
+                self.kept.removeKey((seq,))
+            before, at = self.timer.get()[0] if self.timer.exists() else None, max(last + idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
+            if before is None or at > before:
+                if before is not None:
+                    self.handle.deleteTimer(before)
+                self.handle.registerTimer(at)
+                self.timer.update((at,))
+            held = sorted((k[0], *v) for k, v in self.kept.iterator())
+            yield pd.DataFrame(held, columns=["seq", "role", "content"]).assign(session_key=key[0], expired=False)[["session_key", "seq", "role", "content", "expired"]]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.kept.clear()
+            self.timer.clear()
+            yield pd.DataFrame({"session_key": [key[0]], "seq": [-1], "role": [""], "content": [""], "expired": [True]})
+
+        def close(self):
+            pass
+
+    return rows.groupBy("session_key").transformWithStateInPandas(Sessions(), HISTORY_SCHEMA, "Append", "EventTime")
+
+
 _MESSAGES = "session_key string, seq bigint, role string, content string"
 
 

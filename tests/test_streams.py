@@ -140,3 +140,25 @@ def test_history_stream_equals_batch_trim(spark, tmp_path):
     stream = streams.stream_table(spark, str(tmp_path / "in"), files_per_batch=1)
     streams.history_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), keep=2).awaitTermination()
     assert sorted(r["seq"] for r in streams.current_history(spark, str(tmp_path / "out"), 2).collect()) == [4, 5]
+
+
+def test_session_state_over_restarts(spark, tmp_path):
+    """Trims, replaces, moves the timer, ends and begins anew, on a state that outlives the query."""
+    first = list(range(40))
+    put(tmp_path / "in", "a", ts=at(*[0] * 40, 5, 5), session_key=["hot"] * 40 + ["b", "b"], seq=[*first, 1, 1], role=["USER"] * 42, content=[f"m{i}" for i in first] + ["old", "new"])
+    schema, out, state = spark.read.parquet(str(tmp_path / "in")).schema, str(tmp_path / "out"), str(tmp_path / "state")
+    sink = streams.batch_sink(out, history=lambda d: d)
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+    def once():
+        seen = {r[0] for r in rows(streams.read_sink(spark, out, "history", streams.HISTORY_SCHEMA).select("batch"))}
+        run(spark, streams.session_state(streams.stream_table(spark, str(tmp_path / "in"), schema), 3), sink, state, rocksdb=True)
+        return sorted((r[0], r[1], r[3], r[4]) for r in rows(streams.read_sink(spark, out, "history", streams.HISTORY_SCHEMA)) if r[5] not in seen)
+
+    assert once() == [("b", 1, "new", False), ("hot", 37, "m37", False), ("hot", 38, "m38", False), ("hot", 39, "m39", False)]
+    # An earlier seq that is no longer among the last, and one that replaces; b's timer is not moved, so b ends.
+    put(tmp_path / "in", "b", ts=at(25, 25, 46), session_key=["hot", "hot", "c"], seq=[3, 39, 1], role=["USER"] * 3, content=["late", "m39b", "x"])
+    assert once() == [("b", -1, "", True), ("c", 1, "x", False), ("hot", 37, "m37", False), ("hot", 38, "m38", False), ("hot", 39, "m39b", False)]
+    put(tmp_path / "in", "c", ts=at(47, 100), session_key=["b", "d"], seq=[2, 1], role=["USER"] * 2, content=["again", None])
+    assert once() == [("b", -1, "", True), ("b", 2, "again", False), ("c", -1, "", True), ("d", 1, None, False), ("hot", -1, "", True)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
