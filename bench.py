@@ -26,6 +26,7 @@ HEADLINE = [
     "c08_result_markdown", "c09_keyword_frequency", "d03_routes", "d07_answer_bank", "d11_redaction", "e01_refinement", "e02_run_log_replay",
     "e05_consolidation", "f03_trimmed_history", "f05_idle_sessions", "f09_event_lines", "f10_message_reduction", "g01_latency",
     "h01_constraint_audit", "s02_windowed_metrics", "l01_question_to_answer", "s01_screen_stream", "s03_live_sessions", "s03_live_history", "s04_ingest_stream",
+    "f09_log_files", "g01_latency_sketches", "h05_overlapping_ranges", "s02_sliding_metrics", "l01_context_and_history",
 ]
 
 
