@@ -104,9 +104,22 @@ def _slide(values: np.ndarray, best: np.ufunc) -> np.ndarray:
     return best(out[:len(out) - rest], out[rest:]) if rest else out
 
 
+def _close(numbers: np.ndarray) -> np.ndarray:
+    """A list as steps from each number to the next, their bytes by place: small steps leave runs of zeros, which shuffle files pack."""
+    step = np.diff(numbers, prepend=numbers.dtype.type(0))
+    step = step << 1 ^ step >> (8 * step.itemsize - 1)
+    return np.ascontiguousarray(step.view(np.uint8).reshape(-1, step.itemsize).T).reshape(-1).view(step.dtype)
+
+
+def _open(packed: np.ndarray) -> np.ndarray:
+    step = np.ascontiguousarray(packed.view(np.uint8).reshape(packed.itemsize, len(packed)).T).reshape(-1).view(packed.dtype)
+    step = step >> 1 & np.iinfo(step.dtype).max ^ -(step & 1)
+    return np.cumsum(step, dtype=step.dtype)
+
+
 def _rows(rows: list[tuple]) -> pa.Table:
     kinds = (pa.int64(), pa.int32(), pa.int64(), *(pa.list_(pa.int64()),) * 4)
-    columns = list(zip(*rows, strict=True)) or [[]] * 7
+    columns = list(zip(*((*r[:3], *(_close(np.asarray(x, dtype=np.int64)) for x in r[3:])) for r in rows), strict=True)) or [[]] * 7
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["to", "kind", "block", "a", "b", "c", "d"])
 
 
@@ -156,9 +169,13 @@ def _later(names: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 
 def _list(table: pa.Table, name: str) -> np.ndarray:
+    """All entries of a column of closed lists."""
     column = table.column(name).combine_chunks()
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False) if len(column) else NONE
+    if not len(column):
+        return NONE
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    return np.concatenate([_open(x) for x in np.split(column.flatten().to_numpy(zero_copy_only=False), ends[:-1])])
 
 
 def _per_entry(table: pa.Table, name: str, of: str) -> np.ndarray:
@@ -207,7 +224,7 @@ def _sieve(buckets: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _sieve_rows(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    columns = list(zip(*((*r[:3], _close(r[3])) for r in rows), strict=True)) or [[]] * 4
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())), strict=True)], names=["bucket", "block", "twice", "low"])
 
 
@@ -319,7 +336,9 @@ def _contexts(buckets: int) -> Callable[[pa.Table], pa.Table]:
         context, doc = (np.concatenate(c) for c in zip(*parts, strict=True))
         later = _later(context, doc)
         one, first = np.unique(context[~later], return_index=True)
-        rows = _dealt(CONTEXT, block, buckets, one, doc[~later][first])
+        doc = doc[~later][first]
+        order = np.argsort(doc, kind="stable")
+        rows = _dealt(CONTEXT, block, buckets, one[order], doc[order])
         half, context = (np.concatenate(c) for c in zip(*half_parts, strict=True))
         order = np.lexsort((context, half))
         first = np.flatnonzero(np.concatenate(([True], half[order][1:] != half[order][:-1]))) if len(half) else NONE
@@ -399,7 +418,9 @@ def _strings(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             text, doc, no, begin = (np.concatenate(c) for c in zip(*found, strict=True))
             gone = _later(text, doc)
             rows += _covers(block, doc[gone], no[gone], begin[gone], begin[gone] + LENGTH)
-            rows += _dealt(STRING, block, buckets, text[~gone], doc[~gone], no[~gone], begin[~gone])
+            order = np.lexsort((begin, no, doc))
+            order = order[~gone[order]]
+            rows += _dealt(STRING, block, buckets, text[order], doc[order], no[order], begin[order])
         return _rows(rows)
 
     return run
@@ -455,6 +476,13 @@ def _cut(table: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Figures about texts that lose nothing."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        yield from _cut(table, table.slice(0, 0)).to_batches()
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of what is left.
 
@@ -473,5 +501,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     strings = regions.cogroup(judged.groupBy("block")).applyInArrow(_strings(blocks), MESSAGE)
     spans = strings.groupBy("to").applyInArrow(_settled, "block bigint, no bigint, start bigint, end bigint")
     cut = texts.cogroup(spans.groupBy("block")).applyInArrow(_cut, CUT)
-    without_id = packed.where(F.col("doc").isNull()).withColumn("row", F.spark_partition_id()).groupBy("row")
-    return cut.unionByName(without_id.applyInArrow(lambda t: _cut(t, t.slice(0, 0)), CUT))
+    without_id = packed.where(F.col("doc").isNull())
+    return cut.unionByName(without_id.mapInArrow(_whole, CUT))
