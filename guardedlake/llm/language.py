@@ -8,18 +8,23 @@ largest corrected count names the language.
 
 A language has a trigram if it is about as usual there as anywhere: its share among the
 language's trigrams is at least a quarter of the greatest such share. Counts cover all
-labelled documents outside the held-out fifth; what reaches the driver is the filter,
-whose size is a parameter.
+labelled documents outside the held-out fifth and are written once. A trigram counts
+for a language from a share of 1 in LEAST_SHARE of all its trigrams, at every size of
+the input, so no language keeps more than LEAST_SHARE of them. The filter's size is
+taken from the number that the richest language keeps: at most an eighth of its bits
+are set, and it never has more than ROOM * HASHES * LEAST_SHARE rows (32 MB for each 64
+languages). This filter is what reaches the driver and the tasks.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or where
 nothing has been learned. Null labels teach nothing. Ties go to the first language by
-name. Rows with a null id are not held out. Equal rows give equal results; columns
+name. Texts of any length are read whole, in pieces; an empty table gives no rows and
+teaches nothing. Rows with a null id are not held out. Equal rows give equal results; columns
 other than those named are not read, and the label never is for a prediction.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,12 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardedlake.llm.wordhash import U, mix
+from guardedlake.session import materialise
 
 FOLDS = 5
-FILTER_BITS = 18
 HASHES = 2
 USUAL = 4
-MIN_COUNT = 3
+ROOM = 8
+LEAST_SHARE = 1 << 18
 UNKNOWN = "und"
 PIECE = 1 << 18
 
@@ -92,40 +98,48 @@ class Model(NamedTuple):
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
         """How many of the trigrams each language has."""
-        found = self.masks[slots(grams, 0)]
+        size = len(self.masks).bit_length() - 1
+        found = self.masks[slots(grams, 0, size)]
         for k in range(1, HASHES):
-            found = found & self.masks[slots(grams, k)]
+            found = found & self.masks[slots(grams, k, size)]
         bits = np.unpackbits(found.view(np.uint8).reshape(len(grams), -1), axis=1, bitorder="little")
         return bits.sum(axis=0, dtype=np.int64)[:len(self.langs)]
 
 
-def slots(grams: np.ndarray, k: int) -> np.ndarray:
-    return (mix(grams + U(k * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1)) >> U(64 - FILTER_BITS)).astype(np.int64)
+def slots(grams: np.ndarray, k: int, size: int) -> np.ndarray:
+    """Rows of a filter of 2^size rows."""
+    return (mix(grams + U(k * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1)) >> U(64 - size)).astype(np.int64)
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        grams = batch.column(1).to_numpy().view(U)
-        for k in range(HASHES):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots(grams, k))], ["lang", "slot"])
+def _places(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(1).to_numpy().view(U)
+            for k in range(HASHES):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots(grams, k, size))], ["lang", "slot"])
+
+    return run
 
 
 def learn(docs: DataFrame) -> Model:
     """A model of the labelled documents (text, lang)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    counts = known.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = materialise(known.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "trigrams")
     by_gram = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("of"))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
     words = max(1, -(-len(langs) // 64))
-    masks, false = np.zeros((1 << FILTER_BITS, words), dtype=U), np.zeros(max(1, len(langs)))
     if not langs:
-        return Model(langs, masks, false)
+        return Model(langs, np.zeros((2, words), dtype=U), np.zeros(1))
     total = F.create_map(*[F.lit(x) for lang in langs for x in (lang, float(totals[lang]))])
     shares = F.transform("of", lambda x: F.struct(x["lang"].alias("lang"), x["n"].alias("n"), (x["n"] / total[x["lang"]]).alias("share")))
-    kept = by_gram.select("gram", F.explode(shares).alias("x"), F.array_max(F.transform(shares, lambda x: x["share"])).alias("top")).where((F.col("x.share") * USUAL >= F.col("top")) & (F.col("x.n") >= MIN_COUNT)).select("x.lang", "gram")
+    kept = by_gram.select("gram", F.explode(shares).alias("x"), F.array_max(F.transform(shares, lambda x: x["share"])).alias("top")).where((F.col("x.share") * USUAL >= F.col("top")) & (F.col("x.share") * LEAST_SHARE >= 1)).select("x.lang", "gram")
+    kept = materialise(kept, "usual_trigrams")
+    richest = kept.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    size = (ROOM * HASHES * richest - 1).bit_length()
+    masks = np.zeros((1 << size, words), dtype=U)
     number = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])[F.col("lang")]
-    bits = kept.mapInArrow(_places, "lang string, slot bigint").select("slot", number.alias("i")).groupBy("slot", F.floor(F.col("i") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i % 64 as int))")).alias("mask"))
+    bits = kept.mapInArrow(_places(size), "lang string, slot bigint").select("slot", number.alias("i")).groupBy("slot", F.floor(F.col("i") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i % 64 as int))")).alias("mask"))
     for r in bits.toLocalIterator():
         masks[r["slot"], r["word"]] = U(r["mask"] & (1 << 64) - 1)
     filled = np.unpackbits(masks.view(np.uint8).reshape(len(masks), -1), axis=1, bitorder="little").mean(axis=0)[:len(langs)]
@@ -134,7 +148,7 @@ def learn(docs: DataFrame) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # of the filter's fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # of the filter's bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, m = Letters(), Model(*shared.value)
