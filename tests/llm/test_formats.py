@@ -72,6 +72,17 @@ def test_language_of_odd_rows(spark, odd, empty, docs):
     assert language.identify(empty).count() == 0
 
 
+def test_a_script_of_many_trigrams_fits_the_filter(spark):
+    """Sixty thousand different trigrams of one language leave its column open and the other language its own."""
+    codes = [chr(0x4E00 + i * 7919 % 20_000) for i in range(60_000)]
+    rows = [(i, "".join(codes[i * 600:(i + 1) * 600]), "zh") for i in range(100)] + [(100 + i, "the cat and the dog went to the sea", "en") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.learn(df)
+    assert model.false.max() < 0.05 and len(model.masks) <= language.ROOM * language.HASHES * language.LEAST_SHARE
+    got = language.predict(df, model).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
 def test_labels_of_held_out_rows_teach_nothing(docs):
     changed = docs.withColumn("lang", F.when(language.held_out(), "xx").otherwise(F.col("lang")))
     assert sorted(language.identify(docs).collect()) == sorted(language.identify(changed).collect())

@@ -132,6 +132,14 @@ def test_repeated_substrings(request, monkeypatch, table, block):
     assert Counter(map(tuple, suffix_dedup.remove_repeats(df).collect())) == removed(rows)
 
 
+@pytest.mark.parametrize("kind", [np.int32, np.int64])
+@pytest.mark.parametrize("n", [0, 1, 1000])
+def test_closed_lists_open_again(kind, n):
+    numbers = np.random.default_rng(n).integers(np.iinfo(kind).min, np.iinfo(kind).max, n, dtype=kind, endpoint=True)
+    for x in (numbers, np.sort(numbers)):
+        assert np.array_equal(suffix_dedup._open(suffix_dedup._close(x)), x)
+
+
 def test_sampled_positions_cover_every_string():
     names = suffix_dedup.Names()
     data = np.frombuffer(np.random.default_rng(1).bytes(5000), dtype=np.uint8) % 4

@@ -105,6 +105,26 @@ def test_known_formats(spark):
     assert got == {0: "github", 1: "private_key", 2: "url_login", 3: "google", 4: "jwt", 5: ""}
 
 
+def test_each_format_is_found_alone_and_among_others(spark):
+    """One text of each published format, one that just fails it, and all of them in one text."""
+    def word(n, kinds="aB3x"):
+        return (kinds * n)[:n]
+
+    good = {"gitlab": "glpat-" + word(20, "aB3_-"), "slack": "xoxb-" + word(10, "a1-"), "stripe": "sk_live_" + word(16), "npm": "npm_" + word(36), "sendgrid": "SG." + word(22) + "." + word(43)}
+    bad = ["glpat-" + word(19), "xoxc-" + word(12), "sk_prod_" + word(16), "npm_" + word(35), "SG." + word(22) + "." + word(42)]
+    texts = ["é " + t for t in good.values()] + ["é " + t for t in bad] + ["\n".join(["no", *good.values(), *bad])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan_digest(df).collect()}
+    for i, (kind, text) in enumerate(good.items()):
+        assert got[i] == f"{kind}:2:{2 + len(text)}"
+    assert not any(got[len(good) + i] for i in range(len(bad)))
+    at, want = 3, []
+    for kind, text in good.items():
+        want.append(f"{kind}:{at}:{at + len(text)}")
+        at += len(text) + 1
+    assert got[len(texts) - 1] == ",".join(want)
+
+
 def test_queries_never_refuse_a_match(spark):
     assert secret_scan.trigram_query("[0-9a-f]+") == ()
     assert secret_scan.trigram_query("(abcd|xyz)e") and secret_scan.trigram_query("ab?c") == ()
