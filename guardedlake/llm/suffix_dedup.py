@@ -346,7 +346,7 @@ def _contexts(buckets: int) -> Callable[[pa.Table], pa.Table]:
         one, a, b = half[order][first], context[order][first], context[order][last]
         differ = a != b
         half, context = np.concatenate((one, one[differ])), np.concatenate((a, b[differ]))
-        rows += [(*x[:3], _both(half[at], context[at]).view(np.int64), *x[4:]) for x, at in _dealt_at(MIXED, block, buckets, half)]
+        rows += [(*x[:3], np.sort(_both(half[at], context[at]).view(np.int64)), *x[4:]) for x, at in _dealt_at(MIXED, block, buckets, half)]
         return _rows(rows)
 
     return run
@@ -427,7 +427,7 @@ def _strings(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 
 def _settled(table: pa.Table) -> pa.Table:
-    """All spans, one to a row: those that come settled, and strings that a smaller document has."""
+    """All spans of each block: those that come settled, and strings that a smaller document has."""
     kinds = table.column("kind").to_numpy()
     part, come = (table.filter(pa.array(kinds == k)) for k in (STRING, COVER))
     a, doc, no, begin = (_list(part, c) for c in "abcd")
@@ -441,7 +441,11 @@ def _settled(table: pa.Table) -> pa.Table:
         first = np.flatnonzero(fresh)
         last = np.concatenate((first[1:], [len(block)])) - 1 if len(first) else NONE
         rows.append(np.stack([block[first], no[first], begin[first], begin[last] + LENGTH]))
-    return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in np.concatenate(rows, axis=1)], names=["block", "no", "start", "end"])
+    block, no, start, end = np.concatenate(rows, axis=1)
+    order = np.lexsort((start, no, block))
+    parts = np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []
+    lists = [pa.array([_close(x[p]) for p in parts], pa.list_(pa.int64())) for x in (no, start, end - start)]
+    return pa.Table.from_arrays([pa.array([int(block[p[0]]) for p in parts], pa.int64()), *lists], names=["block", "no", "start", "size"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,8 +460,8 @@ CUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha
 def _cut(table: pa.Table, spans: pa.Table) -> pa.Table:
     """What is left of each text of a block, and figures about it."""
     found: dict[int, list[tuple[int, int]]] = {}
-    for no, low, high in zip(*(spans.column(c).to_pylist() for c in ("no", "start", "end")), strict=True) if spans.num_rows else ():
-        found.setdefault(no, []).append((low, high))
+    for no, low, size in zip(*(_list(spans, c).tolist() for c in ("no", "start", "size")), strict=True) if spans.num_rows else ():
+        found.setdefault(no, []).append((low, low + size))
     rows = []
     numbers = _numbers(table).tolist() if found else [-1] * table.num_rows
     for doc, body, no in zip(*(table.column(c).to_pylist() for c in ("doc", "body")), numbers, strict=True) if table.num_rows else ():
@@ -499,7 +503,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     regions = texts.cogroup(told.groupBy("block")).applyInArrow(_regions(blocks), REGION).groupBy("block")
     judged = regions.applyInArrow(_contexts(blocks), MESSAGE).groupBy("to").applyInArrow(_judged, MESSAGE)
     strings = regions.cogroup(judged.groupBy("block")).applyInArrow(_strings(blocks), MESSAGE)
-    spans = strings.groupBy("to").applyInArrow(_settled, "block bigint, no bigint, start bigint, end bigint")
+    spans = strings.groupBy("to").applyInArrow(_settled, "block bigint, no array<bigint>, start array<bigint>, size array<bigint>")
     cut = texts.cogroup(spans.groupBy("block")).applyInArrow(_cut, CUT)
     without_id = packed.where(F.col("doc").isNull())
     return cut.unionByName(without_id.mapInArrow(_whole, CUT))
