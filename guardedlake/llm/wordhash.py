@@ -95,6 +95,15 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def spaced(hashes: np.ndarray, pattern: tuple[int, ...]) -> np.ndarray:
+    """Hashes of the words that stand in ``pattern`` from each place on; the same words hash alike in any pattern."""
+    n = max(0, len(hashes) - pattern[-1])
+    out = hashes[:n]
+    for k in pattern[1:]:
+        out = mix(out * U(0xC2B2AE3D27D4EB4F) + hashes[k:k + n])
+    return out
+
+
 def whole(hashes: np.ndarray) -> np.ndarray:
     """One hash of a whole sequence of words, if there are any."""
     out = hashes[:1]
