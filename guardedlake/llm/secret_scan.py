@@ -1,25 +1,30 @@
-"""Secret scans by a trigram index.
+"""Secret scans by a trigram inverted index.
 
 Every rule is a regular expression. From each one a Boolean query over trigrams is
-derived: an AND of ORs that any matching text has to satisfy. The index holds, for
-each document, the trigrams that some query asks for, as bits of a row that stands
-beside the text. The index is thus divided by document: to intersect postings is an
-AND of bits, which moves no text between machines. Only rules whose query a document
-satisfies are run on it; a rule without a mandatory trigram is run on all.
-``postings`` gives the same index as trigram and bitmap of documents, to be stored.
+derived: an AND of ORs that any matching text has to satisfy. One scan of the texts
+writes the postings of all trigrams that some query asks for, one row a trigram and
+text, ordered by trigram in each file. A rule's postings are intersected by text: an OR
+is met by any of its trigrams, an AND when all its ORs are met. What is left, the
+candidates, are joined back to their texts, and only the rules that name a text as a
+candidate are run on it; a rule without a mandatory trigram is run on all.
+
+A text is known by its 64-bit hash, so copies share their postings, a hot text is one
+row a task after the map-side step, and two texts that share a hash by chance only make
+more candidates for the check. Candidates are written before the join: Spark knows their
+size, sends them out where that is below its threshold, and else shuffles texts once.
 
 Of a query's clauses the three most telling are kept; fewer clauses of an AND only let
 more candidates through to the check.
 
 Defined results: a null text counts as empty and holds nothing; equal rows give equal
-results; any length is scanned whole. One row comes out for each row that goes in.
-Other columns are not read.
+results; very long texts are scanned whole; an empty table gives none. One row comes out
+for each row that goes in, with all its columns; the column of results takes the place
+of one that has its name, which ``into`` can change. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 from itertools import product
 from re import _constants as C
 from re import _parser as parser
@@ -28,7 +33,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardedlake.llm.texts import SPAN, joined, let, spans, text_of
+from guardedlake.llm.texts import SPAN, carried, joined, let, spans, text_of, unpacked
+from guardedlake.session import materialise
 
 Query = tuple[frozenset[str], ...]  # an AND of ORs; no clause at all: any text may match
 
@@ -154,31 +160,36 @@ class Index(NamedTuple):
         place = {g: i for i, g in enumerate(grams)}
         return cls(grams, [[sorted(place[g] for g in clause) for clause in q] for q in queries])
 
-    def bits(self, text: Column) -> list[Column]:
-        """The index row of a text: 62 trigrams to a long."""
-        def word(low: Column, part: list[str]) -> Column:
-            return reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.contains(low, F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, g in enumerate(part)])
+    def held(self, text: Column) -> Column:
+        """Places of the trigrams that a text holds."""
+        return let(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(self.grams)])))
 
-        parts = [self.grams[i:i + 62] for i in range(0, len(self.grams), 62)]
-        return let(F.lower(text), lambda low: F.array(*[word(low, p) for p in parts])) if parts else F.array().cast("array<bigint>")
+    def asked_by(self, gram: Column) -> Column:
+        """The rules that a trigram is part of, and the clause there as a bit."""
+        uses: list[list[Column]] = [[] for _ in self.grams]
+        for rule, query in enumerate(self.queries):
+            for clause, places in enumerate(query):
+                for place in places:
+                    uses[place].append(F.struct(F.lit(rule).alias("rule"), F.lit(1 << clause).alias("clause")))
+        return F.get(F.array(*[F.array(*u) for u in uses]), gram)
 
-    def may_match(self, row: Column, rule: int) -> Column:
-        """Whether a document's index row satisfies a rule's query: its ORs, all of them."""
-        def clause(places: list[int]) -> Column:
-            by_word: dict[int, int] = {}
-            for p in places:
-                by_word[p // 62] = by_word.get(p // 62, 0) | 1 << p % 62
-            return reduce(lambda a, b: a | b, [F.get(row, F.lit(w)).bitwiseAND(F.lit(mask)) != 0 for w, mask in by_word.items()])
 
-        return reduce(lambda a, b: a & b, [clause(c) for c in self.queries[rule]], F.lit(True))
+def key_of(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
-def postings(docs: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index to store: for each trigram and bucket of document ids, a bitmap of the documents that hold it."""
-    index = Index.of(rules)
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("_id"), index.bits(text_of(text)).alias("_row"))
-    held = F.filter(F.sequence(F.lit(0), F.lit(len(index.grams) - 1)), lambda i: F.getbit(F.get(F.col("_row"), F.floor(i / 62).cast("int")), (i % 62).cast("int")) == 1)
-    return rows.select("_id", F.explode(held).alias("_gram")).groupBy(F.get(F.array(*map(F.lit, index.grams)), F.col("_gram")).alias("gram"), F.bitmap_bucket_number("_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_id")).alias("docs"))
+def postings(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
+    """The inverted index to store: gram (its place in ``index``) and _key of each text that holds it, by gram in each part."""
+    held = docs.select(key_of(text_of(text)).alias("_key"), F.explode(index.held(text_of(text))).alias("gram"))
+    return held.select("gram", "_key").sortWithinPartitions("gram", "_key")
+
+
+def candidates(stored: DataFrame, index: Index) -> DataFrame:
+    """_key, rules: the rules whose query a text's postings satisfy."""
+    asked = stored.select("_key", F.explode(index.asked_by(F.col("gram"))).alias("use")).select("_key", "use.rule", "use.clause")
+    met = asked.groupBy("_key", "rule").agg(F.bit_or("clause").alias("met"))
+    wanted = F.get(F.array(*[F.lit((1 << len(q)) - 1) for q in index.queries]), F.col("rule"))
+    return met.where(F.col("met") == wanted).groupBy("_key").agg(F.sort_array(F.collect_set("rule")).alias("rules"))
 
 
 def _matches(text: Column, rule: Rule) -> Column:
@@ -190,16 +201,23 @@ def _matches(text: Column, rule: Rule) -> Column:
     return spans(text, rule.pattern, good)
 
 
-def secret_scan(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with ``secrets``: an array of spans for each rule, in the order of the rules."""
+def secret_scan(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", into: str = "secrets") -> DataFrame:
+    """``docs`` with an array of spans for each rule, in the order of the rules, as column ``into``."""
     rules = BASE + KNOWN if rules is None else rules
     index = Index.of(rules)
-
-    def found(t: Column, row: Column) -> Column:
-        none = F.array().cast(SPAN)
-        return F.array(*[F.when(index.may_match(row, i), _matches(t, r)).otherwise(none) for i, r in enumerate(rules)])
-
-    return docs.withColumn("secrets", let(text_of(text), lambda t: let(index.bits(t), lambda row: found(t, row))))
+    row = docs.select(carried(docs))
+    body = text_of(f"_row.`{text}`")
+    none = F.array().cast(SPAN)
+    if index.grams:
+        stored = materialise(postings(docs, index, f"`{text}`"), "secret-postings")
+        named = materialise(candidates(stored, index), "secret-candidates")
+        row = row.withColumn("_key", key_of(body)).join(named, "_key", "left")
+
+    def found(t: Column) -> Column:
+        return F.array(*[F.when(F.array_contains("rules", i), _matches(t, r)).otherwise(none) if index.queries[i] else _matches(t, r) for i, r in enumerate(rules)])
+
+    own = [c for c, name in zip(unpacked(docs, {}), docs.columns, strict=True) if name != into]
+    return row.select(*own, let(body, found).alias(into))
 
 
 def by_start(found: Column, kinds: int) -> Column:

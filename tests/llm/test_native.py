@@ -85,7 +85,28 @@ def test_secrets(request, table):
     df = request.getfixturevalue(table)
     got = secret_scan.scan_digest(df)
     pairs(df, lambda t: digest(secrets(t)), [(r["doc_id"], r["base_sha256"]) for r in got.collect()])
-    assert table != "docs" or "Exchange" not in plan(got)
+    assert table != "docs" or "hashpartitioning" not in plan(got)  # few candidates are sent to the texts, which stay
+
+
+@pytest.mark.parametrize("table", ["odd", "docs", "empty"])
+def test_texts_are_moved_where_candidates_are_many(spark, request, table):
+    """The same rows where Spark may not send the candidates out."""
+    df = request.getfixturevalue(table)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    want = Counter(map(tuple, secret_scan.scan_digest(df).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = secret_scan.scan_digest(df)
+        assert (table == "empty" or "hashpartitioning" in plan(got)) and Counter(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_scan_keeps_all_columns(odd, empty):
+    got = secret_scan.secret_scan(odd, into="spans of rules")
+    assert got.columns == [*odd.columns, "spans of rules"] and got.count() == odd.count()
+    assert sorted(secret_scan.secret_scan(odd).columns) == sorted(odd.columns)
+    assert secret_scan.secret_scan(odd, [secret_scan.BASE[2]]).count() == odd.count() and secret_scan.secret_scan(empty).count() == 0
 
 
 def test_the_value_alone_has_to_be_long(spark):
@@ -133,11 +154,18 @@ def test_queries_never_refuse_a_match(spark):
             assert all(len(g) == 3 and g == g.lower() for g in clause)
 
 
-def test_postings(docs):
-    index = secret_scan.postings(docs, secret_scan.BASE)
-    held = {r["gram"]: bin(int.from_bytes(bytes(r["docs"]), "little")).count("1") for r in index.where("bucket = 1").collect()}
-    for gram, n in held.items():
-        assert n == docs.where(f"doc_id > 0 AND contains(lower(text), '{gram}')").count() or docs.where(f"contains(lower(text), '{gram}')").count() >= n
+def test_postings_and_their_intersection(odd, docs):
+    """Postings beside a search of every text for every trigram, candidates beside each rule's query on each text."""
+    rules = secret_scan.BASE + secret_scan.KNOWN
+    index = secret_scan.Index.of(rules)
+    for df in (odd, docs):
+        texts = {r["k"]: r["t"] for r in df.selectExpr("xxhash64(coalesce(text, '')) AS k", "lower(coalesce(text, '')) AS t").collect()}
+        stored = secret_scan.postings(df, index)
+        got = {(r["gram"], r["_key"]) for r in stored.collect()}
+        assert got == {(i, k) for k, t in texts.items() for i, g in enumerate(index.grams) if g in t}
+        named = {r["_key"]: r["rules"] for r in secret_scan.candidates(stored, index).collect()}
+        want = {k: [i for i, r in enumerate(rules) if (q := secret_scan.trigram_query(r.pattern)) and all(any(g in t for g in c) for c in q)] for k, t in texts.items()}
+        assert named == {k: v for k, v in want.items() if v}
 
 
 @pytest.mark.parametrize("table", ["odd", "docs", "empty"])
