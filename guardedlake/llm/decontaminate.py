@@ -20,7 +20,8 @@ of several sections whose copy keeps less than ``LEAKED`` of one of them may be
 without that one. Sections of ten words or fewer have no bound; they need one seed.
 
 To find seeds, tasks hold bit tables of fixed size; what they let through by chance is
-removed by the join on the seed itself. A passage with a single seed, as very common
+removed by the join on the seed itself. The pairs to be aligned are written as keys and
+met with the passages, of which only what is aligned goes on. A passage with a single seed, as very common
 grams make them, is not moved unless some section needs no more than that. A seed of a
 passage that very many documents
 share makes many rows of one key on one side only, which Spark splits or avoids by
@@ -226,15 +227,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     binned = joined.withColumn("bin", F.explode(F.array(F.floor(F.col("start") / width), F.floor(F.col("start") / width) - 1)))
     by_gram = binned.groupBy(*key, "bin", "gram").agg(F.max("times").alias("times"), F.max("need").alias("need"), F.min("least").alias("low"), F.max("start").alias("high"))
     found = by_gram.groupBy(*key, "bin").agg(F.sum("times").alias("seeds"), F.max("need").alias("need"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("seeds") >= F.col("need"))
-    with_item = found.join(sections.withColumnRenamed("words", "item_words"), section)
-    both = with_item.join(passages.select("_id", "_hash", "first", F.col("words").alias("passage")).withColumnsRenamed({"_id": "_p_id", "_hash": "_p_hash", "first": "_p_first"}),
-                          F.col("_id").eqNullSafe(F.col("_p_id")) & (F.col("_hash") == F.col("_p_hash")) & (F.col("first") == F.col("_p_first")))
-    n = F.size("item_words")
-    more = F.ceil(n * LOST) + 4
+    # Written first, so that Spark knows how few there are: it sends them to the passages where it can, and cuts these there.
+    found = materialise(found.drop("bin", "seeds", "need"), "leak-candidates")
+    found = found.join(sections.select(*section, F.size("words").alias("n")), section)
+    both = passages.select("_id", "_hash", "first", F.col("words").alias("passage")).withColumnsRenamed({"_id": "_p_id", "_hash": "_p_hash", "first": "_p_first"}).join(
+        found, F.col("_id").eqNullSafe(F.col("_p_id")) & (F.col("_hash") == F.col("_p_hash")) & (F.col("first") == F.col("_p_first")))
+    more = F.ceil(F.col("n") * LOST) + 4
     low = F.greatest(F.col("low") - F.col("first") - more, F.lit(0))
-    high = F.col("high") - F.col("first") + n + more
+    high = F.col("high") - F.col("first") + F.col("n") + more
     window = F.slice("passage", (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
-    aligned = both.select("_id", "_hash", *section, "item_words", window.alias("window")).mapInArrow(_align, "_id bigint, _hash bigint, item_id bigint, copy bigint, section int, score bigint")
+    windows = both.select("_id", "_hash", *section, window.alias("window")).join(sections.withColumnRenamed("words", "item_words"), section)
+    aligned = windows.select("_id", "_hash", *section, "item_words", "window").mapInArrow(_align, "_id bigint, _hash bigint, item_id bigint, copy bigint, section int, score bigint")
     best = aligned.groupBy("_id", "_hash", *section).agg(F.max("score").alias("score"))
     own = sections.groupBy("item_id", "copy").agg(F.sum(MATCH * F.size("words")).alias("own"))
     scored = best.groupBy("_id", "_hash", "item_id", "copy").agg(F.sum("score").alias("score")).join(own, ["item_id", "copy"])
