@@ -228,8 +228,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     by_gram = binned.groupBy(*key, "bin", "gram").agg(F.max("times").alias("times"), F.max("need").alias("need"), F.min("least").alias("low"), F.max("start").alias("high"))
     found = by_gram.groupBy(*key, "bin").agg(F.sum("times").alias("seeds"), F.max("need").alias("need"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("seeds") >= F.col("need"))
     # Written first, so that Spark knows how few there are: it sends them to the passages where it can, and cuts these there.
-    found = materialise(found.drop("bin", "seeds", "need"), "leak-candidates")
-    found = found.join(sections.select(*section, F.size("words").alias("n")), section)
+    found = found.drop("bin", "seeds", "need").join(sections.select(*section, F.size("words").alias("n")), section)
+    found = materialise(found, "leak-candidates")
     both = passages.select("_id", "_hash", "first", F.col("words").alias("passage")).withColumnsRenamed({"_id": "_p_id", "_hash": "_p_hash", "first": "_p_first"}).join(
         found, F.col("_id").eqNullSafe(F.col("_p_id")) & (F.col("_hash") == F.col("_p_hash")) & (F.col("first") == F.col("_p_first")))
     more = F.ceil(F.col("n") * LOST) + 4
