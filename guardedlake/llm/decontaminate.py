@@ -21,7 +21,8 @@ without that one. Sections of ten words or fewer have no bound; they need one se
 
 To find seeds, tasks hold bit tables of fixed size; what they let through by chance is
 removed by the join on the seed itself. The pairs to be aligned are written as keys and
-met with the passages, of which only what is aligned goes on. A passage with a single seed, as very common
+met with those passages that a bit table of these keys holds, of which only what is
+aligned goes on; other passages stay where they were written. A passage with a single seed, as very common
 grams make them, is not moved unless some section needs no more than that. A seed of a
 passage that very many documents
 share makes many rows of one key on one side only, which Spark splits or avoids by
@@ -44,6 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from guardedlake.llm.sieve import may_match
 from guardedlake.llm.texts import carried, unpacked
 from guardedlake.llm.wordhash import U, Hasher, spaced, texts_of
 from guardedlake.session import materialise
@@ -227,10 +229,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     binned = joined.withColumn("bin", F.explode(F.array(F.floor(F.col("start") / width), F.floor(F.col("start") / width) - 1)))
     by_gram = binned.groupBy(*key, "bin", "gram").agg(F.max("times").alias("times"), F.max("need").alias("need"), F.min("least").alias("low"), F.max("start").alias("high"))
     found = by_gram.groupBy(*key, "bin").agg(F.sum("times").alias("seeds"), F.max("need").alias("need"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("seeds") >= F.col("need"))
-    # Written first, so that Spark knows how few there are: it sends them to the passages where it can, and cuts these there.
+    # Written first, as they are read twice: to tell which passages hold a candidate, and to join those alone.
     found = found.drop("bin", "seeds", "need").join(sections.select(*section, F.size("words").alias("n")), section)
     found = materialise(found, "leak-candidates")
-    both = passages.select("_id", "_hash", "first", F.col("words").alias("passage")).withColumnsRenamed({"_id": "_p_id", "_hash": "_p_hash", "first": "_p_first"}).join(
+    wanted = passages.where(may_match(found, ["_id", "_hash", "first"])("_id", "_hash", "first"))
+    both = wanted.select("_id", "_hash", "first", F.col("words").alias("passage")).withColumnsRenamed({"_id": "_p_id", "_hash": "_p_hash", "first": "_p_first"}).join(
         found, F.col("_id").eqNullSafe(F.col("_p_id")) & (F.col("_hash") == F.col("_p_hash")) & (F.col("first") == F.col("_p_first")))
     more = F.ceil(F.col("n") * LOST) + 4
     low = F.greatest(F.col("low") - F.col("first") - more, F.lit(0))
@@ -248,9 +251,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a test item, in the columns of ``docs``.
 
-    The ids found are written first, so that Spark knows their size: where it is below
-    its own threshold they are sent to the texts, which then stay where they are.
+    The ids found are written first, and tasks get a bit table of them: only the texts
+    that it holds are joined, the others stay where they are.
     """
     leaked = materialise(contaminated(docs, benchmark).select("_id", "_hash").distinct(), "leak-ids")
     keyed = docs.select(carried(docs), F.col("doc_id").cast("bigint").alias("_key"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text_hash"))
-    return keyed.join(leaked, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti").select(*unpacked(docs, {}))
+    held = may_match(leaked, ["_id", "_hash"])("_key", "_text_hash")
+    judged = keyed.where(held).join(leaked, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti")
+    return keyed.where(~held).union(judged).select(*unpacked(docs, {}))
