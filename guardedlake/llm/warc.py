@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guardedlake.llm.texts import let
+
 # The version line, the end of a record, and the digest's alphabet.
 VERSION = "WARC/1.1"
 RECORD_END = "\r\n\r\n"
@@ -43,13 +45,15 @@ READ = "page_id bigint, url string, record_type string, payload_digest string, r
 
 def base32_sha1(payload: Column) -> Column:
     """SHA-1 of bytes in bare base32: five hexadecimal digits are four letters."""
-    digest = F.sha1(payload)
+    def letters(number: Column) -> Column:
+        return F.concat(*[F.substring(F.lit(BASE32), F.shiftright(number, 5 * (3 - k)).bitwiseAND(31) + 1, F.lit(1)) for k in range(4)])
 
-    def letters(i: int) -> list[Column]:
-        number = F.conv(F.substring(digest, 5 * i + 1, 5), 16, 10).cast("int")
-        return [F.substring(F.lit(BASE32), F.shiftright(number, 5 * (3 - k)).bitwiseAND(31) + 1, F.lit(1)) for k in range(4)]
+    def encoded(digest: Column) -> Column:
+        numbers = F.array(*[F.conv(F.substring(digest, 5 * i + 1, 5), 16, 10).cast("int") for i in range(8)])
+        return F.array_join(F.transform(numbers, letters), "")
 
-    return F.concat(*[x for i in range(8) for x in letters(i)])
+    # Once for a row: as a plain expression, the digest would be computed anew for each letter that names it.
+    return let(F.sha1(payload), encoded)
 
 
 def payloads(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
