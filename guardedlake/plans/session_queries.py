@@ -173,8 +173,9 @@ def f09_files(spark, folder):
                                                 F.concat(F.lit("event: "), "event_type", F.lit("\n"), data, F.lit("\n")).alias("value"))
     out = fresh_path(spark, "event-logs")
     cells.repartition("log").sortWithinPartitions("log", "event_id").select("log", "value").write.partitionBy("log").text(out)
-    events = feed.parse_events(read_lines(spark, out))
-    return events.select(F.regexp_extract("file", "log=([0-9]+)", 1).cast("bigint").alias("log"), "event_no", "type", "payload")
+    # The number of a log stands for its path from here on, which is longer than most lines.
+    lines = read_lines(spark, out).select(F.regexp_extract("file", "log=([0-9]+)", 1).cast("bigint").alias("log"), "line_no", "line")
+    return feed.parse_events(lines, ["log"])
 
 
 @named("f10_message_reduction", r"""

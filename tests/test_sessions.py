@@ -142,3 +142,11 @@ def test_audit(spark):
                         quality.audit_unique("t", df, ["id"]), quality.audit_foreign_key("t", df, "parent", df, "id"))
     assert {r["rule"]: r["violations"] for r in out.collect()} == {
         "not_null(parent)": 1, "check(kind)": 1, "length(kind)": 1, "unique(id)": 1, "foreign_key(parent)": 3}
+
+
+def test_lines_of_log_files_do_not_carry_their_path(spark, data):
+    from guardedlake.plans.all_queries import NAMED
+
+    df = NAMED["f09_log_files"].run(spark, data)
+    window = [line for line in plan(df).split("== Physical Plan ==")[-1].splitlines() if " Window [" in line and "line_no" in line]
+    assert window and not any("file#" in line for line in window)
