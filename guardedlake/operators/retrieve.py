@@ -59,20 +59,32 @@ def _matrix(rows: pd.DataFrame) -> np.ndarray:
     return unit_rows(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
 
 
+def _bound(dist: np.ndarray, k: int) -> np.ndarray:
+    """For each row a value that at least ``k`` entries don't exceed, and few more do not: the ``k``-th of the minima of many groups of columns."""
+    step = max(1, dist.shape[1] // (8 * k))
+    groups = dist.shape[1] // step
+    least = dist[:, :groups].copy()
+    for i in range(1, step):
+        np.fmin(least, dist[:, i * groups:(i + 1) * groups], out=least)
+    bound = np.partition(least, k - 1, axis=1)[:, k - 1:k]
+    # Rows without a distance in so many groups.
+    return np.partition(dist, k - 1, axis=1)[:, k - 1:k] if np.isnan(bound).any() else bound
+
+
 def _nearest(q: np.ndarray, c: np.ndarray, cids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query row, chunk row and distance of the ``k`` nearest, ties by chunk id.
 
     A zero vector has no direction; as its distance is undefined it comes last.
     """
-    dist = np.round(1.0 - q @ c.T, 6) + 0.0
+    dist = 1.0 - q @ c.T
     dist[~q.any(axis=1)] = np.inf
     dist[:, ~c.any(axis=1)] = np.inf
     if dist.shape[1] > k:
-        edge = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
-        rows, cols = np.nonzero(dist <= edge)
+        # What is as near as the bound once rounded, is so to a millionth before; only that is rounded.
+        rows, cols = np.nonzero(dist <= _bound(dist, k) + 1e-6)
     else:
         rows, cols = np.indices(dist.shape).reshape(2, -1)
-    d = dist[rows, cols]
+    d = np.round(dist[rows, cols], 6) + 0.0
     order = np.lexsort((cids[cols], d, rows))
     rows, cols, d = rows[order], cols[order], d[order]
     start = np.searchsorted(rows, np.arange(len(q)))

@@ -123,3 +123,19 @@ def test_context_and_fallback(spark):
     both = retrieve.assemble(retrieve.cosine_topk(q, chunks, 8), chunks, q)
     assert dict(rows(both)) == dict(rows(ctx))
     assert ctx.select(retrieve.fill_prompt("a {schemaContext} b", F.lit("$1\\")).alias("p")).first()["p"] == "a $1\\ b"
+
+
+def test_nearest_sorts_out_few_of_many_columns(monkeypatch):
+    rng = np.random.default_rng(1)
+    q, c = (retrieve.unit_rows(np.round(rng.normal(size=(n, 6)), 1)) for n in (40, 3_001))
+    c[5], q[7], c[100:120] = 0, 0, c[99]
+    cids = rng.permutation(len(c))
+    sorted_out = []
+    partition = np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *more, **named: sorted_out.append(a.shape[1]) or partition(a, *more, **named))
+    rows, cols, d = retrieve._nearest(q, c, cids, 8)
+    assert max(sorted_out) < 100
+    away = np.round(1.0 - q @ c.T, 6) + 0.0
+    away[7], away[:, 5] = np.inf, np.inf
+    want = [(i, *x) for i in range(len(q)) for x in sorted((away[i, j], cids[j]) for j in range(len(c)))[:8]]
+    assert [(i, x, cids[j]) for i, j, x in zip(rows, cols, d)] == want
