@@ -145,14 +145,16 @@ def live_history(messages: DataFrame, keep: int = 20, idle_ms: int = 30 * 60 * 1
             yield pd.DataFrame({"session_key": [key[0]], "seq": [-1], "role": [""], "content": [""], "expired": [True]})
             return
         seqs, roles, texts, last = state.get if state.exists else ([], [], [], 0)
-        held = pd.DataFrame({"seq": list(seqs), "role": list(roles), "content": list(texts)})
+        # Plain values: a session has few messages in a batch, for which a table costs more than the work.
+        held = dict(zip(seqs, zip(roles, texts, strict=True), strict=True))
         for batch in batches:
             last = max(last, int(batch["ts"].max().timestamp() * 1000))
-            held = pd.concat([held, batch[["seq", "role", "content"]]]).sort_values("seq").drop_duplicates("seq", keep="last").tail(keep)
-        held["seq"] = held["seq"].astype("int64")
-        state.update((held["seq"].tolist(), held["role"].tolist(), held["content"].tolist(), last))
+            held.update(zip(map(int, batch["seq"].tolist()), zip(batch["role"].tolist(), batch["content"].tolist(), strict=True), strict=True))
+            held = {seq: held[seq] for seq in sorted(held)[-keep:]}
+        roles, texts = [r for r, _ in held.values()], [t for _, t in held.values()]
+        state.update((list(held), roles, texts, last))
         state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield held.assign(session_key=key[0], expired=False)[["session_key", "seq", "role", "content", "expired"]]
+        yield pd.DataFrame({"session_key": key[0], "seq": list(held), "role": roles, "content": texts, "expired": False})
 
     return rows.groupBy("session_key").applyInPandasWithState(
         fold, HISTORY_SCHEMA, "seq array<bigint>, role array<string>, content array<string>, last bigint",
