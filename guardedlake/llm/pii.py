@@ -25,6 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardedlake.llm.sieve import may_match
 from guardedlake.llm.texts import SPAN, carried, cut, joined, let, spans, text_of, unpacked
 from guardedlake.session import materialise
 
@@ -183,9 +184,14 @@ def _redacted(text: Column, found: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with a mark in place of each span of personal data, in the columns of ``docs``."""
-    found = personal_data(docs).where(F.size("all_spans") > 0).groupBy("_id", "_hash").agg(F.first("all_spans").alias("_spans"))
+    """``docs`` with a mark in place of each span of personal data, in the columns of ``docs``.
+
+    Only texts that may hold spans meet them; the others stay where they are.
+    """
+    found = materialise(personal_data(docs).where(F.size("all_spans") > 0).groupBy("_id", "_hash").agg(F.first("all_spans").alias("_spans")), "pii-spans")
     keyed = docs.select(carried(docs), F.col("doc_id").cast("bigint").alias("_key"), F.xxhash64(text_of()).alias("_hash"), F.col("text").alias("_text"))
-    both = keyed.join(found.withColumnRenamed("_hash", "_found_hash"), F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_found_hash")), "left")
-    text = F.when(F.col("_spans").isNotNull(), _redacted(F.col("_text"), F.col("_spans"))).otherwise(F.col("_text"))
-    return both.select(*unpacked(docs, {"text": text, "n_chars": F.coalesce(F.length(text).cast("bigint"), F.lit(0).cast("bigint"))}))
+    held = may_match(found, ["_id", "_hash"])("_key", "_hash")
+    both = keyed.where(held).join(found.withColumnRenamed("_hash", "_found_hash"), F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_found_hash")), "left")
+    marked = F.when(F.col("_spans").isNotNull(), _redacted(F.col("_text"), F.col("_spans"))).otherwise(F.col("_text"))
+    columns = lambda text: unpacked(docs, {"text": text, "n_chars": F.coalesce(F.length(text).cast("bigint"), F.lit(0).cast("bigint"))})
+    return keyed.where(~held).select(*columns(F.col("_text"))).union(both.select(*columns(marked)))

@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardedlake.llm.components import components
+from guardedlake.llm.sieve import may_match
+from guardedlake.llm.texts import carried, unpacked
 from guardedlake.llm.wordhash import U, Hasher, grams, mix, texts_of, whole
 from guardedlake.session import materialise
 
@@ -220,6 +222,14 @@ def _meeting(each: DataFrame, sides: list[tuple[Column, Column]]) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its group, in the columns of ``docs``; of rows that share an id, all stay."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """The rows of ``docs`` whose document is the smallest of its group, in the columns of ``docs``; of rows that share an id, all stay.
+
+    The ids that go are written first: only rows that a bit table of them holds are
+    joined, the others stay where they are.
+    """
+    gone = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("_gone"))
+    gone = materialise(gone, "minhash-gone")
+    keyed = docs.select(carried(docs), F.col("doc_id").cast("bigint").alias("_key"))
+    held = may_match(gone, ["_gone"])("_key")
+    judged = keyed.where(held).join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    return keyed.where(~held).union(judged).select(*unpacked(docs, {}))
