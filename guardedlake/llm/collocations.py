@@ -48,8 +48,9 @@ SCALE = 2_000_000
 TOP = 2_000
 UNKNOWN = "und"
 
-BLOCK, VERIFIED = 1 << 21, 1 << 23
+BLOCK = VERIFIED = 1 << 21
 HELD = 1 << 21
+SPELLED = 1 << 15  # phrases that are written out at a time
 BITS_EACH = 32
 LEAST_BITS, MOST_BITS = 16, 28
 PARTS = 64
@@ -107,21 +108,21 @@ class Reader:
 
     def blocks(self, column: pa.Array, most: int) -> Iterator[Block]:
         """Texts of ``most`` bytes together; a longer one is cut at separators."""
-        texts = pc.fill_null(column.cast(pa.large_binary()), b"")
-        ended = pc.binary_join_element_wise(texts, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
-        ends = np.concatenate(([0], np.cumsum(pc.binary_length(ended).to_numpy(zero_copy_only=False).astype(np.int64))))
-        body = ended.buffers()[2]
-        data = np.frombuffer(body, dtype=np.uint8, count=int(ends[-1])) if ends[-1] else np.zeros(0, dtype=np.uint8)
+        column = column.cast(pa.large_binary())
+        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)))
         first = 0
-        while first < len(ended):
+        while first < len(column):
             last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
-            if last > first + 1 or ends[last] - ends[first] <= most:
-                yield Block(self.fold[data[ends[first]:ends[last]]], ends[first + 1:last + 1] - ends[first], np.arange(first, last), 0)
+            # Only the texts of a block are copied, as a batch can be many times larger.
+            ended = pc.binary_join_element_wise(pc.fill_null(column.slice(first, last - first), b""), pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+            data = np.frombuffer(ended.buffers()[2], dtype=np.uint8, count=int(ends[last] - ends[first]))
+            if last > first + 1 or len(data) <= most:
+                yield Block(self.fold[data], ends[first + 1:last + 1] - ends[first], np.arange(first, last), 0)
             else:
-                at, stop = int(ends[first]), int(ends[last])
+                at, stop = 0, len(data)
                 while at < stop:
                     end = self._cut(data, at, stop, most)
-                    yield Block(self.fold[data[at:end]], np.array([end - at]), np.array([first]), at - int(ends[first]))
+                    yield Block(self.fold[data[at:end]], np.array([end - at]), np.array([first]), at)
                     at = end
             first = last
 
@@ -144,7 +145,7 @@ class Reader:
         """
         starts, ends, hashes = self.words.words(block.data)
         text = np.searchsorted(block.ends, starts, "right")
-        pieces = np.concatenate(([0], np.cumsum(self.separator[block.data])))[starts]
+        pieces = np.searchsorted(np.flatnonzero(self.separator[block.data]), starts)
         size = len(hashes)
         up, down = _powers(STEP, size), _powers(BACK, size)
         sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum(hashes * up)))
@@ -279,10 +280,12 @@ def _phrases(tables: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], I
                         same &= codes[at + k] == codes[pointer + k]
                     out = np.concatenate((at[first], at[~same]))
                     counts = np.concatenate((np.bincount(group, weights=same).astype(np.int64), np.ones(len(out) - len(first), dtype=np.int64)))
-                    texts = grams.text[out]
-                    rows = pa.array(block.rows[texts])
-                    columns = [langs.take(rows), _texts(grams, block.data, out, n), pa.array(counts), batch.column(0).take(rows), pa.array(begins[texts] + grams.starts[out])]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n", "first_doc", "first_byte"])
+                    for low in range(0, len(out), SPELLED):
+                        some = out[low:low + SPELLED]
+                        texts = grams.text[some]
+                        rows = pa.array(block.rows[texts])
+                        columns = [langs.take(rows), _texts(grams, block.data, some, n), pa.array(counts[low:low + SPELLED]), batch.column(0).take(rows), pa.array(begins[texts] + grams.starts[some])]
+                        yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n", "first_doc", "first_byte"])
 
     return run
 
