@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 import tracemalloc
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
-from guardedlake.llm import collocations, decontaminate, pii, superminhash, warc
+from guardedlake.llm import collocations, decontaminate, pii, sieve, superminhash, warc
 from guardedlake.llm.sieve import may_match
 from tests.conftest import plan, rows
 
@@ -33,6 +34,24 @@ def test_sieve_holds_all_matches_and_few_others(spark):
     assert not rows(table.where(may_match(keys.where("false"), ["a", "b"])("id", "b")))
 
 
+def test_sieve_holds_all_matches_however_full_its_table_is(spark, monkeypatch):
+    monkeypatch.setattr(sieve, "MOST_BITS", sieve.LEAST_BITS)
+    keys = spark.range(0, 300_000, 3).select(F.col("id").alias("a"))
+    seen = may_match(keys, ["a"])("id")
+    table = spark.range(300_000)
+    through, rest = table.where(seen), table.where(~seen)
+    assert through.where("id % 3 = 0").count() == 100_000 and through.count() + rest.count() == 300_000 and rest.count() > 20_000
+
+
+def test_personal_data_is_marked_by_spark_alone(spark, odd, nothing_sent):
+    """The plans that are run for a redaction hold no Python, and in none are texts sent or shuffled that can't match."""
+    out = pii.redact(odd)
+    assert not re.search("Python|Pandas|Arrow", plan(out))
+    assert not re.search("Python|Pandas|Arrow", plan(odd.where(may_match(odd, ["doc_id"])("doc_id"))))
+    assert "hashpartitioning" not in plan(odd.where(~may_match(odd, ["doc_id"])("doc_id")))
+    assert out.count() == odd.count()
+
+
 def test_only_texts_that_may_match_are_shuffled(spark, nothing_sent):
     item = " ".join(f"w{i}" for i in range(40))
     plain = [(i, " ".join(f"p{i}x{j}" for j in range(12))) for i in range(30)]
