@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,10 +138,10 @@ def _probed(centroids: np.ndarray, probes: int) -> Callable[[Iterator[pa.RecordB
     return run
 
 
-def _decoded(rows: pd.DataFrame) -> np.ndarray:
+def _decoded(rows: pa.RecordBatch) -> np.ndarray:
     """Codes as unit vectors."""
-    flat = np.frombuffer(b"".join(rows["code"]), dtype=np.int8).reshape(len(rows), -1)
-    return unit_rows(flat * rows["step"].to_numpy()[:, None])
+    flat = np.frombuffer(b"".join(rows.column("code").to_pylist()), dtype=np.int8).reshape(rows.num_rows, -1)
+    return unit_rows(flat * rows.column("step").to_numpy(zero_copy_only=False)[:, None])
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,66 @@ def test_nearest_sorts_out_few_of_many_columns(monkeypatch):
     away[7], away[:, 5] = np.inf, np.inf
     want = [(i, *x) for i in range(len(q)) for x in sorted((away[i, j], cids[j]) for j in range(len(c)))[:8]]
     assert [(i, x, cids[j]) for i, j, x in zip(rows, cols, d)] == want
+
+
+def test_rows_of_a_large_grid_are_not_copied(search):
+    q, c, want = search
+    hits = retrieve.cosine_topk(q, c, 12, retrieve.SearchSize(2, 8, 3, 7))
+    text = plan(hits)
+    assert "Generate explode" not in text and "CartesianProduct" in text
+    same(ordered(hits), want)
+
+
+def test_grids_small_and_large_at_once(spark, search):
+    q, c, want = search
+    # 'hot' has 4 blocks of queries and 'cold' 2, each one of chunks; keys of which one side has nothing, and rows without a vector or a key.
+    schema = "bigint, namespace string, embedding array<float>"
+    more = [(500, "alone", [1.0] * 8), (501, "hot", None), (502, None, [1.0] * 8)]
+    hits = retrieve.cosine_topk(q.union(spark.createDataFrame(more, f"query_id {schema}")), c.union(spark.createDataFrame([(500, "lone", [1.0] * 8), *more[1:]], f"chunk_id {schema}")), 12, retrieve.SearchSize(4, 200, 3, 7))
+    text = plan(hits)
+    assert "Generate explode" in text and "CartesianProduct" in text
+    same(ordered(hits), want)
+
+
+@pytest.mark.parametrize("qb", [3, 100])
+def test_ids_that_repeat_are_text_or_null(spark, qb):
+    v = np.round(RNG.standard_normal((60, 3)), 1)
+    v[20:40] = v[0]
+    ids = [None if i in (5, 25) else f"c{i % 50}" for i in range(60)]
+    c, q = (spark.createDataFrame([(i, "n", [float(x) for x in r]) for i, r in zip(ids, v)], f"{x}_id string, namespace string, embedding array<double>") for x in ("chunk", "query"))
+    got = retrieve.cosine_topk(q.where("query_id IS NOT NULL"), c, 7, retrieve.SearchSize(qb, qb, 2, 4))
+    unit = retrieve.unit_rows(v)
+    away = np.round(1.0 - unit @ unit.T, 6) + 0.0
+    want = []
+    for x in sorted({i for i in ids if i}):
+        near = sorted((away[i, j], ids[j] is not None, ids[j] or "") for i in range(60) if ids[i] == x for j in range(60))[:7]
+        want += [(x, i if there else None, d, n + 1) for n, (d, there, i) in enumerate(near)]
+    same(ordered(got), want)
+
+
+def test_packs_hold_each_row_once(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"namespace": ["n"] * 100, "query_id": list(range(100)), "embedding": [[float(i), 1.0] for i in range(100)], "__b": pa.array([3] * 100, pa.int32())})
+    monkeypatch.setattr(retrieve, "PACK_BYTES", 500)
+    packs = list(retrieve._packer(["namespace"], "__b")(iter([batch.slice(0, 70), batch.slice(70)])))
+    rows_of = [retrieve._unpacked(p.column("__rows")[0]) for p in packs]
+    assert len({p.column("__pack")[0].as_py() for p in packs}) == len(packs) > 5 and max(r.nbytes for r in rows_of) < 1_000
+    assert [x for r in rows_of for x in r.column("query_id").to_pylist()] == list(range(100))
+
+
+def test_best_looks_only_at_what_is_near(monkeypatch):
+    v = RNG.standard_normal((400, 8))
+    rows_of = lambda n, name: pa.RecordBatch.from_pydict({name: list(range(n)), "embedding": [list(x) for x in v[:n]]})
+    best, sorted_out, first = retrieve._Best(rows_of(30, "query_id"), 4, retrieve.SearchSize(30, 100, 8, 16)), [], retrieve._first
+    monkeypatch.setattr(retrieve, "_first", lambda rows, *more: sorted_out.append(len(rows)) or first(rows, *more))
+    chunks = retrieve._Chunks(rows_of(400, "chunk_id"), retrieve._matrix)
+    best.offer(chunks)
+    sorted_out.clear()
+    best.offer(chunks)  # the same again: as near as those held, and not before them
+    assert sum(sorted_out) <= 2 * 30 * 4
+    found = best.hits(pa.scalar("n"))
+    assert found.num_rows == 30 * 4 and found.column("chunk_id").to_pylist()[::4] == list(range(30))
+
+
+def test_vectors_of_several_lengths_are_refused():
+    with pytest.raises(ValueError, match="length"):
+        retrieve._matrix(pa.RecordBatch.from_pydict({"embedding": [[1.0], [1.0, 2.0, 3.0]]}))
