@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -267,17 +268,27 @@ def _unpacked(rows: pa.Scalar) -> pa.RecordBatch:
 
 
 def _streamed(keys: list[str], k: int, size: SearchSize, matrix: Callable[[pa.RecordBatch], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The best of each pack of queries over all packs of chunks that a task has it meet."""
+    """The best of each pack of queries over all packs of chunks that a task has it meet.
+
+    Rows of a pack come with the first pair that it is in, and are null in the others.
+    """
+    of = [f"__{side}_{x}" for side in "qc" for x in keys]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, seen, chunks = {}, None, None
         for batch in batches:
-            names = zip(*(batch.column(x).to_pylist() for x in keys))
+            q_rows, c_rows, namespaces = batch.column("__q_rows"), batch.column("__c_rows"), batch.column(of[0])
+            names = list(zip(*(batch.column(x).to_pylist() for x in of)))
             for i, (name, q, c) in enumerate(zip(names, batch.column("__q").to_pylist(), batch.column("__c").to_pylist())):
-                if (name, q) not in best:
-                    best[name, q] = batch.column("namespace").take(pa.array([i]))[0], _Best(_unpacked(batch.column("__q_rows")[i]), k, size)
-                if seen != (name, c):
-                    seen, chunks = (name, c), _Chunks(_unpacked(batch.column("__c_rows")[i]), matrix)
-                best[name, q][1].offer(chunks)
+                q, c = (name[:len(keys)], q), (name[len(keys):], c)
+                if q_rows[i].is_valid:
+                    best[q] = namespaces.take(pa.array([i]))[0], _Best(_unpacked(q_rows[i]), k, size)
+                if c_rows[i].is_valid:
+                    seen, chunks = c, _Chunks(_unpacked(c_rows[i]), matrix)
+                if q[0] == c[0]:
+                    if seen != c:
+                        raise RuntimeError("a pack of chunks came before its rows")
+                    best[q][1].offer(chunks)
         for namespace, found in best.values():
             yield found.hits(namespace)
 
@@ -327,8 +338,16 @@ def block_topk(q: DataFrame, c: DataFrame, keys: list[str], k: int, size: Search
         tasks = min(n["q"], max(room, -(-n["bytes"] // TASK_BYTES)))
         left = _packs(dealt(c, of, "chunk_id", "__cn", "__b").drop("__qn", "__cn"), keys, "__b", min(n["c"], -(-room // tasks)), "c")
         right = _packs(dealt(q, of, "query_id", "__qn", "__b").drop("__qn", "__cn"), keys, "__b", tasks, "q")
-        # The side on the right is held, the other goes by; neither is shuffled for it.
-        return left.hint("shuffle_replicate_nl").join(right, keys).mapInArrow(_streamed(keys, k, size, matrix), _hit_schema(q, c))
+        # The side on the right is held, the other goes by; neither is shuffled for it. Pairs come in the
+        # order of the left side's rows and for each of them in that of the right side's, so that the rows of
+        # a pack can go to Python once: with the first pack of the other side in the task, whatever its keys.
+        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+        left, right = (df.select(*(F.col(x).alias(f"__{side}_{x}") for x in keys), f"__{side}", f"__{side}_rows", first.alias(f"__{side}_first")) for df, side in ((left, "c"), (right, "q")))
+        alike = reduce(Column.__and__, (F.col(f"__c_{x}") == F.col(f"__q_{x}") for x in keys))
+        pairs = left.hint("shuffle_replicate_nl").join(right, alike | F.col("__c_first") | F.col("__q_first"))
+        rows = (F.when(F.col(f"__{other}_first"), F.col(f"__{side}_rows")).alias(f"__{side}_rows") for side, other in ("qc", "cq"))
+        sent = pairs.select(*(f"__{side}_{x}" for side in "qc" for x in keys), "__q", "__c", *rows)
+        return sent.mapInArrow(_streamed(keys, k, size, matrix), _hit_schema(q, c))
 
     return streamed() if not n["few"] and n["q"] else copied() if not n["q"] else copied().unionByName(streamed())
 
